@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from matlink.llm.ngram_join import op2_ngram_jaccard_join
+from matlink.llm.substring_dedup import op8_substring_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
