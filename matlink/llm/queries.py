@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from matlink.llm.decontaminate import op4_benchmark_decontamination
 from matlink.llm.ngram_join import op2_ngram_jaccard_join
 from matlink.llm.substring_dedup import op8_substring_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
