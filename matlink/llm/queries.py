@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from matlink.llm.decontaminate import op4_benchmark_decontamination
 from matlink.llm.ngram_join import op2_ngram_jaccard_join
+from matlink.llm.packing import op1_packing
 from matlink.llm.substring_dedup import op8_substring_dedup
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
