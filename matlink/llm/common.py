@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def batches(table_batch, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def batches(table_batch, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows whose texts (a list) hold about limit characters at most, or one row."""
     start = size = 0
     for i, t in enumerate(table_batch):

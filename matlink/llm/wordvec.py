@@ -28,7 +28,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 #: Bytes that are hashed at a time.
-_STEP = 1 << 22
+_STEP = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
