@@ -6,11 +6,13 @@ from matlink.llm.decontaminate import op4_benchmark_decontamination
 from matlink.llm.language_id import op10_language_id
 from matlink.llm.ngram_join import op2_ngram_jaccard_join
 from matlink.llm.packing import op1_packing
+from matlink.llm.simhash import op3_simhash_fingerprints
 from matlink.llm.substring_dedup import op8_substring_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_language_id": op10_language_id,
