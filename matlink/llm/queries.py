@@ -8,6 +8,7 @@ from matlink.llm.ngram_join import op2_ngram_jaccard_join
 from matlink.llm.packing import op1_packing
 from matlink.llm.simhash import op3_simhash_fingerprints
 from matlink.llm.substring_dedup import op8_substring_dedup
+from matlink.llm.warc import op9_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
 
