@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, cut
+from matlink.llm.common import batches
 from matlink.llm.wordvec import ALNUM, Words, rolling
 
 #: Characters of items that are broadcast at a time.
@@ -110,9 +110,9 @@ def _counts(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(texts: DataFrame, block: _Block) -> DataFrame:
-    """Each text's words, spans of windows and items of a block."""
-    sent = texts.sparkSession.sparkContext.broadcast(block)
+def _scanner(spark: SparkSession, block: _Block):
+    """A function of texts: words, spans of windows and items of a block."""
+    sent = spark.sparkContext.broadcast(block)
 
     def verified(w: Words, b: _Block) -> tuple[np.ndarray, np.ndarray]:
         places, which = _found(w.hashes, b.prefix, b.table)
@@ -135,21 +135,21 @@ def _scan(texts: DataFrame, block: _Block) -> DataFrame:
         )
         return start[exact], entry[exact]
 
-    def scan(frames):
-        b = sent.value
-        for frame in frames:
-            ids, texts_, mark = frame["id"], frame["text"].tolist(), frame["mark"]
-            for lo, hi in batches(texts_):
-                w = _words(texts_[lo:hi])
-                spans, items = [[] for _ in range(hi - lo)], [set() for _ in range(hi - lo)]
-                start, entry = verified(w, b)
-                text = np.searchsorted(w.first, start, side="right") - 1
-                for t, s, e in zip(text.tolist(), (start - w.first[text]).tolist(), entry.tolist(), strict=True):
-                    spans[t].append({"start": s, "end": s + int(b.size[e])})
-                    items[t].add(b.names[b.item[e]])
-                yield pd.DataFrame({"id": ids.iloc[lo:hi].astype("Int64"), "mark": mark.iloc[lo:hi], "n_words": w.counts(), "spans": spans, "items": [sorted(x) for x in items]})
+    @F.pandas_udf("n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        b, text_list, parts = sent.value, texts.tolist(), []
+        for lo, hi in batches(text_list):
+            w = _words(text_list[lo:hi])
+            spans, items = [[] for _ in range(hi - lo)], [set() for _ in range(hi - lo)]
+            start, entry = verified(w, b)
+            text = np.searchsorted(w.first, start, side="right") - 1
+            for t, s, e in zip(text.tolist(), (start - w.first[text]).tolist(), entry.tolist(), strict=True):
+                spans[t].append({"start": s, "end": s + int(b.size[e])})
+                items[t].add(b.names[b.item[e]])
+            parts.append(pd.DataFrame({"n_words": w.counts(), "spans": spans, "items": [sorted(x) for x in items]}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_words": [], "spans": [], "items": []})
 
-    return texts.mapInPandas(scan, "id long, mark long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    return scan
 
 
 def rolling_at(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -161,50 +161,44 @@ def rolling_at(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, least_percent: int = 5) -> DataFrame:
-    """id, n_words, n_hit, spans (merged, of hit words), items (sorted item ids) and contaminated of each row.
+    """docs with n_words, n_hit, spans (merged, of hit words), items (sorted item ids) and contaminated.
 
     Words are ASCII letters (lower-cased) and digits and all characters beyond ASCII. A null
     text has no words and isn't contaminated; an item without words occurs nowhere. A text
     is contaminated if at least least_percent of its words lie inside windows. Item ids are
     compared as strings; a null one is the empty string; items of the same id count once.
-    Repeated rows and rows with a null id are each judged by their own text.
+    Each row is judged by its own text, whatever its id. Columns of docs with the name of a
+    result are replaced; others are kept. The blocks of items must fit a Python worker.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
-    parts = []
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    blocks = []
     for block in _blocks(items.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")), window):
-        block.index(_counts(texts, block.vocabulary))
-        parts.append(_scan(texts, block))
-    if not parts:
-        parts = [_scan(texts, _empty(window))]
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        found = cut(parts[0])
-        for part in parts[1:]:
-            found = found.unionByName(cut(part))
-        found = (
-            found.groupBy("id", "mark", "n_words")
-            .agg((F.count("*") / len(parts)).cast("int").alias("copies"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-        )
-
-    def merge(frames):
-        for frame in frames:
-            out, hits = [], []
-            for spans in frame["spans"]:
-                merged = []
-                for a, b in sorted((s["start"], s["end"]) for s in spans):
-                    if merged and a <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(b, merged[-1]["end"])
-                    else:
-                        merged.append({"start": a, "end": b})
-                out.append(merged)
-                hits.append(sum(s["end"] - s["start"] for s in merged))
-            frame["spans"], frame["n_hit"], frame["id"] = out, hits, frame["id"].astype("Int64")
-            yield frame[["id", "n_words", "n_hit", "spans", "items"]]
-
-    done = found.select("id", "n_words", "spans", "items").mapInPandas(merge, "id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>")
-    return done.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * least_percent)).alias("contaminated"))
+        block.index(_counts(docs.select(text.alias("text")), block.vocabulary))
+        blocks.append(_scanner(spark, block))
+    blocks = blocks or [_scanner(spark, _empty(window))]
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def merged(lists: pd.Series) -> pd.Series:
+        out = []
+        for spans in lists:
+            held: list[dict] = []
+            for a, b in sorted((s["start"], s["end"]) for s in spans):
+                if held and a <= held[-1]["end"]:
+                    held[-1]["end"] = max(b, held[-1]["end"])
+                else:
+                    held.append({"start": a, "end": b})
+            out.append(held)
+        return pd.Series(out)
+
+    results = ["n_words", "n_hit", "spans", "items", "contaminated"]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in results]
+    found = docs.select(*rest, *(scan(text).alias(f"__b{i}") for i, scan in enumerate(blocks)))
+    of = lambda c: [F.col(f"__b{i}.{c}") for i in range(len(blocks))]
+    found = found.select(*rest, F.col("__b0.n_words").alias("n_words"), merged(F.concat(*of("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.concat(*of("items")))).alias("items"))
+    found = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
+    contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * least_percent)
+    return found.withColumn("contaminated", contaminated).select(*rest, *results)
 
 
 def _empty(window: int) -> _Block:
