@@ -6,7 +6,8 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,12 +44,14 @@ def batches(table_batch, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(table_batch)
 
 
-def bitmap(ids: DataFrame, column: str, log2_bits: int = 23) -> np.ndarray:
+def bitmap(ids: DataFrame, column: str, log2_bits: int = 23, hashed: bool = True) -> np.ndarray:
     """A bitmap of fixed size with the bit of every value set (a one-hash Bloom filter).
 
+    hashed=False: the values are hashes already, and their high bits are taken.
+
     At most 2**log2_bits / 64 rows of two longs reach the driver, whatever the input.
     """
-    bit = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - log2_bits)
+    bit = F.shiftrightunsigned(F.xxhash64(F.col(column)) if hashed else F.col(column), 64 - log2_bits)
     rows = (
         ids.select(bit.alias("bit"))
         .groupBy(F.shiftrightunsigned("bit", 6).alias("word"))
@@ -60,6 +63,22 @@ def bitmap(ids: DataFrame, column: str, log2_bits: int = 23) -> np.ndarray:
     return out
 
 
+def likely_in(ids: DataFrame, column: str, key: Column, log2_bits: int = 23) -> Column:
+    """True for every key among the long column of ids, and for few others: told by a bitmap of fixed size.
+
+    With it, only rows that need a join are shuffled; only the key goes to Python. Null keys are false.
+    """
+    held = ids.sparkSession.sparkContext.broadcast(bitmap(ids.where(F.col(column).isNotNull()), column, log2_bits))
+
+    @F.pandas_udf("boolean")
+    def hit(bit: pd.Series) -> pd.Series:
+        known = bit.notna().to_numpy()
+        at = bit.fillna(0).to_numpy(np.int64)
+        return pd.Series(((held.value[at >> 6] >> (at & 63)) & 1).astype(bool) & known)
+
+    return hit(F.when(key.isNotNull(), F.shiftrightunsigned(F.xxhash64(key), 64 - log2_bits)))
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of undirected links (a, b) of longs; component is the smallest node.
 

@@ -10,11 +10,11 @@ sets with Jaccard similarity of at least p must share what their prefixes index:
    tokens of one hash group are c - k + 1 (any fewer of them lost leaves k together).
    So a similar partner shares a rare token, or k frequent tokens of a group: indexed
    are single rare tokens and k-combinations of frequent ones.
-3. Groups that share a signature are first compared with their smallest member only
-   (size bound, then a bitmap bound on the symmetric difference, then the exact sets);
-   links contract to components. What still lies in different components is compared
-   within its group in blocks, with the same bounds and verification. So copies are
-   never expanded into all pairs, and no link between components is lost.
+3. Sets that share a signature are first compared with the smallest of them only, the
+   leader (size bound, then a bitmap bound on the symmetric difference, then the exact
+   sets); links contract to components. What still lies in different components is
+   compared within the sets of a leader in blocks, with the same bounds and verification.
+   So copies are never expanded into all pairs, and no link between components is lost.
 
 Equal sets are one class before all this. Hashes have 64 bits.
 """
@@ -32,7 +32,9 @@ from matlink.llm.common import batches, bitmap, components, cut
 from matlink.llm.wordvec import Words, mix, rolling, shingle_sets
 
 SKETCH_BITS = 20
-BITMAP_LONGS = 8
+#: Bits of the bitmaps that are compared first, and of the largest.
+_NARROW, _WIDEST = 512, 1 << 16
+_SHARED_BITS = 24
 _CHUNK = 1 << 16
 #: Up to this many tokens a set's frequent ones form one hash group; each further size class is four times as wide.
 _FIRST_CLASS = 128
@@ -92,11 +94,27 @@ def signatures(tokens: np.ndarray, level: np.ndarray, frequent: int, percent: in
     return np.concatenate(out)
 
 
-def _bits(tokens: np.ndarray) -> np.ndarray:
+def _bits(tokens: np.ndarray, size: int) -> bytes:
     """Parity bitmap of a set: the Hamming distance of two is at most the size of the symmetric difference."""
-    at = (tokens % np.uint64(64 * BITMAP_LONGS)).astype(np.int64)
-    odd = (np.bincount(at, minlength=64 * BITMAP_LONGS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    odd = (np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd).tobytes()
+
+
+def _wide_size(n: int) -> int:
+    """Bits of a set's large bitmap, a power of two: a larger one folds to the size of a smaller one."""
+    size = _NARROW
+    while size < 4 * n and size < _WIDEST:
+        size *= 2
+    return size
+
+
+def _distance(x: bytes, y: bytes) -> int:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _set_id(tokens: np.ndarray) -> int:
@@ -161,36 +179,49 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out = []
                 for tokens in shingle_sets(_words(text[a:b]), words):
                     sig = signatures(tokens, level[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], frequent, percent, k)
-                    out.append((len(tokens), _set_id(tokens), np.unique(sig).view(np.int64), _bits(tokens)))
-                n, sid, sig, bits = zip(*out, strict=True)
-                yield pd.DataFrame({"id": ids.iloc[a:b].to_numpy(), "n": n, "sid": sid, "sigs": sig, "bits": bits})
-
-    indexed = cut(texts.mapInPandas(index, "id long, n int, sid long, sigs array<long>, bits array<long>"))
-    sets = indexed.where("n > 1").groupBy("sid").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"), F.min("id").alias("id"))
-    sets = cut(sets)
-    info = sets.select("sid", "n", "bits", "id")
-    rows = sets.select(F.explode("sigs").alias("sig"), "sid")
-    shared = rows.groupBy("sig").agg(F.count("*").alias("cnt"), F.min("sid").alias("leader")).where("cnt > 1")
-    multi = cut(rows.join(shared, "sig"))
-
-    star = multi.where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct()
-    links = cut(_verified(texts, _bounded(star, info, percent), words, percent))
+                    out.append((len(tokens), _set_id(tokens), np.unique(sig).view(np.int64), _bits(tokens, _NARROW), _bits(tokens, _wide_size(len(tokens)))))
+                n, sid, sig, bits, wide = zip(*out, strict=True)
+                yield pd.DataFrame({"id": ids.iloc[a:b].astype("Int64"), "n": n, "sid": sid, "sigs": sig, "bits": bits, "wide": wide})
+
+    indexed = cut(texts.mapInPandas(index, "id long, n int, sid long, sigs array<long>, bits binary, wide binary"))
+    info = indexed.where("n > 1").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.min("id").alias("id"))
+    info = cut(info)
+    rows = indexed.where("n > 1").select(F.explode("sigs").alias("sig"), "sid")
+    shared = cut(rows.groupBy("sig").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).where("leader < last").select("sig", "leader"))
+    maybe = spark.sparkContext.broadcast(bitmap(shared, "sig", _SHARED_BITS, hashed=False))
+
+    def among(frames):
+        held = maybe.value
+        for frame in frames:
+            sid, sigs = frame["sid"].to_numpy(np.int64), frame["sigs"].tolist()
+            if not sigs:
+                continue
+            sig = np.concatenate(sigs)
+            bit = (sig.view(np.uint64) >> np.uint64(64 - _SHARED_BITS)).astype(np.int64)
+            keep = ((held[bit >> 6] >> (bit & 63)) & 1).astype(bool)
+            yield pd.DataFrame({"sig": sig[keep], "sid": np.repeat(sid, [len(x) for x in sigs])[keep]})
+
+    held = indexed.where("n > 1").select("sid", "sigs").mapInPandas(among, "sig long, sid long").distinct()
+    star = cut(held.join(shared, "sig").where("sid <> leader").select("sid", "leader").distinct())
+
+    links = cut(_verified(texts, _bounded(star.select(F.col("sid").alias("a"), F.col("leader").alias("b")), info, percent), words, percent))
     first = components(links)
 
     def compare(frames):
-        held = pd.concat(list(frames), ignore_index=True)
-        if not len(held):
+        frames = [f for f in frames if len(f)]
+        if not frames:
             return
+        held = pd.concat(frames, ignore_index=True)
         order = np.lexsort((held["n"], held["key"]))
         key, sid, n, label, side = (held[c].to_numpy()[order] for c in ("key", "sid", "n", "label", "side"))
-        bits = np.stack(held["bits"].to_numpy()[order]).view(np.uint64)
+        bits = np.frombuffer(b"".join(held["bits"].to_numpy()[order]), np.uint64).reshape(-1, _NARROW // 64)
         found = set()
         edges = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a < 2 or (label[a:b] == label[a]).all():
                 continue
-            for i in range(a, b - 1):
-                to = a + int(np.searchsorted(n[a:b], n[i] * 100 // percent, side="right"))
+            tops = a + np.searchsorted(n[a:b], n[a:b] * 100 // percent, side="right")
+            for i, to in zip(range(a, b - 1), tops.tolist(), strict=False):
                 if to <= i + 1:
                     continue
                 c = slice(i + 1, to)
@@ -201,16 +232,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if found:
             yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
-    # A group of more than block sets is compared as pairs of chunks: a set goes to each pair of its chunk.
+    # All that share a signature share its leader, so the sets of a leader hold every pair that is left.
+    # More than block sets of one are compared as pairs of chunks: a set goes to each pair of its chunk.
+    sizes = star.groupBy("leader").agg(F.count("*").alias("cnt")).where("cnt > 1")
     chunks = F.ceil(F.col("cnt") / block).cast("int")
     mine = F.pmod(F.xxhash64("sid"), chunks).cast("int")
     spread = F.when(F.col("cnt") <= block, F.expr("array(0)")).otherwise(F.sequence(F.lit(0), chunks - 1))
     pieces = (
-        multi.select("sig", "sid", mine.alias("mine"), F.explode(spread).alias("other"))
+        star.join(sizes, "leader")
+        .select("leader", "sid", mine.alias("mine"), F.explode(spread).alias("other"))
         .join(info.select("sid", "n", "bits"), "sid")
         .join(first.withColumnRenamed("node", "sid"), "sid", "left")
         .select(
-            F.xxhash64("sig", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
+            F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
             "sid",
             F.col("n").cast("long").alias("n"),
             F.coalesce("component", "sid").alias("label"),
@@ -238,11 +272,21 @@ def _overlap(both, percent: int):
 
 def _bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the size and bitmap bounds, with their sizes and documents."""
-    a = info.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("id").alias("id_a"))
-    b = info.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("id").alias("id_b"))
-    far = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP_LONGS)), F.lit(0))
-    least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    return pairs.join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (far <= F.col("na") + F.col("nb") - 2 * least)).select("a", "b", "na", "nb", "id_a", "id_b")
+    for side in "ab":
+        pairs = pairs.join(info.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("id").alias(f"id_{side}")), side)
+    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    for side in "ab":
+        pairs = pairs.join(info.select(F.col("sid").alias(side), F.col("wide").alias(f"w{side}")), side)
+
+    def near(frames):
+        for frame in frames:
+            far = np.fromiter((_distance(x, y) for x, y in zip(frame.pop("wa"), frame.pop("wb"), strict=True)), np.int64, len(frame))
+            both = (frame["na"] + frame["nb"]).to_numpy(np.int64)
+            for c in ("id_a", "id_b"):
+                frame[c] = frame[c].astype("Int64")
+            yield frame[far <= both - 2 * _overlap(both, percent)]
+
+    return pairs.select("a", "b", "na", "nb", "id_a", "id_b", "wa", "wb").mapInPandas(near, "a long, b long, na int, nb int, id_a long, id_b long")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
