@@ -25,16 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, bitmap, cut
-from matlink.llm.wordvec import Words, rolling, valid_starts
+from matlink.llm.common import batches, cut, likely_in
+from matlink.llm.wordvec import Words, mix, rolling, valid_starts
 
 #: Perfect difference covers by period. Fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
 #: Starts that a task holds before it sends them.
-_HELD = 2_000_000
+_HELD = 600_000
 _LAST = 2**63 - 1
-_BITS = 23
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -44,12 +43,11 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
 
 
 class _Starts:
-    """Starts (hash, id, place) on their way; give() yields rows (bucket, packed, id, places)."""
-
-    KIND = "bucket int, packed binary, id long, places array<int>"
+    """Starts (hash, id, place) on their way; give() yields rows of them and of reports."""
 
     def __init__(self, buckets: int, first_only: bool):
         self.buckets, self.first_only, self.held, self.size = buckets, first_only, [], 0
+        self.reports = _Reports(buckets)
 
     def add(self, h: np.ndarray, ids: np.ndarray, places: np.ndarray):
         if len(h):
@@ -63,34 +61,18 @@ class _Starts:
         self.held, self.size = [], 0
         order = np.lexsort((places, ids, h))
         h, ids, places = h[order], ids[order], places[order]
-        head = np.diff(h, prepend=h[0] + np.uint64(1)) != 0
-        same = np.concatenate([[False], ~head[1:] & (ids[1:] == ids[:-1]) & (places[1:] == places[:-1])])
-        first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        # a repeat: another start of this hash than the first; with anchors the first of several is one, too
-        repeat = ~head & ((ids != ids[first]) | (places != places[first]))
-        known = repeat & ~same
+        head, first, other = _first_of_each(h, ids, places)
+        # a repeat has another start than the first; an anchor is one, too, if any start repeats it
         flag = np.zeros(len(h), np.uint8)
         if not self.first_only:
-            flag[first[repeat]] = 1
-        yield from self._reply(ids[known], places[known], self.buckets)
+            flag[first[other]] = 1
+        self.reports.add(ids[other], places[other])
         h, ids, places, flag = h[head], ids[head], places[head], flag[head]
         bucket = (h % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((places, ids, bucket))
         h, ids, places, flag, bucket = h[order], ids[order], places[order], flag[order], bucket[order]
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=self.buckets))
-        out = [
-            (int(bucket[a]), h[a:b].astype("<u8").tobytes() + ids[a:b].astype("<i8").tobytes() + places[a:b].astype("<i4").tobytes() + flag[a:b].tobytes(), None, None)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-        ]
-        yield _frame(out)
-
-    @staticmethod
-    def _reply(ids: np.ndarray, places: np.ndarray, buckets: int):
-        if len(ids):
-            order = np.lexsort((places, ids))
-            ids, places = ids[order], places[order]
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
-            yield _frame([(hash(int(ids[a])) % buckets, None, int(ids[a]), places[a:b].astype(np.int32)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+        yield _frame((b, False, h[x].astype("<u8").tobytes() + ids[x].astype("<i8").tobytes() + places[x].astype("<i4").tobytes() + flag[x].tobytes()) for b, x in _runs(bucket))
+        yield from self.reports.give()
 
     @staticmethod
     def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,67 +83,123 @@ class _Starts:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["bucket", "packed", "id", "places"])
-    frame["id"] = frame["id"].astype("Int64")
-    return frame
+class _Reports:
+    """Places of texts on their way to them, packed by buckets of ids."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, ids: np.ndarray, places: np.ndarray):
+        if len(ids):
+            self.held.append((ids, places))
+            self.size += len(ids)
+
+    def give(self, least: int = 1):
+        if self.size < max(least, 1):
+            return
+        ids, places = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        bucket = (mix(ids.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((places, ids, bucket))
+        ids, places, bucket = ids[order], places[order], bucket[order]
+        yield _frame((b, True, ids[x].astype("<i8").tobytes() + places[x].astype("<i4").tobytes()) for b, x in _runs(bucket))
+
+    @staticmethod
+    def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(np.frombuffer(p, "<i8", len(p) // 12), np.frombuffer(p, "<i4", len(p) // 12, len(p) // 12 * 8)) for p in packed]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+_ROWS = "bucket int, report boolean, packed binary"
+
+
+def _frame(rows) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=["bucket", "report", "packed"])
+
+
+def _runs(values: np.ndarray):
+    """Each value of a sorted array and where it stands."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]]) if len(values) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(values[a]), slice(int(a), int(b))
+
+
+def _first_of_each(h: np.ndarray, ids: np.ndarray, places: np.ndarray):
+    """Of sorted starts: is it the first of its hash, where that first is, is it another start than that."""
+    head = np.concatenate([[True], h[1:] != h[:-1]])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+    return head, first, (ids != ids[first]) | (places != places[first])
+
+
+def _by_bucket(frames, judge):
+    """judge(list of packed) of each bucket of rows sorted by bucket."""
+    held, now = [], None
+    for frame in frames:
+        for b, p in zip(frame["bucket"].tolist(), frame["packed"].tolist(), strict=True):
+            if b != now and held:
+                yield from judge(held)
+                held = []
+            now = b
+            held.append(p)
+    if held:
+        yield from judge(held)
 
 
 def _repeats(starts: DataFrame, buckets: int, parts: int, first_only: bool) -> DataFrame:
     """(id, places) of the starts whose hash has another start; first_only: but for the first of each."""
 
-    def judge(packed: list[bytes]):
-        h, ids, places, flag = _Starts.unpack(packed)
-        order = np.lexsort((places, ids, h))
-        h, ids, places, flag = h[order], ids[order], places[order], flag[order]
-        head = np.diff(h, prepend=h[0] + np.uint64(1)) != 0
-        group = np.cumsum(head) - 1
-        first = np.flatnonzero(head)[group]
-        other = (ids != ids[first]) | (places != places[first])
-        if first_only:
-            hit = other
-        else:
-            hit = (np.bincount(group, other | (flag > 0)) > 0)[group]
-        yield from _Starts._reply(ids[hit], places[hit], buckets)
-
-    def run(frames):
-        held, now = [], None
-        for frame in frames:
-            passed = frame["packed"].isna()
-            if passed.any():
-                yield frame.loc[passed, ["id", "places"]]
-            for b, p in zip(frame["bucket"][~passed].tolist(), frame["packed"][~passed].tolist(), strict=True):
-                if b != now and held:
-                    for out in judge(held):
-                        yield out[["id", "places"]]
-                    held = []
-                now = b
-                held.append(p)
-        if held:
-            for out in judge(held):
-                yield out[["id", "places"]]
-
-    return starts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "id long, places array<int>")
+    def find(frames):
+        reports = _Reports(buckets)
+
+        def judge(packed: list[bytes]):
+            h, ids, places, flag = _Starts.unpack(packed)
+            order = np.lexsort((places, ids, h))
+            h, ids, places, flag = h[order], ids[order], places[order], flag[order]
+            head, _, hit = _first_of_each(h, ids, places)
+            if not first_only:
+                group = np.cumsum(head) - 1
+                hit = (np.bincount(group, hit | (flag > 0)) > 0)[group]
+            reports.add(ids[hit], places[hit])
+            yield from reports.give(_HELD)
+
+        def own():
+            for frame in frames:
+                passed = frame["report"].to_numpy(bool)
+                if passed.any():
+                    reports.add(*_Reports.unpack(frame["packed"][passed].tolist()))
+                yield frame[~passed]
+
+        yield from _by_bucket(own(), judge)
+        yield from reports.give()
+
+    def gather(frames):
+        def judge(packed: list[bytes]):
+            ids, places = _Reports.unpack(packed)
+            order = np.lexsort((places, ids))
+            ids, places = ids[order], places[order]
+            yield pd.DataFrame([(i, places[x]) for i, x in _runs(ids)], columns=["id", "places"])
 
+        yield from _by_bucket(frames, judge)
 
-def _gathered(reports: DataFrame) -> DataFrame:
-    return reports.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = starts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(find, _ROWS)
+    return found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(gather, "id long, places array<int>")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """id, n_words, n_removed, removed (word spans start, end) and text (kept words joined by one space) of each row.
+    """docs with n_words, n_removed, removed (word spans start, end) and kept_text (kept words joined by one space).
 
     Words are runs of other characters than ASCII white space, as they stand. A text of
     fewer words than the window keeps them all; a null text has none and gives an empty
     one. Rows of the same id are versions of one text: equal starts in both are one.
-    Rows with a null id count as one text after all others. Other columns are ignored.
+    Rows with a null id count as one text after all others. Columns of docs with the name
+    of a result are replaced; others are kept.
     """
     spark = docs.sparkSession
     period, cover = cover_for(window)
     anchor = window - period + 1
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = 4 * parts
+    buckets = 2 * parts
 
     def anchors(frames):
         out = _Starts(buckets, first_only=False)
@@ -177,7 +215,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield from out.give(_HELD)
         yield from out.give()
 
-    near = cut(_gathered(_repeats(texts.select("id", "text").mapInPandas(anchors, _Starts.KIND), buckets, parts, first_only=False)))
+    near = cut(_repeats(texts.select("id", "text").mapInPandas(anchors, _ROWS), buckets, parts, first_only=False))
 
     def windows(frames):
         out = _Starts(buckets, first_only=True)
@@ -199,61 +237,43 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield from out.give(_HELD)
         yield from out.give()
 
-    touched = _among(texts, near).join(near, "id").select("id", "text", "places")
-    repeats = cut(_gathered(_repeats(touched.mapInPandas(windows, _Starts.KIND), buckets, parts, first_only=True)))
-
-    kind = f"key {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, removed array<struct<start:int,end:int>>, text string"
-
-    def finish(frames):
-        for frame in frames:
-            rows = []
-            for key, text, places in zip(frame["key"].tolist(), frame["text"].tolist(), frame["places"].tolist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                spans = []
-                if places is not None and len(words) >= window:
-                    for p in np.unique(np.asarray(places)).tolist():
-                        if p + window > len(words):
-                            break
-                        if spans and p <= spans[-1][1]:
-                            spans[-1][1] = p + window
-                        else:
-                            spans.append([p, p + window])
-                kept, at = [], 0
-                for lo, hi in spans:
-                    kept += words[at:lo]
-                    at = hi
-                kept += words[at:]
-                rows.append((None if pd.isna(key) else int(key), len(words), len(words) - len(kept), [{"start": a, "end": b} for a, b in spans], b" ".join(kept).decode("utf-8", "surrogatepass")))
-            out = pd.DataFrame(rows, columns=["key", "n_words", "n_removed", "removed", "text"])
-            out["key"] = out["key"].astype("Int64")
-            yield out
-
-    whole = _among(texts, repeats, keep=False).select("key", "text", F.lit(None).cast("array<int>").alias("places"))
-    cuts = _among(texts, repeats).join(repeats, "id", "left").select("key", "text", "places")
-    done = whole.mapInPandas(finish, kind).unionByName(cuts.mapInPandas(finish, kind))
-    return done.withColumnRenamed("key", id_col)
-
-
-def _among(texts: DataFrame, reports: DataFrame, keep: bool = True) -> DataFrame:
-    """The texts whose id is likely among those of reports (none that is will miss), or all others.
-
-    Told by a bitmap of fixed size, so that only texts that need a join are shuffled.
-    """
-    words = bitmap(reports, "id", _BITS)
-    held = texts.sparkSession.sparkContext.broadcast(words)
-
-    def among(frames):
-        for frame in frames:
-            bit = frame.pop("bit").to_numpy(np.int64)
-            hit = ((held.value[bit >> 6] >> (bit & 63)) & 1).astype(bool)
-            frame["key"] = frame["key"].astype("Int64")
-            yield frame[hit if keep else ~hit]
-
-    bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - _BITS)
-    return texts.select("key", "id", "text", bit.alias("bit")).mapInPandas(among, "key long, id long, text string")
+    touched = texts.where(likely_in(near, "id", F.col("id"))).join(near, "id").select("id", "text", "places")
+    repeats = cut(_repeats(touched.mapInPandas(windows, _ROWS), buckets, parts, first_only=True))
+
+    @F.pandas_udf("n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
+    def finish(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, starts in zip(texts.tolist(), places.tolist(), strict=True):
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            spans = []
+            if starts is not None and len(words) >= window:
+                for p in np.unique(np.asarray(starts)).tolist():
+                    if p + window > len(words):
+                        break
+                    if spans and p <= spans[-1][1]:
+                        spans[-1][1] = p + window
+                    else:
+                        spans.append([p, p + window])
+            kept, at = [], 0
+            for lo, hi in spans:
+                kept += words[at:lo]
+                at = hi
+            kept += words[at:]
+            rows.append((len(words), len(words) - len(kept), [{"start": a, "end": b} for a, b in spans], b" ".join(kept).decode("utf-8", "surrogatepass")))
+        return pd.DataFrame(rows, columns=["n_words", "n_removed", "removed", "kept_text"])
+
+    results = ["n_words", "n_removed", "removed", "kept_text"]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in results]
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    hit = likely_in(repeats, "id", key)
+    text = F.col(text_col).cast("string")
+    whole = docs.where(~hit).select(*rest, finish(text, F.lit(None).cast("array<int>")).alias("__done"))
+    places = repeats.select(F.col("id").alias("__id"), F.col("places").alias("__places"))
+    cuts = docs.where(hit).join(places, key == F.col("__id"), "left").select(*rest, finish(text, F.col("__places")).alias("__done"))
+    return whole.unionByName(cuts).select(*rest, *(F.col(f"__done.{c}") for c in results))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the repeats of 20-word windows."""
     done = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
