@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from matlink.llm.decontaminate import op4_benchmark_decontamination
+from matlink.llm.hmm import op6_hmm_score
 from matlink.llm.html_text import op7_html_main_text
 from matlink.llm.language_id import op10_language_id
 from matlink.llm.ngram_join import op2_ngram_jaccard_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_hmm_score": op6_hmm_score,
     "op7_html_main_text": op7_html_main_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
