@@ -5,6 +5,7 @@ from __future__ import annotations
 from matlink.llm.decontaminate import op4_benchmark_decontamination
 from matlink.llm.hmm import op6_hmm_score
 from matlink.llm.html_text import op7_html_main_text
+from matlink.llm.kneser_ney import op5_quality_perplexity
 from matlink.llm.language_id import op10_language_id
 from matlink.llm.ngram_join import op2_ngram_jaccard_join
 from matlink.llm.packing import op1_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_perplexity": op5_quality_perplexity,
     "op6_hmm_score": op6_hmm_score,
     "op7_html_main_text": op7_html_main_text,
     "op8_substring_dedup": op8_substring_dedup,
