@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
+except OSError:  # another C library
+    _LIBC = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows of an Arrow batch, unless the session sets another number than Spark's own.
+_BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches for long texts: a worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(_BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives freed memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, so that lost executors cost nothing."""
     spark = df.sparkSession
@@ -32,7 +58,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def batches(table_batch, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows whose texts (a list) hold about limit characters at most, or one row."""
+    """Bounds of runs of rows whose texts (a list) hold about limit characters at most, or one row.
+
+    Memory is given back when all runs are done.
+    """
     start = size = 0
     for i, t in enumerate(table_batch):
         n = len(t) if t is not None else 0
@@ -42,6 +71,7 @@ def batches(table_batch, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(table_batch):
         yield start, len(table_batch)
+    release()
 
 
 def bitmap(ids: DataFrame, column: str, log2_bits: int = 23, hashed: bool = True) -> np.ndarray:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches
+from matlink.llm.common import batches, prepare
 from matlink.llm.wordvec import ALNUM, Words, rolling
 
 #: Characters of items that are broadcast at a time.
@@ -171,6 +171,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     result are replaced; others are kept. The blocks of items must fit a Python worker.
     """
     spark = docs.sparkSession
+    prepare(spark)
     text = F.col(text_col).cast("string")
     blocks = []
     for block in _blocks(items.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")), window):

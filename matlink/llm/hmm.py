@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, cut
+from matlink.llm.common import batches, cut, prepare
 from matlink.llm.wordvec import Words, mix
 
 _CLASS_BITS = 12
@@ -63,6 +63,7 @@ class Counts:
 def count_words(docs: DataFrame, text_col: str = "text") -> Counts:
     """Counts of the words of all texts, in shards by hash. A null text has no words."""
     spark = docs.sparkSession
+    prepare(spark)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def count(frames):
@@ -347,7 +348,7 @@ def score(docs: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id",
 
         for frame in frames:
             ids, text, row = frame["id"].astype("Int64"), frame["text"].tolist(), frame["row"].to_numpy(np.int64)
-            for a, b in batches(text, 8 << 20):
+            for a, b in batches(text, 4 << 20):
                 key, first = _keys(text[a:b])
                 sym = m.symbols(key)
                 common = sym < len(m.frequent)

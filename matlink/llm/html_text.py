@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import cut
+from matlink.llm.common import cut, prepare
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -175,6 +175,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     are ignored.
     """
     spark = pages.sparkSession
+    prepare(spark)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), _host(F.col(url_col).cast("string")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
     def subtrees(frames):

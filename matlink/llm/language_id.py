@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches
+from matlink.llm.common import batches, prepare
 
 UNKNOWN = "und"
 _BITS = 16
@@ -38,15 +38,15 @@ SCRIPTS = sorted({name for _, name in _RANGES})
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: is it a letter, its lower case, its script."""
-    chars = [chr(i) for i in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-    lower = np.arange(len(chars), dtype=np.uint32)
-    for i in np.flatnonzero(letter).tolist():
-        low = chars[i].lower()
+    size = 0x110000
+    letter = np.fromiter((chr(i).isalpha() for i in range(size)), bool, size)
+    lower = np.arange(size, dtype=np.uint32)
+    for i in map(int, np.flatnonzero(letter)):
+        low = chr(i).lower()
         if len(low) == 1:
             lower[i] = ord(low)
     bounds = np.array([b for b, _ in _RANGES])
-    script = np.array([SCRIPTS.index(name) for _, name in _RANGES], np.uint8)[np.searchsorted(bounds, np.arange(len(chars)), side="right") - 1]
+    script = np.array([SCRIPTS.index(name) for _, name in _RANGES], np.uint8)[np.searchsorted(bounds, np.arange(size), side="right") - 1]
     return letter, lower, script
 
 
@@ -112,6 +112,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         total = {c: [np.sum([np.frombuffer(x, "<i8") for x in frame[c]], axis=0).tobytes()] for c in ("grams", "scripts")}
         return pd.DataFrame({"lang": frame["lang"][:1], "texts": [frame["texts"].sum()]} | total)
 
+    prepare(docs.sparkSession)
     kind = "lang string, texts long, grams binary, scripts binary"
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     got = rows.mapInPandas(count, kind).groupBy("lang").applyInPandas(add, kind).toPandas().sort_values("lang")
@@ -167,6 +168,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     letters are "und" with score 0 and no spans; so are all if the model knows no language.
     A column of docs with the name of a result is replaced.
     """
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = model.languages
     limit = max(1 << 16, (8 << 20) // max(len(names), 1))

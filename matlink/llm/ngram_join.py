@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, bitmap, components, cut
+from matlink.llm.common import batches, bitmap, components, cut, prepare
 from matlink.llm.wordvec import Words, mix, rolling, shingle_sets
 
 SKETCH_BITS = 20
@@ -165,6 +165,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids are allowed. Other columns of docs are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch, rows = _sketch(texts, words)
     limit = max(32, frequent_share * rows, 4 * sketch.mean())

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matlink.llm.common import prepare
+
 #: Texts of these characters only are encoded by the faster of two libraries with the same vocabulary.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-ɏ]*\Z")
 _SPECIAL = "<|"
@@ -140,6 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, id
     every text. A null or empty text is that id alone. Rows with a null id and repeated rows
     are packed like all others. Other columns are ignored. A text's tokens are held at once.
     """
+    prepare(docs.sparkSession)
     kind = _PIECE + (", ids array<int>" if with_ids else "")
 
     def run(frames):

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, cut, likely_in
+from matlink.llm.common import batches, cut, likely_in, prepare
 from matlink.llm.wordvec import Words, mix, rolling, valid_starts
 
 #: Perfect difference covers by period. Fixed values.
@@ -195,6 +195,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of a result are replaced; others are kept.
     """
     spark = docs.sparkSession
+    prepare(spark)
     period, cover = cover_for(window)
     anchor = window - period + 1
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import cut, shared_dir
+from matlink.llm.common import cut, prepare, shared_dir
 
 _END = b"\r\n\r\n"
 _SLICE = 1 << 20
@@ -33,6 +33,7 @@ def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
     response and the others revisit it; rows of that same id are responses, too. Rows with
     a null id revisit the response, or are responses where no equal payload has an id.
     """
+    prepare(pages.sparkSession)
     rows = pages.withColumn("payload", F.coalesce(F.col(payload_col).cast("string"), F.lit("")))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
     digest = F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest"))
