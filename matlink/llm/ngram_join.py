@@ -103,7 +103,7 @@ def _bits(tokens: np.ndarray, size: int) -> bytes:
 def _wide_size(n: int) -> int:
     """Bits of a set's large bitmap, a power of two: a larger one folds to the size of a smaller one."""
     size = _NARROW
-    while size < 4 * n and size < _WIDEST:
+    while size < 8 * n and size < _WIDEST:
         size *= 2
     return size
 
@@ -216,6 +216,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.lexsort((held["n"], held["key"]))
         key, sid, n, label, side = (held[c].to_numpy()[order] for c in ("key", "sid", "n", "label", "side"))
         bits = np.frombuffer(b"".join(held["bits"].to_numpy()[order]), np.uint64).reshape(-1, _NARROW // 64)
+        wide = held["wide"].to_numpy()[order]
         found = set()
         edges = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -228,8 +229,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 c = slice(i + 1, to)
                 far = np.bitwise_count(bits[c] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 both = n[c] + n[i]
-                ok = (label[c] != label[i]) & (far <= both - 2 * _overlap(both, percent)) & ((side[c] != side[i]) | (side[i] == 2))
-                found.update((min(int(sid[i]), int(s)), max(int(sid[i]), int(s))) for s in sid[c][ok])
+                most = both - 2 * _overlap(both, percent)
+                ok = (label[c] != label[i]) & (far <= most) & ((side[c] != side[i]) | (side[i] == 2))
+                for j in np.flatnonzero(ok).tolist():
+                    x, y = wide[i], wide[i + 1 + j]
+                    if x is None or y is None or _distance(x, y) <= most[j]:
+                        found.add((min(int(sid[i]), int(sid[i + 1 + j])), max(int(sid[i]), int(sid[i + 1 + j]))))
         if found:
             yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
@@ -242,7 +247,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces = (
         star.join(sizes, "leader")
         .select("leader", "sid", mine.alias("mine"), F.explode(spread).alias("other"))
-        .join(info.select("sid", "n", "bits"), "sid")
+        .join(info.select("sid", "n", "bits", F.when(F.col("n") <= 512, F.col("wide")).alias("wide")), "sid")
         .join(first.withColumnRenamed("node", "sid"), "sid", "left")
         .select(
             F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
@@ -251,6 +256,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.coalesce("component", "sid").alias("label"),
             F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
             "bits",
+            "wide",
         )
     )
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
