@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matlink.llm import decontaminate, language_id, ngram_join, packing, substring_dedup
-from matlink.llm.common import likely_in, shared_dir
+from matlink.llm.common import shared_dir, with_likely
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     members, _ = ngram_join.jaccard_classes(docs.select("doc_id", "text"), words=5, percent=80)
     gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    hit = likely_in(gone, "gone", F.col("doc_id"))
-    stay = docs.where(~hit)
-    return stay.unionByName(docs.where(hit).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
+    marked = with_likely(docs, "__hit", F.col("doc_id"), gone, "gone")
+    rest = marked.where("__hit").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return marked.where("not __hit").unionByName(rest).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

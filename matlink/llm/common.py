@@ -93,20 +93,18 @@ def bitmap(ids: DataFrame, column: str, log2_bits: int = 23, hashed: bool = True
     return out
 
 
-def likely_in(ids: DataFrame, column: str, key: Column, log2_bits: int = 23) -> Column:
-    """True for every key among the long column of ids, and for few others: told by a bitmap of fixed size.
+def with_likely(df: DataFrame, name: str, key: Column, ids: DataFrame, column: str, log2_bits: int = 23) -> DataFrame:
+    """df with column name: true for every key among the long column of ids, and for few others.
 
-    With it, only rows that need a join are shuffled; only the key goes to Python. Null keys are false.
+    Told by a bitmap of fixed size: at most 2**log2_bits / 64 rows are broadcast, whatever the
+    number of ids. With it, only rows that need a join are shuffled. Null keys are false.
     """
-    held = ids.sparkSession.sparkContext.broadcast(bitmap(ids.where(F.col(column).isNotNull()), column, log2_bits))
-
-    @F.pandas_udf("boolean")
-    def hit(bit: pd.Series) -> pd.Series:
-        known = bit.notna().to_numpy()
-        at = bit.fillna(0).to_numpy(np.int64)
-        return pd.Series(((held.value[at >> 6] >> (at & 63)) & 1).astype(bool) & known)
-
-    return hit(F.when(key.isNotNull(), F.shiftrightunsigned(F.xxhash64(key), 64 - log2_bits)))
+    place = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - log2_bits)
+    words = ids.where(F.col(column).isNotNull()).select(place(F.col(column)).alias("bit"))
+    words = words.groupBy(F.shiftrightunsigned("bit", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("__bits"))
+    df = df.withColumn("__bit", F.when(key.isNotNull(), place(key)))
+    hit = F.expr("coalesce((shiftrightunsigned(__bits, CAST(__bit & 63 AS INT)) & 1) = 1, false)")
+    return df.join(F.broadcast(words), F.shiftrightunsigned("__bit", 6) == F.col("__word"), "left").withColumn(name, hit).drop("__bit", "__word", "__bits")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -144,14 +144,25 @@ def _scanner(spark: SparkSession, block: _Block):
             start, entry = verified(w, b)
             text = np.searchsorted(w.first, start, side="right") - 1
             for t, s, e in zip(text.tolist(), (start - w.first[text]).tolist(), entry.tolist(), strict=True):
-                spans[t].append({"start": s, "end": s + int(b.size[e])})
+                spans[t].append((s, s + int(b.size[e])))
                 items[t].add(b.names[b.item[e]])
-            parts.append(pd.DataFrame({"n_words": w.counts(), "spans": spans, "items": [sorted(x) for x in items]}))
+            parts.append(pd.DataFrame({"n_words": w.counts(), "spans": [_merged(x) for x in spans], "items": [sorted(x) for x in items]}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_words": [], "spans": [], "items": []})
 
     return scan
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans that don't overlap or touch, in order."""
+    held: list[dict] = []
+    for a, b in sorted(spans):
+        if held and a <= held[-1]["end"]:
+            held[-1]["end"] = max(b, held[-1]["end"])
+        else:
+            held.append({"start": a, "end": b})
+    return held
+
+
 def rolling_at(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """rolling(h, n) at those starts only."""
     if not len(starts):
@@ -181,22 +192,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def merged(lists: pd.Series) -> pd.Series:
-        out = []
-        for spans in lists:
-            held: list[dict] = []
-            for a, b in sorted((s["start"], s["end"]) for s in spans):
-                if held and a <= held[-1]["end"]:
-                    held[-1]["end"] = max(b, held[-1]["end"])
-                else:
-                    held.append({"start": a, "end": b})
-            out.append(held)
-        return pd.Series(out)
+        return pd.Series([_merged([(s["start"], s["end"]) for s in spans]) for spans in lists])
 
     results = ["n_words", "n_hit", "spans", "items", "contaminated"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in results]
     found = docs.select(*rest, *(scan(text).alias(f"__b{i}") for i, scan in enumerate(blocks)))
     of = lambda c: [F.col(f"__b{i}.{c}") for i in range(len(blocks))]
-    found = found.select(*rest, F.col("__b0.n_words").alias("n_words"), merged(F.concat(*of("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.concat(*of("items")))).alias("items"))
+    found = found.select(*rest, F.col("__b0.n_words").alias("n_words"), (merged(F.concat(*of("spans"))) if len(blocks) > 1 else F.col("__b0.spans")).alias("spans"), F.array_sort(F.array_distinct(F.concat(*of("items")))).alias("items"))
     found = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
     contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * least_percent)
     return found.withColumn("contaminated", contaminated).select(*rest, *results)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, cut, likely_in, prepare
+from matlink.llm.common import batches, cut, prepare, with_likely
 from matlink.llm.wordvec import Words, mix, rolling, valid_starts
 
 #: Perfect difference covers by period. Fixed values.
@@ -238,7 +238,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield from out.give(_HELD)
         yield from out.give()
 
-    touched = texts.where(likely_in(near, "id", F.col("id"))).join(near, "id").select("id", "text", "places")
+    touched = with_likely(texts, "__hit", F.col("id"), near, "id").where("__hit").drop("__hit").join(near, "id").select("id", "text", "places")
     repeats = cut(_repeats(touched.mapInPandas(windows, _ROWS), buckets, parts, first_only=True))
 
     @F.pandas_udf("n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
@@ -266,11 +266,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     results = ["n_words", "n_removed", "removed", "kept_text"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in results]
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    hit = likely_in(repeats, "id", key)
+    marked = with_likely(docs, "__hit", key, repeats, "id")
     text = F.col(text_col).cast("string")
-    whole = docs.where(~hit).select(*rest, finish(text, F.lit(None).cast("array<int>")).alias("__done"))
+    whole = marked.where("not __hit").select(*rest, finish(text, F.lit(None).cast("array<int>")).alias("__done"))
     places = repeats.select(F.col("id").alias("__id"), F.col("places").alias("__places"))
-    cuts = docs.where(hit).join(places, key == F.col("__id"), "left").select(*rest, finish(text, F.col("__places")).alias("__done"))
+    cuts = marked.where("__hit").join(places, key == F.col("__id"), "left").select(*rest, finish(text, F.col("__places")).alias("__done"))
     return whole.unionByName(cuts).select(*rest, *(F.col(f"__done.{c}") for c in results))
 
 
