@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from matlink.plans import money
+from matlink.plans import items, money
 
-_MODULES = (money,)
+_MODULES = (money, items)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
