@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -35,6 +36,10 @@ def token_set(x: str | None, y: str | None) -> float:
     return best
 
 
-@F.pandas_udf("double")
-def token_set_similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+def _similar(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([token_set(a, b) for a, b in zip(x, y, strict=True)], dtype=float)
+
+
+def token_set_similarity(x, y) -> Column:
+    """token_set() of two columns."""
+    return F.pandas_udf(_similar, "double")(x, y)

@@ -170,4 +170,4 @@ def item_code(number: Column) -> Column:
 
 
 def code_valid(code: Column) -> Column:
-    return code.rlike(r"^NMC-\d{11}$") & F.coalesce(F.luhn_check(F.substring(code, 5, 11)), F.lit(False))
+    return code.rlike(r"^NMC-\d{11}$") & F.coalesce(F.call_function("luhn_check", F.substring(code, 5, 11)), F.lit(False))
