@@ -55,7 +55,7 @@ FROM gaps ORDER BY gap_value DESC, item LIMIT 10""",
 def group_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted average price of each item and org in the trailing year."""
     prices = weighted_prices(trailing_year(purchases(spark, sf_dir)))
-    return prices.select("item", "org", F.round("qty", 2).alias("qty"), F.round("price", 6).alias("price"))
+    return prices.select("item", "org", F.round("qty", 2).alias("qty"), F.round("price", 9).alias("price"))
 
 
 def pooled_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def stock_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (group_prices, pooled_spend, annual_figures, stock_sharing)}
 ORACLE_SQL |= {
-    "group_prices": f"WITH {PRICES_SQL} SELECT item, org, ROUND(qty, 2) AS qty, ROUND(price, 6) AS price FROM prices",
+    "group_prices": f"WITH {PRICES_SQL} SELECT item, org, ROUND(qty, 2) AS qty, ROUND(price, 9) AS price FROM prices",
     "pooled_spend": f"WITH {PRICES_SQL} SELECT COUNT(*) AS items, ROUND(SUM(pooled_spend), 0) AS pooled_spend, ROUND(SUM(gap_value), 0) AS gap_value FROM gaps",
     "annual_figures": f"WITH {PRICES_SQL} SELECT item, ROUND(SUM(qty), 2) AS annual_qty, ROUND(SUM(qty * unit_price), 0) AS annual_value FROM recent GROUP BY item",
     "stock_sharing": f"""WITH {PRICES_SQL}, cutoff AS (SELECT MAX(po_date) - INTERVAL 12 MONTH AS d FROM po),
