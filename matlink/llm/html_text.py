@@ -157,8 +157,8 @@ def walk(page: str, templates=frozenset(), host_key: bytes = b"", hashing: bool
                 at = stop
     while len(stack) > 1:
         close()
-    kept = articles or mains or stack[0].text
-    return hashes, " ".join(" ".join(kept).split())
+    kept = " ".join(articles or mains) or "".join(stack[0].text)
+    return hashes, " ".join(kept.split())
 
 
 def _host(url):
