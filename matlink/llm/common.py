@@ -1,17 +1,19 @@
-"""Small helpers that the operators share: checkpoints, tables, bitmaps, components."""
+"""Small helpers that the operators share: batches of texts, memory, bitmaps."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matlink.operators.graph import components, cut, shared_dir
+
+
+__all__ = ["batches", "bitmap", "components", "cut", "prepare", "release", "shared_dir", "with_likely"]
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
@@ -19,18 +21,6 @@ except OSError:  # another C library
     _LIBC = None
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where none is set (tests, local mode)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/checkpoints"
-    return where
-
-
 #: Rows of an Arrow batch, unless the session sets another number than Spark's own.
 _BATCH_ROWS = 1000
 
@@ -49,14 +39,6 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, so that lost executors cost nothing."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def batches(table_batch, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows whose texts (a list) hold about limit characters at most, or one row.
 
@@ -105,37 +87,3 @@ def with_likely(df: DataFrame, name: str, key: Column, ids: DataFrame, column: s
     df = df.withColumn("__bit", F.when(key.isNotNull(), place(key)))
     hit = F.expr("coalesce((shiftrightunsigned(__bits, CAST(__bit & 63 AS INT)) & 1) = 1, false)")
     return df.join(F.broadcast(words), F.shiftrightunsigned("__bit", 6) == F.col("__word"), "left").withColumn(name, hit).drop("__bit", "__word", "__bits")
-
-
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of undirected links (a, b) of longs; component is the smallest node.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): each round is
-    a grouped minimum and a join, and is checkpointed. Nodes without links don't appear.
-    """
-    spark = links.sparkSession
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-
-    now = state(edges)
-    for _ in range(max_rounds):
-        if not now[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
-        then, now = now, state(edges)
-        if then == now:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        roots.join(edges.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
-    ) if now[0] else spark.createDataFrame([], "node long, component long")
