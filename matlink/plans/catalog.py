@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from matlink.plans import items, money, records
+from matlink.plans import harmonise, items, money, records
 
-_MODULES = (money, items, records)
+_MODULES = (money, items, records, harmonise)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
