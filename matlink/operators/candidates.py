@@ -36,14 +36,26 @@ def block_sizes(records: DataFrame) -> DataFrame:
     return records.where("category is not null and block is not null").groupBy("category", "block").agg(F.count("*").alias("size"))
 
 
-def block_pairs(records: DataFrame, mode: str = "CROSS", cap: int = 2000) -> DataFrame:
-    """Pairs of a category and block of at most cap records; each block is a bounded square."""
-    small = block_sizes(records).where(F.col("size") <= cap).select("category", "block")
-    return _self_pairs(records.join(small, ["category", "block"]), ["category", "block"], mode)
+def block_pairs(records: DataFrame, mode: str = "CROSS", cap: int | None = None, chunk: int = 2000) -> DataFrame:
+    """All pairs of a category and block; with a cap, only of blocks of at most cap records.
+
+    A block of more than chunk records is split by a hash of the id, and each chunk meets each,
+    so a join's group stays near chunk records whatever the block's size.
+    """
+    keys = ["category", "block"]
+    sizes = block_sizes(records)
+    if cap is not None:
+        sizes = sizes.where(F.col("size") <= cap)
+    rows = records.select(*keys, "id", "org").join(sizes.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("long")), keys)
+    own, each = F.pmod(F.xxhash64("id"), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    a = rows.select(*keys, F.col("id").alias("id_a"), F.col("org").alias("org_a"), own.alias("chunk_a"), each.alias("chunk_b"))
+    b = rows.select(*keys, F.col("id").alias("id_b"), F.col("org").alias("org_b"), own.alias("chunk_b"), each.alias("chunk_a"))
+    pairs = a.join(b, [*keys, "chunk_a", "chunk_b"])
+    return pairs.where((F.col("id_a") < F.col("id_b")) & allowed(F.col("org_a"), F.col("org_b"), mode)).select("id_a", "id_b")
 
 
 def unblocked(records: DataFrame, cap: int = 2000) -> DataFrame:
-    """Records with a category that block_pairs() leaves out."""
+    """Records with a category that block_pairs() leaves out at this cap."""
     small = block_sizes(records).where(F.col("size") <= cap).select("category", "block")
     return records.where("category is not null").join(small, ["category", "block"], "left_anti")
 
