@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -318,18 +319,18 @@ def score(docs: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id",
     """id, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     base_score adds one to all counts, over the known words and one unknown. A null or empty
-    text is its end. Rows are told apart by id and a hash of the text, so repeated rows have
-    equal results; null ids are kept. With no training text every word is unknown.
+    text is its end. Rows are numbered as they are written to the checkpoint, so repeated rows
+    and null ids are rows of their own. With no training text every word is unknown.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     buckets, trained, log_all = counts.buckets, counts.texts, float(np.log10(counts.tokens + counts.types + 1))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("row", F.xxhash64("id", "text"))
 
     def local(frames):
         """Each text's own part (bucket -1), and its rare words packed by bucket."""
         m = sent.value
+        next_row = TaskContext.get().partitionId() << 40
         held_rows, held_keys, size = [], [], 0
 
         def give():
@@ -347,7 +348,9 @@ def score(docs: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id",
             return pd.DataFrame(rows, columns=["bucket", "rows", "sizes", "keys"]).assign(id=pd.array([pd.NA] * len(rows), "Int64"), n_tokens=0, n_known=0, base=0.0, hmm=0.0)
 
         for frame in frames:
-            ids, text, row = frame["id"].astype("Int64"), frame["text"].tolist(), frame["row"].to_numpy(np.int64)
+            ids, text = frame["id"].astype("Int64"), frame["text"].tolist()
+            row = next_row + np.arange(len(text), dtype=np.int64)
+            next_row += len(text)
             for a, b in batches(text, 4 << 20):
                 key, first = _keys(text[a:b])
                 sym = m.symbols(key)
