@@ -14,7 +14,7 @@ from matlink.operators.cluster import blocked_witness, constrained_clusters
 from matlink.operators.decide import decide, lookalike, sides, stored_evidence
 from matlink.operators.extract import specs
 from matlink.operators.graph import components, cut
-from matlink.plans.views import item_texts
+from matlink.plans.views import item_part_number, item_texts
 
 
 @dataclass(frozen=True)
@@ -25,10 +25,11 @@ class Run:
     blocked: DataFrame
 
 
-def run(records: DataFrame, mode: str = "CROSS", lexical_k: int = 200, block_cap: int = 2000, auto: bool = False) -> Run:
+def run(records: DataFrame, mode: str = "CROSS", lexical_k: int = 200, block_cap: int = 2000, auto: bool = False, vectors: DataFrame | None = None, dense_k: int = 20) -> Run:
     """All stages over records: id, org, short_text, long_text, maker, mpn, critical.
 
-    auto=False sends every positive pair to review. A CROSS run needs two orgs.
+    auto=False sends every positive pair to review. A CROSS run needs two orgs. vectors (id,
+    vector) adds a channel: those of each record's dense_k nearest of its category that mode allows.
     """
     if mode == "CROSS" and records.select("org").distinct().limit(2).count() < 2:
         raise ValueError("a run across organisations needs two of them")
@@ -39,6 +40,10 @@ def run(records: DataFrame, mode: str = "CROSS", lexical_k: int = 200, block_cap
     found = {"B": C.block_pairs(made, mode, block_cap), "M": C.part_number_pairs(made, mode)}
     queries = made.where("category is not null").join(C.unblocked(made, block_cap).select("id"), "id", "left_semi").unionByName(made.where("category is not null and block is null")).dropDuplicates(["id"])
     found["L"] = C.lexical_neighbours(made.where("category is not null"), queries, lexical_k, mode)
+    if vectors is not None:
+        near = C.dense_neighbours(made.where("category is not null").select("id", "category").join(vectors.where("vector is not null"), "id"), dense_k)
+        a, b = (made.select(F.col("id").alias(f"id_{x}"), F.col("org").alias(f"org_{x}")) for x in "ab")
+        found["D"] = near.join(a, "id_a").join(b, "id_b").where(C.allowed(F.col("org_a"), F.col("org_b"), mode)).select("id_a", "id_b")
     pairs = decide(sides(C.merged(**found), made))
     pairs = pairs.withColumn("text_sim", F.round(token_set_similarity("a_norm_text", "b_norm_text"), 4)).withColumn("evidence", stored_evidence(F.col("evidence")))
     route = F.col("route") if auto else F.when(F.col("route") == "AUTO_ELIGIBLE", "REVIEW").otherwise(F.col("route"))
@@ -59,10 +64,9 @@ def conflicts_inside(edges: DataFrame, made: DataFrame) -> DataFrame:
 
 def harmonise_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of a whole run over the items."""
-    items = item_texts(spark, sf_dir)
     none = F.lit(None)
-    records = items.select("id", F.col("style").cast("string").alias("org"), F.col("text").alias("short_text"), none.cast("string").alias("long_text"), none.cast("string").alias("maker"), none.cast("string").alias("mpn"), none.cast("boolean").alias("critical"))
-    return run(records, lexical_k=5).members
+    records = item_texts(spark, sf_dir).select("id", F.col("style").cast("string").alias("org"), F.col("text").alias("short_text"), none.cast("string").alias("long_text"), *item_part_number(), none.cast("boolean").alias("critical"))
+    return run(records).members
 
 
 QUERIES = {"harmonise_run": harmonise_run}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matlink.functions.text import normaliser
@@ -51,12 +51,18 @@ def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {TEXTS_SQL} SELECT * FROM texts".replace("FROM part)", "FROM {part})"), part=part)
 
 
+def item_part_number() -> list[Column]:
+    """Maker and part number of the items that have them, from k."""
+    known = F.col("k") % 7 == 0
+    return [F.when(known, "ACME").alias("maker"), F.when(known, F.concat(F.lit("P"), F.col("k").cast("string"))).alias("mpn")]
+
+
 def item_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Specs of the items, with org (the style), maker, part number and block."""
     texts = item_texts(spark, sf_dir)
     norm = normaliser()
     rows = texts.select("id", norm("text").alias("n")).select("id", F.col("n.text").alias("norm_text"), F.col("n.repairs").alias("repairs"))
-    own = texts.select(F.col("id").alias("_id"), F.col("style").cast("string").alias("org"), F.when(F.col("k") % 7 == 0, "ACME").alias("maker"), F.when(F.col("k") % 7 == 0, F.concat(F.lit("P"), F.col("k").cast("string"))).alias("mpn"), F.lit(None).cast("boolean").alias("critical"))
+    own = texts.select(F.col("id").alias("_id"), F.col("style").cast("string").alias("org"), *item_part_number(), F.lit(None).cast("boolean").alias("critical"))
     # the specs are a dataset of their own: kept once, and cheap to optimise over
     out = cut(specs(rows, repairs_col="repairs")).join(own, F.col("id") == F.col("_id")).drop("_id")
     return out.withColumn("block", block_value(F.col("category"), F.col("attrs")))
