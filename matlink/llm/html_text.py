@@ -4,9 +4,10 @@ A page is walked once per pass with a stack of open elements. Pass one hashes th
 subtrees (tag, text and child hashes) outside the article; Spark counts on how many pages
 of a host each occurs. Pass two deletes subtrees that recur on many pages of their host,
 and what its tag, role or class says is no main text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments). The text of the articles is kept, or
-of main, or of the body where a page has neither. Paragraphs inside an article that recur
-(a licence line) belong to it and stay.
+notices, adverts, forms, scripts, styles, comments). What holds an article or is main is
+no template itself. The text of the articles is kept; that of main where the articles have
+less than half as much; that of the body where a page has neither. Paragraphs inside an
+article that recur (a licence line) belong to it and stay.
 """
 
 from __future__ import annotations
@@ -65,10 +66,10 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Open:
-    __slots__ = ("tag", "dropped", "article", "main", "parts", "text")
+    __slots__ = ("tag", "dropped", "article", "main", "holds", "parts", "text")
 
     def __init__(self, tag, dropped, article, main):
-        self.tag, self.dropped, self.article, self.main, self.parts, self.text = tag, dropped, article, main, [], []
+        self.tag, self.dropped, self.article, self.main, self.holds, self.parts, self.text = tag, dropped, article, main, False, [], []
 
 
 def walk(page: str, templates=frozenset(), host_key: bytes = b"", hashing: bool = True) -> tuple[set[int], str]:
@@ -82,19 +83,22 @@ def walk(page: str, templates=frozenset(), host_key: bytes = b"", hashing: bool
         node = stack.pop()
         above = stack[-1]
         block = node.tag not in _INLINE
+        # an article or main itself, and what is around one
+        node.holds = node.holds or (node.article and not above.article) or (node.main and not above.main)
+        above.holds = above.holds or node.holds
         if hashing and not above.article and (node.parts or node.text):
             digest = blake2b(host_key + node.tag.encode() + b"\0" + b"\0".join(node.parts), digest_size=8).digest()
             above.parts.append(digest)
             if block and node.parts:
                 key = int.from_bytes(digest, "little", signed=True)
                 hashes.add(key)
-                if key in templates and not node.article and not node.main:
+                if key in templates and not node.article and not node.holds:
                     node.text = []
         if node.text and not node.dropped:
             text = "".join(node.text)
             if node.article and not above.article:
                 articles.append(text)
-            elif node.main and not above.main:
+            if node.main and not above.main:
                 mains.append(text)
             above.text.append(f" {text} " if block else text)
         elif block:
@@ -157,8 +161,9 @@ def walk(page: str, templates=frozenset(), host_key: bytes = b"", hashing: bool
                 at = stop
     while len(stack) > 1:
         close()
-    kept = " ".join(articles or mains) or "".join(stack[0].text)
-    return hashes, " ".join(kept.split())
+    article, main, body = (" ".join(" ".join(x).split()) for x in (articles, mains, ["".join(stack[0].text)]))
+    kept = main if 2 * len(article) < len(main) else article or body
+    return hashes, kept
 
 
 def _host(url):
