@@ -33,7 +33,7 @@ _CLASSES = 1 << _CLASS_BITS
 _LOW = np.uint64(_CLASSES - 1)
 _PART = 1 << 15
 _HELD = 1_500_000
-_SEEDS = 256
+_SKETCH = 64
 _SEGMENT = 128
 
 
@@ -197,8 +197,12 @@ def _vocabulary(counts: Counts, share: float):
 
 
 def train(docs: DataFrame, counts: Counts, text_col: str = "text", states: int = 8, rounds: int = 5, share: float = 5e-5, smoothing: float = 0.05) -> Model:
-    """A model of all texts of docs, whose words are counts. Only the first guess comes from a bounded
-    sample: the most unlike of _SEEDS texts give the states' first emissions."""
+    """A model of all texts of docs, whose words are counts.
+
+    The first emissions come from all texts, too, of any length and in any order: texts are
+    parted by the main directions in which their symbols differ, and each part's counts are
+    half of a state's emissions. A fixed perturbation tells the states apart where texts don't.
+    """
     spark = docs.sparkSession
     frequent, n, tokens, types, discount = _vocabulary(counts, share)
     unigram = np.concatenate([n, tokens, [counts.texts]]).astype(float) + smoothing
@@ -209,46 +213,74 @@ def train(docs: DataFrame, counts: Counts, text_col: str = "text", states: int =
     if states == 1:
         model.move = np.ones((1, 1))
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    first = [r[0] for r in texts.where("length(text) between 200 and 20000").limit(_SEEDS).collect()]
-    if first:
-        key, at = _keys(first)
-        sym = model.symbols(key)
-        rows = np.stack([np.bincount(sym[a:b], minlength=len(unigram)) for a, b in zip(at[:-1], at[1:], strict=True)]).astype(float)
-        rows = np.sqrt(rows / np.maximum(rows.sum(axis=1, keepdims=True), 1))
-        picked = [int((rows @ rows.T).sum(axis=1).argmax())]
-        while len(picked) < min(states, len(rows)):
-            picked.append(int((rows @ rows[picked].T).max(axis=1).argmin()))
-        own = rows @ rows[picked].T
-        for s in range(len(picked)):
-            near = rows[own.argmax(axis=1) == s] ** 2
-            model.emit[:, s] = 0.5 * unigram + 0.5 * near.mean(axis=0)
+    if counts.texts and states > 1:
+        model.emit = _first_emissions(texts, model, unigram, states)
     size = len(unigram) * states + states * states + 2 * states
     for _ in range(rounds if counts.texts else 0):
-        sent = spark.sparkContext.broadcast(model)
-
-        def expect(frames, sent=sent):
-            total = np.zeros(size)
-            for frame in frames:
-                text = frame["text"].tolist()
-                for a, b in batches(text):
-                    _expected(sent.value, *_keys(text[a:b]), total)
-            for part in range(0, size, _PART):
-                yield pd.DataFrame({"part": [part], "sums": [total[part : part + _PART].astype("<f8").tobytes()]})
-
-        def add(frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": frame["part"][:1], "sums": [np.sum([np.frombuffer(x, "<f8") for x in frame["sums"]], axis=0).tobytes()]})
-
-        got = texts.mapInPandas(expect, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").toPandas().sort_values("part")
-        total = np.concatenate([np.frombuffer(x, "<f8") for x in got["sums"]])
+        total = _totals(texts, model, size, _expected)
         emit, rest = total[: len(unigram) * states].reshape(-1, states), total[len(unigram) * states :]
         move, start, begin = rest[: states * states].reshape(states, states), rest[states * states : -states], rest[-states:]
         emit = emit + smoothing * unigram[:, None] * len(unigram) / 100
         model.emit, model.move = emit / emit.sum(axis=0), (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True)
         model.start, model.begin = (start + 0.1) / (start + 0.1).sum(), (begin + 0.1) / (begin + 0.1).sum()
-        sent.unpersist()
     return model
 
 
+def _totals(texts: DataFrame, model: Model, size: int, fill) -> np.ndarray:
+    """The sums that fill(model, keys, first, total) adds to over all texts: per task, then across tasks in pieces."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def each(frames):
+        total = np.zeros(size)
+        for frame in frames:
+            text = frame["text"].tolist()
+            for a, b in batches(text):
+                fill(sent.value, *_keys(text[a:b]), total)
+        for part in range(0, size, _PART):
+            yield pd.DataFrame({"part": [part], "sums": [total[part : part + _PART].astype("<f8").tobytes()]})
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": frame["part"][:1], "sums": [np.sum([np.frombuffer(x, "<f8") for x in frame["sums"]], axis=0).tobytes()]})
+
+    got = texts.mapInPandas(each, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").toPandas().sort_values("part")
+    sent.unpersist()
+    return np.concatenate([np.frombuffer(x, "<f8") for x in got["sums"]])
+
+
+def _first_emissions(texts: DataFrame, model: Model, unigram: np.ndarray, states: int) -> np.ndarray:
+    """First emissions of the states, from two passes over all texts."""
+    code = mix(np.arange(len(unigram), dtype=np.uint64))
+    place, sign = (code % np.uint64(_SKETCH)).astype(np.int64), np.where(code >> np.uint64(63), 1.0, -1.0)
+    weight = sign * np.minimum(np.sqrt(1e-4 / unigram), 1)  # frequent words say little of a text
+
+    def sketch(m, key, first):
+        sym, n = m.symbols(key), len(first) - 1
+        owner = np.repeat(np.arange(n), np.diff(first))
+        rows = np.bincount(owner * _SKETCH + place[sym], weight[sym], n * _SKETCH).reshape(n, _SKETCH)
+        return sym, owner, rows / np.maximum(np.sqrt((rows**2).sum(axis=1, keepdims=True)), 1e-12)
+
+    def spread(m, key, first, total):
+        rows = sketch(m, key, first)[2]
+        total += np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows).ravel()])
+
+    total = _totals(texts, model, 1 + _SKETCH + _SKETCH * _SKETCH, spread)
+    mean = total[1 : 1 + _SKETCH] / total[0]
+    ways = np.linalg.eigh(total[1 + _SKETCH :].reshape(_SKETCH, _SKETCH) / total[0] - np.outer(mean, mean))[1][:, ::-1]
+    ways = ways[:, : min((states - 1).bit_length(), _SKETCH)]
+    ways = ways * np.sign(ways[np.abs(ways).argmax(axis=0), np.arange(ways.shape[1])])
+
+    def count(m, key, first, total):
+        sym, owner, rows = sketch(m, key, first)
+        part = ((rows - mean) @ ways > 0) @ (1 << np.arange(ways.shape[1])) % states
+        total += np.bincount(sym * states + part[owner], minlength=len(total))
+
+    own = _totals(texts, model, len(unigram) * states, count).reshape(-1, states)
+    own = own + unigram[:, None]
+    noise = mix(np.arange(own.size, dtype=np.uint64) + np.uint64(1 << 32)).astype(float).reshape(own.shape) / 2.0**64
+    out = (0.5 * unigram[:, None] + 0.5 * own / own.sum(axis=0)) * (0.9 + 0.2 * noise)
+    return out / out.sum(axis=0)
+
+
 def _expected(m: Model, key: np.ndarray, first: np.ndarray, total: np.ndarray) -> None:
     """Adds the expected counts of some texts: forward and backward over segments, all at a time."""
     states = m.emit.shape[1]
