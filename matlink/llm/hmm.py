@@ -8,8 +8,9 @@ c, and D V / N for the event that a word is unknown. So the probabilities of the
 and the unknown sum to one.
 
 1. Words are counted in shards by hash; a task sums up its own before it sends them.
-2. Each Baum-Welch round runs over all training texts, in segments; expected counts are
-   summed up per task, then across tasks, in pieces of fixed size.
+2. All texts are encoded to symbols once, and kept. Each Baum-Welch round runs over the
+   symbols of all training texts, in segments; expected counts are summed up per task,
+   then across tasks, in pieces of fixed size.
 3. A text's score is the exact likelihood of its symbols by the scaled forward recursion
    over the whole text, times the class probabilities of its rare words. These come from a
    join of the rare words with the count shards, summed up by text on the way back.
@@ -17,12 +18,13 @@ and the unknown sum to one.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matlink.llm.common import batches, cut, prepare
@@ -35,6 +37,7 @@ _PART = 1 << 15
 _HELD = 1_500_000
 _SKETCH = 64
 _SEGMENT = 128
+_LONG = 2048
 
 
 def _keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -196,23 +199,111 @@ def _vocabulary(counts: Counts, share: float):
     return key[order], n[order], total("tokens"), total("types"), discount
 
 
+def untrained(counts: Counts, states: int = 8, share: float = 5e-5, smoothing: float = 0.05) -> Model:
+    """The symbols of the words of counts, and a model that knows no more than how often they occur."""
+    frequent, n, tokens, types, discount = _vocabulary(counts, share)
+    unigram = np.concatenate([n, tokens, [counts.texts]]).astype(float) + smoothing
+    unigram /= unigram.sum()
+    ones = np.full(states, 1 / states)
+    stay = 0.9
+    move = np.full((states, states), (1 - stay) / (states - 1)) + np.eye(states) * (stay - (1 - stay) / (states - 1)) if states > 1 else np.ones((1, 1))
+    return Model(frequent, n, tokens, types, discount, ones, ones, move, np.repeat(unigram[:, None], states, axis=1))
+
+
+def encode(docs: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id", text_col: str = "text", learned: Column | None = None) -> DataFrame:
+    """All texts as symbols, so that no later pass reads the texts; kept in the checkpoint folder.
+
+    Rows of bucket -1 are the rows of docs: a number of their own, id, learned, n_tokens, n_known
+    and base of the frequent words, and their symbols. The other rows are rare words by bucket.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    sent = spark.sparkContext.broadcast(model)
+    buckets, trained = counts.buckets, counts.texts
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.lit(True) if learned is None else learned).alias("learned"))
+
+    def local(frames):
+        m = sent.value
+        kind = _kind(m)
+        next_row = TaskContext.get().partitionId() << 40
+        held_rows, held_keys, size = [], [], 0
+
+        def give():
+            row, key = np.concatenate(held_rows), np.concatenate(held_keys)
+            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((row, bucket))
+            row, key = row[order], key[order]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                if z > a:
+                    head = np.concatenate([[0], np.flatnonzero(np.diff(row[a:z])) + 1])
+                    n = np.diff(head, append=z - a)
+                    rows.append((b, row[a:z][head].astype("<i8").tobytes(), n.astype("<i4").tobytes(), key[a:z].astype("<u8").tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "rows", "sizes", "keys"]).assign(id=pd.array([pd.NA] * len(rows), "Int64"), learned=False, n_tokens=0, n_known=0, base=0.0, symbols=None)
+
+        for frame in frames:
+            ids, text, learn = frame["id"].astype("Int64"), frame["text"].tolist(), frame["learned"].to_numpy()
+            row = next_row + np.arange(len(text), dtype=np.int64)
+            next_row += len(text)
+            for a, b in batches(text, 4 << 20):
+                key, first = _keys(text[a:b])
+                sym = m.symbols(key)
+                common = sym < len(m.frequent)
+                owner = np.repeat(np.arange(b - a), np.diff(first))
+                base = np.bincount(owner[common], np.log10(m.counts[sym[common]] + 1), b - a) + np.log10(trained + 1)
+                known = np.bincount(owner[common], minlength=b - a) + (trained > 0)
+                packed = sym.astype(kind)
+                out = pd.DataFrame({"bucket": -1, "sizes": None, "keys": None, "id": ids.iloc[a:b].array, "learned": learn[a:b], "n_tokens": np.diff(first) + 1, "n_known": known, "base": base})
+                yield out.assign(rows=[x.tobytes() for x in row[a:b].astype("<i8")], symbols=[packed[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
+                held_rows.append(row[a:b][owner[~common]])
+                held_keys.append(key[~common])
+                size += len(held_keys[-1])
+                if size > _HELD:
+                    yield give()
+                    held_rows, held_keys, size = [], [], 0
+        if size:
+            yield give()
+
+    out = cut(texts.mapInPandas(local, "bucket int, rows binary, sizes binary, keys binary, id long, learned boolean, n_tokens long, n_known long, base double, symbols binary"))
+    sent.unpersist()
+    return out
+
+
+def _kind(m: Model) -> str:
+    return "<u2" if m.end < 1 << 16 else "<u4"
+
+
+def _chunks(packed: Iterable[bytes], m: Model, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of texts, symbols and bounds of runs of texts of about most symbols, or of one text."""
+    kind = _kind(m)
+    size, held, n = np.dtype(kind).itemsize, [], 0
+    for x in [*packed, None]:
+        if held and (x is None or n + len(x) // size > most):
+            first = np.concatenate([[0], np.cumsum([len(h) // size for h in held])])
+            yield len(held), np.frombuffer(b"".join(held), kind).astype(np.int64), first
+            held, n = [], 0
+        if x is not None:
+            held.append(x)
+            n += len(x) // size
+
+
 def train(docs: DataFrame, counts: Counts, text_col: str = "text", states: int = 8, rounds: int = 5, share: float = 5e-5, smoothing: float = 0.05) -> Model:
-    """A model of all texts of docs, whose words are counts.
+    """A model of all texts of docs, whose words are counts."""
+    model = untrained(counts, states, share, smoothing)
+    numbered = docs.select(F.lit(None).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    return fit(encode(numbered, model, counts, "__id", "__text"), model, counts, rounds, smoothing)
+
+
+def fit(coded: DataFrame, model: Model, counts: Counts, rounds: int = 5, smoothing: float = 0.05) -> Model:
+    """model after rounds of Baum-Welch over the learned rows of encode().
 
     The first emissions come from all texts, too, of any length and in any order: texts are
     parted by the main directions in which their symbols differ, and each part's counts are
     half of a state's emissions. A fixed perturbation tells the states apart where texts don't.
     """
-    spark = docs.sparkSession
-    frequent, n, tokens, types, discount = _vocabulary(counts, share)
-    unigram = np.concatenate([n, tokens, [counts.texts]]).astype(float) + smoothing
-    unigram /= unigram.sum()
-    ones = np.full(states, 1 / states)
-    stay = 0.9
-    model = Model(frequent, n, tokens, types, discount, ones, ones, np.full((states, states), (1 - stay) / max(states - 1, 1)) + np.eye(states) * (stay - (1 - stay) / max(states - 1, 1)), np.repeat(unigram[:, None], states, axis=1))
-    if states == 1:
-        model.move = np.ones((1, 1))
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = coded.where("bucket < 0 and learned").select("symbols")
+    unigram, states = model.emit[:, 0].copy(), model.emit.shape[1]
     if counts.texts and states > 1:
         model.emit = _first_emissions(texts, model, unigram, states)
     size = len(unigram) * states + states * states + 2 * states
@@ -227,15 +318,14 @@ def train(docs: DataFrame, counts: Counts, text_col: str = "text", states: int =
 
 
 def _totals(texts: DataFrame, model: Model, size: int, fill) -> np.ndarray:
-    """The sums that fill(model, keys, first, total) adds to over all texts: per task, then across tasks in pieces."""
+    """The sums that fill(model, symbols, first, total) adds to over all texts: per task, then across tasks in pieces."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def each(frames):
         total = np.zeros(size)
         for frame in frames:
-            text = frame["text"].tolist()
-            for a, b in batches(text):
-                fill(sent.value, *_keys(text[a:b]), total)
+            for _, sym, first in _chunks(frame["symbols"].tolist(), sent.value, 1 << 18):
+                fill(sent.value, sym, first, total)
         for part in range(0, size, _PART):
             yield pd.DataFrame({"part": [part], "sums": [total[part : part + _PART].astype("<f8").tobytes()]})
 
@@ -253,14 +343,14 @@ def _first_emissions(texts: DataFrame, model: Model, unigram: np.ndarray, states
     place, sign = (code % np.uint64(_SKETCH)).astype(np.int64), np.where(code >> np.uint64(63), 1.0, -1.0)
     weight = sign * np.minimum(np.sqrt(1e-4 / unigram), 1)  # frequent words say little of a text
 
-    def sketch(m, key, first):
-        sym, n = m.symbols(key), len(first) - 1
+    def sketch(sym, first):
+        n = len(first) - 1
         owner = np.repeat(np.arange(n), np.diff(first))
         rows = np.bincount(owner * _SKETCH + place[sym], weight[sym], n * _SKETCH).reshape(n, _SKETCH)
-        return sym, owner, rows / np.maximum(np.sqrt((rows**2).sum(axis=1, keepdims=True)), 1e-12)
+        return owner, rows / np.maximum(np.sqrt((rows**2).sum(axis=1, keepdims=True)), 1e-12)
 
-    def spread(m, key, first, total):
-        rows = sketch(m, key, first)[2]
+    def spread(m, sym, first, total):
+        rows = sketch(sym, first)[1]
         total += np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows).ravel()])
 
     total = _totals(texts, model, 1 + _SKETCH + _SKETCH * _SKETCH, spread)
@@ -269,8 +359,8 @@ def _first_emissions(texts: DataFrame, model: Model, unigram: np.ndarray, states
     ways = ways[:, : min((states - 1).bit_length(), _SKETCH)]
     ways = ways * np.sign(ways[np.abs(ways).argmax(axis=0), np.arange(ways.shape[1])])
 
-    def count(m, key, first, total):
-        sym, owner, rows = sketch(m, key, first)
+    def count(m, sym, first, total):
+        owner, rows = sketch(sym, first)
         part = ((rows - mean) @ ways > 0) @ (1 << np.arange(ways.shape[1])) % states
         total += np.bincount(sym * states + part[owner], minlength=len(total))
 
@@ -281,69 +371,76 @@ def _first_emissions(texts: DataFrame, model: Model, unigram: np.ndarray, states
     return out / out.sum(axis=0)
 
 
-def _expected(m: Model, key: np.ndarray, first: np.ndarray, total: np.ndarray) -> None:
+@dataclass
+class _Lanes:
+    """Runs of symbols side by side, longest first, step by step: where each symbol stands, and each step's bounds."""
+
+    here: np.ndarray
+    bounds: list[int]
+    order: np.ndarray
+
+    @classmethod
+    def of(cls, begin: np.ndarray, length: np.ndarray):
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        steps = int(length[0]) if len(length) else 0
+        active = np.searchsorted(-length, -np.arange(steps), side="left")
+        off = np.concatenate([[0], np.cumsum(active)])
+        lane = np.arange(off[-1]) - np.repeat(off[:-1], active)
+        return cls(begin[lane] + np.repeat(np.arange(steps), active), off.tolist(), order)
+
+
+def _forward_steps(m: Model, emit: np.ndarray, bounds: list[int], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities (states by symbols) and the scales; first: of each lane's first state."""
+    alpha, scale, move = np.empty_like(emit), np.empty(emit.shape[1]), np.ascontiguousarray(m.move.T)
+    for t in range(len(bounds) - 1):
+        lo, hi = bounds[t], bounds[t + 1]
+        before = first if t == 0 else move @ alpha[:, bounds[t - 1] : bounds[t - 1] + hi - lo]
+        a = np.multiply(before, emit[:, lo:hi], out=alpha[:, lo:hi])
+        c = np.sum(a, axis=0, out=scale[lo:hi])
+        a /= c
+    return alpha, scale
+
+
+def _expected(m: Model, sym: np.ndarray, first: np.ndarray, total: np.ndarray) -> None:
     """Adds the expected counts of some texts: forward and backward over segments, all at a time."""
-    states = m.emit.shape[1]
-    sym, at = _with_ends(m.symbols(key), first, m.end)
-    counts = np.diff(at)
-    pieces = -(-counts // _SEGMENT)
+    states, size = m.emit.shape[1], len(m.emit)
+    sym, at = _with_ends(sym, first, m.end)
+    pieces = -(-np.diff(at) // _SEGMENT)
     begin = np.repeat(at[:-1], pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _SEGMENT
     length = np.minimum(np.repeat(at[1:], pieces) - begin, _SEGMENT)
-    order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
-    head = np.isin(begin, at[:-1])
-    steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(steps), side="left")
-    emit, move = m.emit, m.move
-    alpha = np.empty((len(sym), states))
-    scale = np.empty(len(sym))
-    for t in range(steps):
-        n = active[t]
-        here = begin[:n] + t
-        e = emit[sym[here]]
-        a = np.where(head[:n, None], m.start, m.begin) * e if t == 0 else (a[:n] @ move) * e
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        alpha[here], scale[here] = a, c
-    gamma = np.empty((len(sym), states))
-    moves = np.zeros((states, states))
-    beta = np.ones((len(begin), states))
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        here = begin[:n] + t
-        after = active[t + 1] if t + 1 < steps else 0
-        if after:
-            e = emit[sym[here[:after] + 1]] * beta[:after] / scale[here[:after] + 1][:, None]
-            moves += alpha[here[:after]].T @ e
-            beta[:after] = e @ move.T
-        beta[after:n] = 1
-        gamma[here] = alpha[here] * beta[:n]
-    size = len(emit)
+    lanes = _Lanes.of(begin, length)
+    head = np.isin(begin, at[:-1])[lanes.order]
+    sym, bounds = sym[lanes.here], lanes.bounds
+    emit = np.stack([e[sym] for e in np.ascontiguousarray(m.emit.T)])
+    alpha, scale = _forward_steps(m, emit, bounds, np.where(head, m.start[:, None], m.begin[:, None]))
+    emit /= scale
+    moves, beta = np.zeros((states, states)), np.ones((states, len(begin)))
+    for t in range(len(bounds) - 2, -1, -1):
+        lo, hi = bounds[t], bounds[t + 1]
+        if t + 2 < len(bounds):
+            after = bounds[t + 2] - hi
+            e = emit[:, hi : hi + after] * beta[:, :after]
+            moves += alpha[:, lo : lo + after] @ e.T
+            beta[:, :after] = m.move @ e
+        alpha[:, lo:hi] *= beta[:, : hi - lo]  # gamma from now on
     for s in range(states):
-        total[s : size * states : states] += np.bincount(sym, gamma[:, s], size)
-    rest = total[size * states :]
-    rest[: states * states] += (moves * move).reshape(-1)
-    rest[states * states : -states] += gamma[begin[head]].sum(axis=0)
-    rest[-states:] += gamma[begin[~head]].sum(axis=0)
+        total[s : size * states : states] += np.bincount(sym, alpha[s], size)
+    rest, start = total[size * states :], alpha[:, : len(begin)]
+    rest[: states * states] += (moves * m.move).reshape(-1)
+    rest[states * states : -states] += start[:, head].sum(axis=1)
+    rest[-states:] += start[:, ~head].sum(axis=1)
 
 
 def _forward(m: Model, sym: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 likelihood of the symbols of each text, by the scaled forward recursion over all of it."""
-    counts = np.diff(at)
-    order = np.argsort(-counts, kind="stable")
-    begin, count = at[:-1][order], counts[order]
-    steps = int(count[0]) if len(count) else 0
-    active = np.searchsorted(-count, -np.arange(steps), side="left")
-    out = np.zeros(len(count))
-    for t in range(steps):
-        n = active[t]
-        e = m.emit[sym[begin[:n] + t]]
-        a = m.start * e if t == 0 else (a[:n] @ m.move) * e
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        out[:n] += np.log10(c)
-    back = np.empty(len(out))
-    back[order] = out
+    lanes = _Lanes.of(at[:-1], np.diff(at))
+    sym = sym[lanes.here]
+    emit = np.stack([e[sym] for e in np.ascontiguousarray(m.emit.T)])
+    logs = np.log10(_forward_steps(m, emit, lanes.bounds, m.start[:, None])[1])
+    back = np.empty(len(at) - 1)
+    lane = np.arange(len(sym)) - np.repeat(lanes.bounds[:-1], np.diff(lanes.bounds))
+    back[lanes.order] = np.bincount(lane, logs, len(back))
     return back
 
 
@@ -354,57 +451,39 @@ def score(docs: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id",
     text is its end. Rows are numbered as they are written to the checkpoint, so repeated rows
     and null ids are rows of their own. With no training text every word is unknown.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    buckets, trained, log_all = counts.buckets, counts.texts, float(np.log10(counts.tokens + counts.types + 1))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return score_coded(encode(docs, model, counts, id_col, text_col), model, counts, id_col).drop("learned")
 
-    def local(frames):
-        """Each text's own part (bucket -1), and its rare words packed by bucket."""
+
+def score_coded(coded: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id") -> DataFrame:
+    """score() of the rows of encode(), and their learned."""
+    sent = coded.sparkSession.sparkContext.broadcast(model)
+    buckets, log_all = counts.buckets, float(np.log10(counts.tokens + counts.types + 1))
+
+    def forward(frames):
         m = sent.value
-        next_row = TaskContext.get().partitionId() << 40
-        held_rows, held_keys, size = [], [], 0
+        size = np.dtype(_kind(m)).itemsize
+        long, n = [], 0
 
-        def give():
-            row, key = np.concatenate(held_rows), np.concatenate(held_keys)
-            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((row, bucket))
-            row, key = row[order], key[order]
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for b, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                if z > a:
-                    head = np.concatenate([[0], np.flatnonzero(np.diff(row[a:z])) + 1])
-                    n = np.diff(head, append=z - a)
-                    rows.append((b, row[a:z][head].astype("<i8").tobytes(), n.astype("<i4").tobytes(), key[a:z].astype("<u8").tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "rows", "sizes", "keys"]).assign(id=pd.array([pd.NA] * len(rows), "Int64"), n_tokens=0, n_known=0, base=0.0, hmm=0.0)
+        def done(frame: pd.DataFrame) -> pd.DataFrame:
+            got = [_forward(m, *_with_ends(sym, first, m.end)) for _, sym, first in _chunks(frame.pop("symbols").tolist(), m, 1 << 20)]
+            return frame.assign(hmm=np.concatenate(got) if got else np.zeros(0), id=frame["id"].astype("Int64"))
 
         for frame in frames:
-            ids, text = frame["id"].astype("Int64"), frame["text"].tolist()
-            row = next_row + np.arange(len(text), dtype=np.int64)
-            next_row += len(text)
-            for a, b in batches(text, 4 << 20):
-                key, first = _keys(text[a:b])
-                sym = m.symbols(key)
-                common = sym < len(m.frequent)
-                owner = np.repeat(np.arange(b - a), np.diff(first))
-                base = np.bincount(owner[common], np.log10(m.counts[sym[common]] + 1), b - a) + np.log10(trained + 1)
-                known = np.bincount(owner[common], minlength=b - a) + (trained > 0)
-                hmm = _forward(m, *_with_ends(sym, first, m.end))
-                yield pd.DataFrame({"bucket": -1, "rows": None, "sizes": None, "keys": None, "id": ids.iloc[a:b].array, "n_tokens": np.diff(first) + 1, "n_known": known, "base": base, "hmm": hmm}).assign(rows=[x.tobytes() for x in row[a:b].astype("<i8")])
-                held_rows.append(row[a:b][owner[~common]])
-                held_keys.append(key[~common])
-                size += len(held_keys[-1])
-                if size > _HELD:
-                    yield give()
-                    held_rows, held_keys, size = [], [], 0
-        if size:
-            yield give()
-
-    kind = "bucket int, rows binary, sizes binary, keys binary, id long, n_tokens long, n_known long, base double, hmm double"
-    sent_out = cut(texts.mapInPandas(local, kind))
-    own = sent_out.where("bucket < 0").select("rows", "id", "n_tokens", "n_known", "base", "hmm")
-    asked = sent_out.where("bucket >= 0").select("bucket", "rows", "sizes", "keys", F.lit(None).cast("binary").alias("counts"))
+            sizes = frame["symbols"].str.len() // size
+            beyond = sizes > _LONG  # held, so that many of these go side by side
+            yield done(frame[~beyond].copy())
+            if beyond.any():
+                long.append(frame[beyond])
+                n += int(sizes[beyond].sum())
+            if n > 1 << 20:
+                yield done(pd.concat(long))
+                long, n = [], 0
+        if long:
+            yield done(pd.concat(long))
+
+    own = coded.where("bucket < 0").select("rows", "id", "learned", "n_tokens", "n_known", "base", "symbols")
+    own = own.mapInPandas(forward, "rows binary, id long, learned boolean, n_tokens long, n_known long, base double, hmm double")
+    asked = coded.where("bucket >= 0").select("bucket", "rows", "sizes", "keys", F.lit(None).cast("binary").alias("counts"))
     shards = counts.shards.select("bucket", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("sizes"), "keys", "counts")
 
     def answer(frames):
@@ -477,6 +556,7 @@ def score(docs: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id",
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return own.join(rare, "rows", "left").select(
         F.col("id").alias(id_col),
+        "learned",
         "n_tokens",
         (F.col("n_known") + zero("known")).alias("n_known"),
         F.lit(counts.tokens).cast("long").alias("train_tokens"),
@@ -489,7 +569,8 @@ def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a model of six in seven of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    learned = docs.where(~held_out)
-    counts = count_words(learned)
-    scored = score(docs, train(learned, counts), counts)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    counts = count_words(docs.where(~held_out))
+    model = untrained(counts)
+    coded = encode(docs, model, counts, learned=~held_out)
+    scored = score_coded(coded, fit(coded, model, counts), counts)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
