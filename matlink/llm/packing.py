@@ -3,14 +3,16 @@
 One pass over the partitions, without a shuffle. A partition's texts are tokenised as
 they come. Runs of a whole sequence are cut from long texts; what remains of a text is a
 piece. As soon as the held pieces fill a block of windows (the last is cut to fit, its
-rest begins the next block), they are spread over them: each piece begins as a partial
+rest begins the next block), they are spread over as many: each piece begins as a partial
 partition of its own, and the two partial partitions of the greatest imbalance are merged
 so that the heavy windows of one meet the light ones of the other, until one is left with
-near-equal windows. A window over capacity is cut there, and what is cut off fills windows
-with room; where there is none the window count rises. Only the last block of a partition
-isn't full, by less than a sequence.
+near-equal windows. While a window exceeds the capacity, the window count rises and the
+whole pieces are spread anew. So far no piece is cut. What the higher count leaves free is
+then filled from the lightest windows, which are given up: their pieces go to the windows
+with the least room for the whole of them, and are cut where there is none. Only the last
+block of a partition isn't full, by less than a sequence.
 
-Without cutting (cut=False) the window count rises until the spread fits the capacity.
+Without cutting (cut=False) all windows of the higher count are kept.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -74,39 +77,35 @@ def pack(sizes: np.ndarray, capacity: int, cut: bool = True) -> list[list[tuple[
     total = int(sizes.sum())
     if not total:
         return []
-    if not cut and int(sizes.max()) > capacity:
+    if int(sizes.max()) > capacity:
         raise ValueError("a piece exceeds the capacity")
-    count = -(-total // capacity)
+    least = count = -(-total // capacity)
     while True:
         window = spread(sizes, count)
         load = np.bincount(window, sizes, count).astype(np.int64)
-        if cut or load.max() <= capacity:
+        if load.max() <= capacity:
             break
         count += max(1, int((load > capacity).sum()) // 4)
-    out: list[list[tuple[int, int, int]]] = [[] for _ in range(count)]
-    over: list[tuple[int, int, int]] = []
-    for i in np.lexsort((np.arange(len(sizes)), -sizes)).tolist():
-        w, size = int(window[i]), int(sizes[i])
-        room = capacity - sum(n for _, _, n in out[w])
-        if room >= size:
-            out[w].append((i, 0, size))
-        else:
-            if room:
-                out[w].append((i, 0, room))
-            over.append((i, room, size - room))
-    at = 0
-    for i, start, n in over:
+    order = np.argsort(window, kind="stable")
+    edges = np.searchsorted(window[order], np.arange(count + 1))
+    out = [[(int(i), 0, int(sizes[i])) for i in order[a:z]] for a, z in zip(edges[:-1], edges[1:], strict=True)]
+    if not cut or count == least:
+        return [w for w in out if w]
+    # the lightest windows beyond the least number fill what room the others have
+    heavy = np.argsort(-load, kind="stable")
+    poured = sorted((x for w in heavy[least:].tolist() for x in out[w]), key=lambda x: (-x[2], x[0]))
+    room = sorted((capacity - int(load[w]), w) for w in heavy[:least].tolist())
+    for i, start, n in poured:
         while n:
-            if at == len(out):
-                out.append([])
-            room = capacity - sum(x for _, _, x in out[at])
-            if not room:
-                at += 1
-                continue
-            take = min(room, n)
-            out[at].append((i, start, take))
-            start, n = start + take, n - take
-    return [w for w in out if w]
+            at = min(bisect_left(room, (n, -1)), len(room) - 1)  # the least room for all of it, else the most
+            free, w = room.pop(at)
+            take = min(free, n)
+            if take:
+                out[w].append((i, start, take))
+                start, n = start + take, n - take
+            if free > take:
+                insort(room, (free - take, w))
+    return [out[w] for w in sorted(heavy[:least].tolist())]
 
 
 class _Encoder:
