@@ -1,10 +1,12 @@
 """WARC archives written and read by Spark tasks, with payloads as rows of chunks.
 
-Writing: each task streams its records into gzip members of files in a shared folder and
+Writing: a row becomes its chunk rows (chunk number, bytes) in its own partition, and each
+task streams these into gzip members of files in a shared folder, hashing as it goes. It
 returns a manifest row a file; only files of the manifest count, so a task that is run
 again leaves nothing twice. Reading: a file is a stream, a payload comes as rows
 (record, chunk number, bytes) with the length and the SHA-256 so far, so no payload is
-held whole and the last chunk's row has those of the whole payload.
+held whole in Python and the last chunk's row has those of the whole payload. A record's
+id is its own, so (record_id, chunk) is a key of the chunk rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import cut, prepare, shared_dir
+from matlink.llm.common import cut, prepare, shared_dir, with_likely
 
 _END = b"\r\n\r\n"
 _SLICE = 1 << 20
@@ -26,41 +28,51 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 100) -> DataFrame:
-    """pages with payload, payload_bytes, payload_digest, record_type and refers_to.
+def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> DataFrame:
+    """id, url, payload (bytes), payload_bytes, payload_digest, record_type, refers_to and refers_to_url.
 
     Of payloads of at least least_bytes that are equal, that of the smallest id is the
     response and the others revisit it; rows of that same id are responses, too. Rows with
     a null id revisit the response, or are responses where no equal payload has an id.
+    Only rows whose digest may occur twice are joined, told by a bitmap of fixed size.
     """
     prepare(pages.sparkSession)
-    rows = pages.withColumn("payload", F.coalesce(F.col(payload_col).cast("string"), F.lit("")))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
-    digest = F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest"))
-    first = rows.select(digest.alias("digest"), F.col(id_col).alias("id")).where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    rows = rows.join(first, digest == F.col("digest"), "left")
-    again = F.col("first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first"))
-    return rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("digest", "first")
-
-
-def _record_id(key) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, str(key))}>"
-
-
-def write(records: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", date: str = "1970-01-01T00:00:00Z", roll_bytes: int = 1 << 30) -> DataFrame:
-    """Writes rows of decide() into folder; the manifest: path, records and bytes of each file."""
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
+    key = F.when(F.col("payload_bytes") >= least_bytes, F.xxhash64("payload_digest"))
+    first = rows.where(key.isNotNull()).groupBy("payload_digest").agg(F.count("*").alias("copies"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first"))
+    first = cut(first.where("copies > 1 and first is not null").select(F.col("payload_digest").alias("digest"), F.xxhash64("payload_digest").alias("mark"), F.col("first.id").alias("first"), F.col("first.url").alias("first_url")))
+    rows = with_likely(rows, "__hit", key, first, "mark")
+    alone = rows.where("not __hit").withColumns({"first": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
+    joined = rows.where("__hit").join(first.drop("mark"), F.col("payload_digest") == F.col("digest"), "left").drop("digest")
+    rows = alone.unionByName(joined)
+    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    return rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first")), "refers_to_url": F.when(again, F.col("first_url"))}).drop("__hit", "first", "first_url")
+
+
+def chunks(records: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """Rows of decide() as chunk rows in place: chunk, data and last instead of payload. A revisit has one, without data."""
+    last = F.when(F.col("record_type") == "response", F.greatest(F.ceil(F.col("payload_bytes") / chunk_bytes) - 1, F.lit(0))).otherwise(0).cast("int")
+    rows = records.withColumn("__last", last).withColumn("chunk", F.explode(F.sequence(F.lit(0), "__last")))
+    data = F.when(F.col("record_type") == "response", F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)))
+    return rows.withColumn("data", data).withColumn("last", F.col("chunk") == F.col("__last")).drop("payload", "__last")
+
+
+def write(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", roll_bytes: int = 1 << 30, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """Writes rows of decide() into folder, chunk by chunk; the manifest: path, records and bytes of each file.
+
+    A record's id is made from the file's name and the record's place in it. Revisits name
+    the page and the URL of their response.
+    """
 
     def run(frames):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        out, path, count, done = None, "", 0, []
-
-        def begin():
-            nonlocal out, path, count
-            path, count = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
-            out = store.open_output_stream(path, compression=None)
+        out, path, count, done, gz, digest = None, "", 0, [], None, None
+        line = lambda x: x.replace("\r", "%0D").replace("\n", "%0A")
 
         def close():
             nonlocal out
@@ -70,35 +82,42 @@ def write(records: DataFrame, folder: str, id_col: str = "page_id", url_col: str
                 done.append((path, count, size))
                 out = None
 
+        columns = ("id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_url", "chunk", "data", "last")
         for frame in frames:
-            for key, url, payload, size, digest, kind, refers in zip(*(frame[c].tolist() for c in ("id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")), strict=True):
-                key, refers = (None if pd.isna(k) else int(k) for k in (key, refers))
-                if out is None:
-                    begin()
-                http = _HTTP.format(size).encode()
-                head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(key)}", f"WARC-Date: {date}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
-                if url is not None:
-                    head.append(f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}")
-                if key is not None:
-                    head.append(f"X-Page-ID: {key}")
-                if kind == "revisit":
-                    head += [f"WARC-Refers-To: {_record_id(refers)}", f"X-Refers-To-Page: {refers}", f"WARC-Profile: {_PROFILE}"]
-                head.append(f"Content-Length: {len(http) + (size if kind == 'response' else 0)}")
-                gz = zlib.compressobj(1, wbits=31)
-                out.write(gz.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + _END + http))
-                if kind == "response":
-                    for at in range(0, len(payload), _SLICE):
-                        out.write(gz.compress(payload[at : at + _SLICE].encode("utf-8", "surrogatepass")))
-                out.write(gz.compress(_END) + gz.flush())
-                count += 1
-                if out.tell() >= roll_bytes:
-                    close()
+            frame = frame.astype({"id": "Int64", "refers_to": "Int64"})
+            for key, url, size, sha, kind, refers, refers_url, chunk, data, last in zip(*(frame[c].tolist() for c in columns), strict=True):
+                if chunk == 0:
+                    if out is None:
+                        path, count = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(path, compression=None)
+                    http = _HTTP.format(size).encode()
+                    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, f'{path}#{count}')}>", f"WARC-Date: {date}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{sha}"]
+                    if url is not None:
+                        head.append(f"WARC-Target-URI: {line(url)}")
+                    if not pd.isna(key):
+                        head.append(f"X-Page-ID: {key}")
+                    if kind == "revisit":
+                        head += [f"X-Refers-To-Page: {refers}", f"WARC-Profile: {_PROFILE}"]
+                        if refers_url is not None:
+                            head += [f"WARC-Refers-To-Target-URI: {line(refers_url)}", f"WARC-Refers-To-Date: {date}"]
+                    head.append(f"Content-Length: {len(http) + (size if kind == 'response' else 0)}")
+                    gz, digest = zlib.compressobj(1, wbits=31), hashlib.sha256()
+                    out.write(gz.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + _END + http))
+                if data is not None:
+                    digest.update(data)
+                    out.write(gz.compress(data))
+                if last:
+                    if kind == "response" and digest.hexdigest() != sha:
+                        raise ValueError("the chunks of a payload are not the payload")
+                    out.write(gz.compress(_END) + gz.flush())
+                    count += 1
+                    if out.tell() >= roll_bytes:
+                        close()
         close()
         if done:
             yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    columns = [F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), "payload", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long")]
-    return cut(records.select(*columns).mapInPandas(run, "path string, records long, bytes long"))
+    return cut(chunks(records, chunk_bytes).mapInPandas(run, "path string, records long, bytes long"))
 
 
 class _Stream:
@@ -202,6 +221,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    back = read(write(decide(pages), folder), with_bytes=False).where("last")
+    back = read(write(decide(pages), folder)).where("last")
     intact = F.when(F.col("digest_so_far") == F.col("header_digest"), F.col("digest_so_far")).otherwise(F.raise_error(F.lit("a payload was damaged")))
     return back.select("page_id", F.col("bytes_so_far").alias("payload_bytes"), intact.alias("payload_digest"), "record_type", "refers_to")
