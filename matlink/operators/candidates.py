@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,8 +127,3 @@ def merged(**channels: DataFrame) -> DataFrame:
 
 def channel_counts(pairs: DataFrame) -> DataFrame:
     return pairs.agg(*(F.count_if(F.col("channels").bitwiseAND(bit) > 0).alias(letter) for letter, bit in LETTERS.items()))
-
-
-def idf(n: int, df: int) -> float:
-    """Inverse document frequency before the floor, for tests."""
-    return math.log(n - df + 0.5) - math.log(df + 0.5)

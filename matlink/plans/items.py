@@ -143,16 +143,16 @@ dfr AS (SELECT category, tok, ml, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS
 mi AS (SELECT category, avg(raw) AS mean FROM dfr GROUP BY category),
 idf AS (SELECT category, tok, ml, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM dfr JOIN mi USING (category)),
 s AS (SELECT q.id AS qid, t.id AS oid, sum(q.tf * idf * t.tf * 2.5 / (t.tf + 1.5 * (0.25 + 0.75 * t.l / ml))) AS score
-      FROM tf q JOIN tf t ON q.category = t.category AND q.tok = t.tok JOIN idf ON idf.category = t.category AND idf.tok = t.tok WHERE q.id % 50 = 0 GROUP BY ALL),
-r AS (SELECT q.id AS id_a, o.id AS id_b, round(coalesce(score, 0), 9) AS score FROM d q JOIN d o ON q.category = o.category AND q.id <> o.id AND q.org <> o.org LEFT JOIN s ON s.qid = q.id AND s.oid = o.id WHERE q.id % 50 = 0)
+      FROM tf q JOIN tf t ON q.category = t.category AND q.tok = t.tok JOIN idf ON idf.category = t.category AND idf.tok = t.tok WHERE q.id % 20 = 0 GROUP BY ALL),
+r AS (SELECT q.id AS id_a, o.id AS id_b, round(coalesce(score, 0), 9) AS score FROM d q JOIN d o ON q.category = o.category AND q.id <> o.id AND q.org <> o.org LEFT JOIN s ON s.qid = q.id AND s.oid = o.id WHERE q.id % 20 = 0)
 SELECT id_a, id_b, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b) AS rank FROM r) AS z WHERE rank <= 20"""
 
 
 @query(_BM25_SQL)
 def candidates_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best texts of each query record (every fiftieth stands for a record without a block)."""
+    """The 20 best texts of each query record (those with ids divisible by 20), against all records."""
     rows = materials(spark, sf_dir).withColumn("tokens", T.tokens(F.col("text")))
-    found = C.lexical_neighbours(rows, rows.where("id % 50 = 0"), k=20)
+    found = C.lexical_neighbours(rows, rows.where("id % 20 = 0"), k=20)
     return found.select("id_a", "id_b", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -204,11 +204,14 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir)[0].groupBy(F.col("a_category").alias("category"), "verdict", "route").agg(F.count("*").alias("pairs"))
 
 
-@query(f"""WITH {_VERDICT_SQL}, t AS (SELECT v.id_a, v.id_b, a.*, b.schedule AS bs, b.poles AS bp FROM verdicts v JOIN truth a ON a.id = v.id_a JOIN truth b ON b.id = v.id_b)
-SELECT 'schedule' AS attr, count(*) AS conflicts FROM t WHERE category = 'PIPE' AND schedule <> bs HAVING count(*) > 0 UNION ALL SELECT 'poles', count(*) FROM t WHERE category = 'MOTOR' AND poles <> bp HAVING count(*) > 0""")
+_CORE = {"VALVE": ("valve_type", "pressure_class"), "PIPE": ("schedule",), "FLANGE": ("flange_type", "pressure_class"), "FASTENER": ("fastener_type", "length_mm", "strength"), "MOTOR": ("poles",)}
+
+
+@query(f"""WITH {_VERDICT_SQL}, c AS ({" UNION ALL ".join(f"SELECT '{attr}' AS attr FROM verdicts v JOIN truth a ON a.id = v.id_a JOIN truth b ON b.id = v.id_b WHERE v.category = '{c}' AND a.{attr} <> b.{attr}" for c, attrs in _CORE.items() for attr in attrs)})
+SELECT attr, count(*) AS conflicts FROM c GROUP BY attr""")
 def decisive_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conflicts by attribute, for pipes and motors."""
-    rows = _decided(spark, sf_dir)[0].where("a_category in ('PIPE', 'MOTOR')").select(F.explode(stored_evidence(F.col("evidence"))).alias("e"))
+    """Conflicts by attribute."""
+    rows = _decided(spark, sf_dir)[0].select(F.explode(stored_evidence(F.col("evidence"))).alias("e"))
     return rows.where("e.status = 'CONFLICT'").groupBy(F.col("e.attr").alias("attr")).agg(F.count("*").alias("conflicts"))
 
 
@@ -308,14 +311,14 @@ def by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir).groupBy("category").agg(F.countDistinct("cluster").alias("groups"), F.countDistinct("id").alias("records"), F.array_join(F.array_sort(F.collect_set("org")), ",").alias("orgs"))
 
 
-@query(f"""WITH {_GROUP_SQL}, e AS (SELECT a.cluster, CAST((a.id + b.id) % 50 AS DOUBLE) / 100 + 0.5 AS score, (a.id + b.id) % 3 AS flags FROM grp a JOIN grp b ON a.cluster = b.cluster AND a.id < b.id AND a.id % 10 = b.id % 10),
+@query(f"""WITH {_GROUP_SQL}, e AS (SELECT a.cluster, CAST((a.id + b.id) % 50 AS DOUBLE) / 100 + 0.5 AS score, (a.id + b.id) % 3 AS flags FROM grp a JOIN grp b ON a.cluster = b.cluster AND a.id < b.id),
 i AS (SELECT cluster, round(avg(score), 3) AS cohesion, CAST(sum(flags) AS BIGINT) AS flags FROM e GROUP BY cluster),
 v AS (SELECT cluster, count(*) AS size, sum(price) AS value, bool_or(id % 11 = 0) AS critical FROM grp GROUP BY cluster HAVING count(*) >= 2)
 SELECT v.cluster, size, cohesion, flags, critical, round(value, 2) AS value, round(value * (1 + 0.5 * coalesce(flags, 0)), 2) AS priority FROM v LEFT JOIN i ON i.cluster = v.cluster""")
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _groups(spark, sf_dir)
     a, b = g.select("cluster", F.col("id").alias("i")), g.select("cluster", F.col("id").alias("j"))
-    edges = a.join(b, "cluster").where("i < j and i % 10 = j % 10").select("i", "j", ((F.col("i") + F.col("j")) % 50 / 100 + 0.5).alias("score"), ((F.col("i") + F.col("j")) % 3).alias("flags"))
+    edges = a.join(b, "cluster").where("i < j").select("i", "j", ((F.col("i") + F.col("j")) % 50 / 100 + 0.5).alias("score"), ((F.col("i") + F.col("j")) % 3).alias("flags"))
     values = g.select("id", F.col("price").alias("annual_value"), (F.col("id") % 11 == 0).alias("critical"))
     s = cluster.summary(g.select("id", "cluster"), edges, values)
     return s.select("cluster", "size", "cohesion", "flags", "critical", F.round("value", 2).alias("value"), F.round("priority", 2).alias("priority"))
@@ -386,7 +389,7 @@ def search_before_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     none = F.lit(None).cast("string")
     asked = extract(norm).withColumns({"mpn": none, "maker": none, "critical": F.lit(None).cast("boolean")})
-    codes = specs.where("org = '0'").select(*asked.columns)
+    codes = specs.select(*asked.columns)
     pairs = F.broadcast(asked.select(F.col("id").alias("id_a"), "category")).join(codes.select(F.col("id").alias("id_b"), "category"), "category").select("id_a", "id_b")
     decided = decide(sides(pairs, asked.unionByName(codes))).withColumn("text_sim", F.round(token_set_similarity("a_norm_text", "b_norm_text"), 3))
     ranked = registry.ranked_search(decided.select(F.col("id_a").alias("query"), T.item_code(F.col("id_b")).alias("code"), "verdict", "text_sim"))

@@ -42,4 +42,7 @@ def test_same_rows(spark, duck, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, data, name):
-    assert QUERIES[name](spark, data).columns
+    df = QUERIES[name](spark, data)
+    rows = df.collect()
+    assert rows or name == "lookalikes_top"  # no vetoed pair of these few items is that alike
+    assert all(set(r.asDict()) == set(df.columns) for r in rows[:1])
