@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from matlink.operators.graph import components, cut, shared_dir
 
 
-__all__ = ["batches", "bitmap", "components", "cut", "prepare", "release", "shared_dir", "with_likely"]
+__all__ = ["batches", "bitmap", "buckets_for", "components", "cut", "prepare", "release", "shared_dir", "with_likely"]
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
@@ -56,6 +56,12 @@ def batches(table_batch, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     release()
 
 
+def buckets_for(docs: DataFrame, text_col: str, least: int, bytes_each: int) -> int:
+    """How many buckets hold near bytes_each bytes of all texts: more text makes more buckets, not larger ones."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(least, -(-size // bytes_each))
+
+
 def bitmap(ids: DataFrame, column: str, log2_bits: int = 23, hashed: bool = True) -> np.ndarray:
     """A bitmap of fixed size with the bit of every value set (a one-hash Bloom filter).
 
