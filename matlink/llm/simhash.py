@@ -104,13 +104,12 @@ def _bucket(ids: DataFrame, per_bucket: int, most: int) -> Column:
     bounds = sorted(set(at or []))
     if not bounds:
         return F.lit(0)
+    # both lists are folded to constant arrays, so a row looks at about twice the root of the number of ranges
     wide = max(int(len(bounds) ** 0.5), 1)
-    rows_of = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    heads = ",".join(str(r[0]) for r in rows_of)
-    lists = ";".join(",".join(map(str, r)) for r in rows_of)
-    number = f"size(filter(transform(split('{heads}', ','), x -> cast(x AS bigint)), x -> x <= k))"
-    inside = f"size(filter(element_at(transform(split('{lists}', ';'), r -> transform(split(r, ','), x -> cast(x AS bigint))), {number}), x -> x <= k))"
-    return F.expr(f"CASE WHEN {number} = 0 THEN 0 ELSE ({number} - 1) * {wide} + {inside} END")
+    longs = lambda values: f"cast(split('{','.join(map(str, values))}', ',') AS array<bigint>)"
+    row = f"size(filter({longs(bounds[::wide])}, x -> x <= k))"
+    inside = f"size(filter(slice({longs(bounds)}, (row - 1) * {wide} + 1, {wide}), x -> x <= k))"
+    return F.expr(f"element_at(transform(array({row}), row -> CASE WHEN row = 0 THEN 0 ELSE (row - 1) * {wide} + {inside} END), 1)")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100, most_buckets: int = 65536) -> DataFrame:
