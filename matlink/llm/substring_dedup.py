@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, cut, prepare, with_likely
+from matlink.llm.common import batches, buckets_for, cut, prepare, with_likely
 from matlink.llm.wordvec import Words, mix, rolling, valid_starts
 
 #: Perfect difference covers by period. Fixed values.
@@ -33,6 +33,8 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
 
 #: Starts that a task holds before it sends them.
 _HELD = 600_000
+#: Bytes of text whose starts one task compares; more text makes more tasks.
+_TASK_BYTES = 128 << 20
 _LAST = 2**63 - 1
 
 
@@ -199,7 +201,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     period, cover = cover_for(window)
     anchor = window - period + 1
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = buckets_for(texts, "text", max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), _TASK_BYTES)
     buckets = 2 * parts
 
     def anchors(frames):
