@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, cut, prepare
+from matlink.llm.common import batches, buckets_for, cut, prepare
 from matlink.llm.wordvec import Words, mix
 
 _CLASS_BITS = 12
@@ -35,6 +35,8 @@ _CLASSES = 1 << _CLASS_BITS
 _LOW = np.uint64(_CLASSES - 1)
 _PART = 1 << 15
 _HELD = 1_500_000
+#: Bytes of training text whose words a bucket counts; more text makes more buckets.
+_BUCKET_BYTES = 128 << 20
 _SKETCH = 64
 _SEGMENT = 128
 _LONG = 2048
@@ -68,7 +70,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> Counts:
     """Counts of the words of all texts, in shards by hash. A null text has no words."""
     spark = docs.sparkSession
     prepare(spark)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    buckets = buckets_for(docs, text_col, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), _BUCKET_BYTES)
 
     def count(frames):
         held, size, texts = [], 0, 0
