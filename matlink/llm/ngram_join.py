@@ -21,6 +21,7 @@ Equal sets are one class before all this. Hashes have 64 bits.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, bitmap, components, cut, prepare
+from matlink.llm.common import batches, bitmap, components, cut, prepare, with_likely
 from matlink.llm.wordvec import Words, mix, rolling, shingle_sets
 
 SKETCH_BITS = 20
@@ -38,6 +39,8 @@ _SHARED_BITS = 24
 _CHUNK = 1 << 16
 #: Up to this many tokens a set's frequent ones form one hash group; each further size class is four times as wide.
 _FIRST_CLASS = 128
+#: Labels of more rows are dealt over so many salts.
+_HOT, _SALTS = 1000, 64
 
 
 def _spare(n: int, percent: int) -> int:
@@ -206,9 +209,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = cut(held.join(shared, "sig").where("sid <> leader").select("sid", "leader").distinct())
 
     links = cut(_verified(texts, _bounded(star.select(F.col("sid").alias("a"), F.col("leader").alias("b")), info, percent), words, percent))
-    first = components(links)
+    label = components(links)
 
-    def compare(frames):
+    def compare(frames, forest: bool):
         frames = [f for f in frames if len(f)]
         if not frames:
             return
@@ -222,6 +225,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a < 2 or (label[a:b] == label[a]).all():
                 continue
+            near = []
             tops = a + np.searchsorted(n[a:b], n[a:b] * 100 // percent, side="right")
             for i, to in zip(range(a, b - 1), tops.tolist(), strict=False):
                 if to <= i + 1:
@@ -233,45 +237,75 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ok = (label[c] != label[i]) & (far <= most) & ((side[c] != side[i]) | (side[i] == 2))
                 for j in np.flatnonzero(ok).tolist():
                     x, y = wide[i], wide[i + 1 + j]
-                    if x is None or y is None or _distance(x, y) <= most[j]:
-                        found.add((min(int(sid[i]), int(sid[i + 1 + j])), max(int(sid[i]), int(sid[i + 1 + j]))))
+                    gap = most[j] - (far[j] if x is None or y is None else _distance(x, y))
+                    if gap >= 0:
+                        near.append((int(gap), i, i + 1 + j))
+            for i, j in _forest(near, label) if forest else (x[1:] for x in near):
+                found.add((min(int(sid[i]), int(sid[j])), max(int(sid[i]), int(sid[j]))))
         if found:
             yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
     # All that share a signature share its leader, so the sets of a leader hold every pair that is left.
     # More than block sets of one are compared as pairs of chunks: a set goes to each pair of its chunk.
-    sizes = star.groupBy("leader").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    chunks = F.ceil(F.col("cnt") / block).cast("int")
-    mine = F.pmod(F.xxhash64("sid"), chunks).cast("int")
-    spread = F.when(F.col("cnt") <= block, F.expr("array(0)")).otherwise(F.sequence(F.lit(0), chunks - 1))
-    pieces = (
-        star.join(sizes, "leader")
-        .select("leader", "sid", mine.alias("mine"), F.explode(spread).alias("other"))
-        .join(info.select("sid", "n", "bits", F.when(F.col("n") <= 512, F.col("wide")).alias("wide")), "sid")
-        .join(first.withColumnRenamed("node", "sid"), "sid", "left")
-        .select(
-            F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
-            "sid",
-            F.col("n").cast("long").alias("n"),
-            F.coalesce("component", "sid").alias("label"),
-            F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-            "bits",
-            "wide",
-        )
-    )
+    # The likeliest pairs that would connect a chunk come first; then all pairs that are still apart.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    more = pieces.repartition(parts, "key").mapInPandas(compare, "a long, b long").distinct()
-    links = links.unionByName(cut(_verified(texts, _bounded(more, info, percent), words, percent))).distinct()
+    for forest in (True, False):
+        apart = star.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("leader", "sid", F.coalesce("component", "sid").alias("label"))
+        sizes = apart.groupBy("leader").agg(F.count("*").alias("cnt"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("leader", "cnt")
+        chunks = F.ceil(F.col("cnt") / block).cast("int")
+        mine = F.pmod(F.xxhash64("sid"), chunks).cast("int")
+        spread = F.when(F.col("cnt") <= block, F.expr("array(0)")).otherwise(F.sequence(F.lit(0), chunks - 1))
+        pieces = (
+            apart.join(sizes, "leader")
+            .select("leader", "sid", "label", mine.alias("mine"), F.explode(spread).alias("other"))
+            .join(info.select("sid", "n", "bits", F.when(F.col("n") <= 512, F.col("wide")).alias("wide")), "sid")
+            .select(
+                F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
+                "sid",
+                F.col("n").cast("long").alias("n"),
+                "label",
+                F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+                "bits",
+                "wide",
+            )
+        )
+        more = pieces.repartition(parts, "key").mapInPandas(partial(compare, forest=forest), "a long, b long").distinct()
+        links = cut(links.unionByName(_verified(texts, _bounded(more, info, percent), words, percent)).distinct())
+        label = components(links)
 
-    label = components(links)
     members = indexed.select("id", "n", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
-    smallest = members.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
-    members = members.join(smallest, "label", "left").select(
+    # a component of many sets is one label: its rows are dealt by salt, too. A bitmap of fixed size tells such labels on both sides.
+    smallest = cut(members.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("cnt")))
+    hot = smallest.where(F.col("cnt") > _HOT).select(F.col("label").alias("hot"))
+    smallest = with_likely(smallest, "__salted", F.col("label"), hot, "hot")
+    smallest = smallest.select("label", "component_id", F.explode(F.when(F.col("__salted"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.expr("array(0)"))).alias("salt"))
+    members = with_likely(members, "__salted", F.col("label"), hot, "hot")
+    members = members.withColumn("salt", F.when(F.col("__salted") | (F.col("n") == 0), F.pmod(F.xxhash64("id", "sid"), F.lit(_SALTS)).cast("int")).otherwise(0))
+    members = members.join(smallest, ["label", "salt"], "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
     return members, links
 
 
+def _forest(near: list[tuple[int, int, int]], label: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs (gap, i, j), those of the largest gaps that connect what all of them connect; a label is connected."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for _, i, j in sorted(near, key=lambda x: (-x[0], x[1], x[2])):
+        x, y = find(int(label[i])), find(int(label[j]))
+        if x != y:
+            root[x] = y
+            kept.append((i, j))
+    return kept
+
+
 def _overlap(both, percent: int):
     """The smallest overlap of two sets of so many tokens in all: 100 o >= percent (both - o)."""
     return -(-percent * both // (100 + percent))
