@@ -1,8 +1,8 @@
-"""More buckets, ranges and salts than these small tables would get give the same rows."""
+"""More buckets, ranges than these small tables would get give the same rows."""
 
 import pytest
 
-from matlink.llm import hmm, ngram_join, simhash, substring_dedup
+from matlink.llm import hmm, simhash, substring_dedup
 from matlink.llm.queries import QUERIES
 
 
@@ -11,7 +11,6 @@ def rows(df):
 
 
 @pytest.mark.parametrize("module, name, value, query", [
-    (ngram_join, "_HOT", 1, "op2_ngram_jaccard_join"),
     (substring_dedup, "_TASK_BYTES", 20_000, "op8_substring_dedup"),
 ])
 def test_same_rows(spark, data, monkeypatch, module, name, value, query):
