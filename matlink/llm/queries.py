@@ -7,6 +7,7 @@ from matlink.llm.hmm import op6_hmm_score
 from matlink.llm.html_text import op7_html_main_text
 from matlink.llm.kneser_ney import op5_quality_perplexity
 from matlink.llm.language_id import op10_language_id
+from matlink.llm.merkle import op12_merkle_manifest
 from matlink.llm.ngram_join import op2_ngram_jaccard_join
 from matlink.llm.packing import op1_packing
 from matlink.llm.simhash import op3_simhash_fingerprints
@@ -24,12 +25,18 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_TAMPERED = _FIELD.format(_LOWER.format("text"))
+_CRC = "xor(list_reduce(list_prepend(4294967295, [ascii(x) for x in string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+
 #: The others tokenise, fit a model or vote on bits; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SPACED}') AS ws FROM documents),
@@ -55,6 +62,25 @@ g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM r),
 u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
 k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM u ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id""",
+    "op12_merkle_manifest": f"""WITH RECURSIVE leaves AS (SELECT doc_id, lang, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+  CASE WHEN {_CRC} % 3 = 0 THEN sha256({_HEAD} || {_TAMPERED}) ELSE sha256({_HEAD} || {_FIELD.format("text")}) END AS claimed FROM documents),
+placed AS (SELECT *, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM leaves),
+up AS (SELECT tree, 0 AS level, place, leaf AS node, count(*) OVER (PARTITION BY tree) AS total FROM placed
+  UNION ALL SELECT tree, level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (total + 7) // 8 FROM up WHERE total > 1 GROUP BY tree, level, place // 8, total),
+subs AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM up WHERE total = 1),
+top AS (SELECT 1000 AS level, place, subroot AS node, count(*) OVER () AS total FROM subs
+  UNION ALL SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (total + 7) // 8 FROM top WHERE total > 1 GROUP BY level, place // 8, total),
+sides AS (SELECT a.tree, a.level, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place < a.place), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place > a.place), '') AS r
+    FROM up AS a JOIN up AS b ON b.tree = a.tree AND b.level = a.level AND b.place // 8 = a.place // 8 WHERE a.total > 1 GROUP BY a.tree, a.level, a.place
+  UNION ALL SELECT '', a.level, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place < a.place), ''), coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place > a.place), '')
+    FROM top AS a JOIN top AS b ON b.level = a.level AND b.place // 8 = a.place // 8 WHERE a.total > 1 GROUP BY a.level, a.place),
+climb AS (SELECT doc_id, tree, 0 AS level, place, claimed AS node, '' AS proof FROM placed
+  UNION ALL SELECT c.doc_id, CASE WHEN s.l IS NULL THEN '' ELSE c.tree END, CASE WHEN s.l IS NULL THEN 1000 ELSE c.level + 1 END, CASE WHEN s.l IS NULL THEN u.place ELSE c.place // 8 END,
+    CASE WHEN s.l IS NULL THEN c.node ELSE sha256(s.l || c.node || s.r) END, CASE WHEN s.l IS NULL THEN c.proof ELSE c.proof || s.l || s.r END
+    FROM climb AS c LEFT JOIN sides AS s ON s.tree = c.tree AND s.level = c.level AND s.place = c.place LEFT JOIN subs AS u ON u.tree = c.tree WHERE s.l IS NOT NULL OR c.tree <> ''),
+folded AS (SELECT doc_id, node, proof FROM climb AS c WHERE tree = '' AND NOT EXISTS (SELECT 1 FROM sides AS s WHERE s.tree = '' AND s.level = c.level AND s.place = c.place))
+SELECT p.doc_id, p.leaf, u.subroot, t.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
+FROM placed AS p JOIN folded AS f ON f.doc_id = p.doc_id JOIN subs AS u ON u.tree = p.tree JOIN (SELECT node FROM top WHERE total = 1) AS t ON true""",
     "op9_warc": """WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM d LEFT JOIN f USING (payload_digest)""",
