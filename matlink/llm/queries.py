@@ -13,6 +13,7 @@ from matlink.llm.packing import op1_packing
 from matlink.llm.simhash import op3_simhash_fingerprints
 from matlink.llm.substring_dedup import op8_substring_dedup
 from matlink.llm.warc import op9_warc
+from matlink.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
