@@ -27,7 +27,7 @@ _HEX = 64
 #: Rows of a range partition, near.
 _PART_ROWS = 1 << 20
 _NODE = "tree string, ref string, node string, place long, total long"
-_PATH = "tree string, ref string, place long, path binary"
+_PATH = "tree string, ref string, place long, path binary, subroot string"
 
 
 def _sha(data: bytes) -> bytes:
@@ -135,9 +135,9 @@ def _climb(placed: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
 
 
 def _down(stages: list[DataFrame], above: DataFrame, fanout: int, depth: int, finish, kind: str) -> DataFrame:
-    """finish(table of a block, its levels, path above) of each block of the first stage.
+    """finish(table of a block, its levels, path above, subroot) of each block of the first stage.
 
-    above: (tree, path) of the trees' tops.
+    above: (tree, path, subroot) of the trees' tops. Subroots travel with the paths, one a block.
     """
     block = fanout**depth
 
@@ -145,18 +145,18 @@ def _down(stages: list[DataFrame], above: DataFrame, fanout: int, depth: int, fi
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             left = left.sort_by("place")
             levels = reduce_levels(_matrix(left), _levels(left["total"][0].as_py(), fanout, depth), fanout)
-            return each(left, levels, unpack_path(right["path"][0].as_py()))
+            return each(left, levels, unpack_path(right["path"][0].as_py()), right["subroot"][0].as_py())
 
         rows = stage.withColumn("block", F.expr(f"place div {block}"))
         return rows.groupBy("tree", "block").cogroup(paths.groupBy("tree", "block")).applyInArrow(run, kind)
 
-    def paths_of(table: pa.Table, levels: list[np.ndarray], path: list) -> pa.Table:
+    def paths_of(table: pa.Table, levels: list[np.ndarray], path: list, subroot: str | None) -> pa.Table:
         made = [pack_path([*siblings(levels, i, fanout), *path]) for i in range(len(table))]
-        return pa.table({"tree": table["tree"], "ref": table["ref"], "place": table["place"], "path": pa.array(made, pa.binary())})
+        return pa.table({"tree": table["tree"], "ref": table["ref"], "place": table["place"], "path": pa.array(made, pa.binary()), "subroot": pa.array([subroot] * len(table), pa.string())})
 
-    now = above.select("tree", F.lit(0).cast("long").alias("block"), "path")
+    now = above.select("tree", F.lit(0).cast("long").alias("block"), "path", "subroot")
     for stage in reversed(stages[1:-1]):
-        now = cut(joined(stage, now, paths_of, _PATH)).select("tree", F.col("place").alias("block"), "path")
+        now = cut(joined(stage, now, paths_of, _PATH)).select("tree", F.col("place").alias("block"), "path", "subroot")
     return joined(stages[0], now, finish or paths_of, kind if finish else _PATH)
 
 
@@ -190,12 +190,13 @@ def manifest(docs: DataFrame, group_col: str, id_col: str, leaf: Column, claimed
     tops = _climb(_placed(subs.select(F.lit("").alias("tree"), F.col("tree").alias("ref"), "node"), ["ref"]), fanout, depth)
     top = tops[-1].select("node").first()
     root = top[0] if top else None
-    start = tops[-1].select("tree", F.lit(b"").alias("path"))
-    above = cut(_down(tops, start, fanout, depth, None, _PATH)).select(F.col("ref").alias("tree"), "path")
+    start = tops[-1].select("tree", F.lit(b"").alias("path"), F.lit(None).cast("string").alias("subroot"))
+    above = _down(tops, start, fanout, depth, None, _PATH).select(F.col("ref").alias("tree"), "path")
+    above = cut(above.join(subs.withColumnRenamed("node", "subroot"), "tree"))
     known = (root or "").encode()
-    schema = pa.schema([("tree", pa.string()), ("id", pa.int64()), ("leaf", pa.string()), ("proof_sha256", pa.string()), ("folded_root", pa.string()), ("verified", pa.bool_()), ("path", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("leaf", pa.string()), ("subroot", pa.string()), ("proof_sha256", pa.string()), ("folded_root", pa.string()), ("verified", pa.bool_()), ("path", pa.binary())])
 
-    def prove(table: pa.Table, levels: list[np.ndarray], path: list) -> pa.Table:
+    def prove(table: pa.Table, levels: list[np.ndarray], path: list, subroot: str) -> pa.Table:
         proofs, folded, packed = [], [], []
         rest = b"".join(a + b for a, b in path)
         for i, (leaf, claim) in enumerate(zip(table["node"].to_pylist(), table["claimed"].to_pylist(), strict=True)):
@@ -203,11 +204,10 @@ def manifest(docs: DataFrame, group_col: str, id_col: str, leaf: Column, claimed
             proofs.append(hashlib.sha256(b"".join([*(a + b for a, b in own), rest])).hexdigest())
             folded.append(fold((claim or leaf).encode(), [*own, *path]).decode())
             packed.append(pack_path([*own, *path]) if with_paths else None)
-        columns = [table["tree"], table["id"], table["node"], proofs, folded, [f.encode() == known for f in folded], packed]
+        columns = [table["id"], table["node"], [subroot] * len(table), proofs, folded, [f.encode() == known for f in folded], packed]
         return pa.table([c.cast(t) if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    done = _down(stages, above, fanout, depth, prove, "tree string, id long, leaf string, proof_sha256 string, folded_root string, verified boolean, path binary")
-    done = done.join(subs.withColumnRenamed("node", "subroot"), "tree")
+    done = _down(stages, above, fanout, depth, prove, "id long, leaf string, subroot string, proof_sha256 string, folded_root string, verified boolean, path binary")
     columns = [F.col("id").alias(id_col), "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof_sha256", "folded_root", "verified", *(["path"] if with_paths else [])]
     grp = F.when(F.col("tree") != "-", F.expr("substring(tree, 2)"))
     return Manifest(root, subs.select(grp.alias("grp"), F.col("node").alias("subroot")), done.select(*columns))

@@ -12,6 +12,7 @@ from matlink.llm.ngram_join import op2_ngram_jaccard_join
 from matlink.llm.packing import op1_packing
 from matlink.llm.simhash import op3_simhash_fingerprints
 from matlink.llm.substring_dedup import op8_substring_dedup
+from matlink.llm.suffix_dedup import op13_suffix_dedup
 from matlink.llm.warc import op9_warc
 from matlink.llm.whitening import op11_embedding_whitening
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -83,6 +85,16 @@ climb AS (SELECT doc_id, tree, 0 AS level, place, claimed AS node, '' AS proof F
 folded AS (SELECT doc_id, node, proof FROM climb AS c WHERE tree = '' AND NOT EXISTS (SELECT 1 FROM sides AS s WHERE s.tree = '' AND s.level = c.level AND s.place = c.place))
 SELECT p.doc_id, p.leaf, u.subroot, t.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
 FROM placed AS p JOIN folded AS f ON f.doc_id = p.doc_id JOIN subs AS u ON u.tree = p.tree JOIN (SELECT node FROM top WHERE total = 1) AS t ON true""",
+    "op13_suffix_dedup": """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(1, strlen(x) // 2 - 398)) AS i FROM b WHERE strlen(x) >= 800) AS t),
+r AS (SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS head FROM r),
+g AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o) AS t GROUP BY doc_id, k),
+e AS (SELECT doc_id, b AS lo, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS hi FROM g UNION ALL SELECT doc_id, 1, min(a) FROM g GROUP BY doc_id),
+k AS (SELECT e.doc_id, string_agg(substr(x, CAST(2 * lo - 1 AS BIGINT), CAST(2 * (coalesce(hi, strlen(x) // 2 + 1) - lo) AS BIGINT)), '' ORDER BY lo) AS kept FROM e JOIN b ON b.doc_id = e.doc_id GROUP BY e.doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM g GROUP BY doc_id)
+SELECT b.doc_id, strlen(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM b LEFT JOIN k ON k.doc_id = b.doc_id LEFT JOIN n ON n.doc_id = b.doc_id""",
     "op9_warc": """WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM d LEFT JOIN f USING (payload_digest)""",
