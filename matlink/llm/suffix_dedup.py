@@ -225,14 +225,15 @@ class _Split:
         return np.concatenate([*found, held[0][held[0]["many"]]])
 
 
-def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, shard: int = _SHARD) -> DataFrame:
     """docs with n_bytes, n_removed, removed (byte spans start, end) and kept (remaining bytes).
 
     Texts are UTF-8 bytes. A window is window consecutive bytes of one text; all bytes are removed
     that lie in a window that starts anywhere else, too, in the same text or another, in all of its
     places. A text of fewer bytes than a window keeps all; a null text is empty. Rows of the same
     id are texts of their own, so repeated rows remove each other; rows with a null id
-    are texts like others. Rows are told apart by a 64-bit hash of id and text.
+    are texts like others. Rows are told apart by a 64-bit hash of id and text. shard: bytes of
+    regions whose suffixes are sorted at a time.
     Columns of docs with the name of a result are replaced; others are kept.
     """
     if window < 1:
@@ -300,7 +301,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     got[0].append(i)
                     got[1].append(p)
                     size += b - a
-                if size > 4 * _SHARD:
+                if size > 4 * shard:
                     yield give()
                     size = 0
         if held:
@@ -349,7 +350,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     first = False
                 if rows and rows[-1][0] != row[0]:
                     kept = len(rows)
-                if size + len(row[1]) > _SHARD and rows:
+                if size + len(row[1]) > shard and rows:
                     if not kept:
                         kept = len(rows)
                         open_.add(row[0])
