@@ -29,11 +29,13 @@ from matlink.llm.substring_dedup import _ROWS, _Starts, _by_bucket, _frame, _rep
 from matlink.llm.wordvec import _BYTE, mix, rolling
 
 #: Bytes of text that are hashed at a time, and of regions in a shard.
-_PIECE, _SHARD = 1 << 20, 3 << 20
+_PIECE, _SHARD = 1 << 20, 1 << 20
 #: Bytes of text, or of regions, that a task gets.
 _TASK_BYTES = 64 << 20
 _HELD = 400_000
 _LANES = 1 << 14
+#: Places of one region that a shard holds; further ones are reported at once.
+_COPIES = 100_000
 
 
 def slide(v: np.ndarray, width: int, best) -> np.ndarray:
@@ -85,46 +87,47 @@ def _words(s: np.ndarray, pad: int) -> np.ndarray:
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix, depth at most, of each suffix in the array with the one before it (Kasai et al. 2001).
+    """Common prefix, depth at most, of each suffix with the one before it (Kasai et al. 2001).
 
-    The text is gone through in lanes side by side: the prefix of the next suffix is one shorter
-    at least, so each lane goes on from where it was.
+    order: the suffixes of s, or some of them, sorted by their first depth bytes. They are gone through
+    by place, in lanes side by side: the prefix of the next suffix is one shorter at
+    least, so each lane goes on from where it was.
     """
-    n = len(s)
+    n, m = len(s), len(order)
     words = _words(s, depth)
-    at = np.empty(n, np.int32)
-    at[order] = np.arange(n, dtype=np.int32)
+    at = np.full(n + 1, m, np.int32)  # of a suffix that isn't in order: behind all
+    at[order] = np.arange(m, dtype=np.int32)
+    places = np.flatnonzero(at < m)
     before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int32)
-    length = -(-n // min(_LANES, n))
-    lanes = np.arange(0, n, length)
+    out = np.zeros(m, np.int32)
+    length = -(-m // min(_LANES, max(m, 1)))
+    lanes = np.arange(0, m, max(length, 1))
     h = np.zeros(len(lanes), np.int64)
     for t in range(length):
-        p = lanes + t
-        if p[-1] >= n:
-            p, h = p[:-1], h[:-1]
-            lanes = lanes[:-1]
-            if not len(p):
-                break
+        if len(lanes) and lanes[-1] + t >= m:
+            lanes, h = lanes[:-1], h[:-1]
+        p = places[lanes + t]
         q = before[p].astype(np.int64)
         h = np.where(q >= 0, h, 0)
         most = np.minimum(depth, n - np.maximum(p, q))
         go = np.flatnonzero((q >= 0) & (h < most))
         while len(go):
-            x = words[p[go] + h[go]] ^ words[q[go] + h[go]]
-            same = np.where(x == 0, 8, 0)
-            for k in range(1, 8):
-                same += (x != 0) & (x < np.uint64(1) << np.uint64(64 - 8 * k))
-            h[go] = np.minimum(h[go] + same, most[go])
-            go = go[(same == 8) & (h[go] < most[go])]
+            now = h[go]
+            same = 8 - np.searchsorted(_BYTES, words[p[go] + now] ^ words[q[go] + now], side="right")
+            h[go] = now = np.minimum(now + same, most[go])
+            go = go[(same == 8) & (now < most[go])]
         out[at[p]] = h
         # one shorter, if the suffix after q also stands before the one after p; of equal ones it may not
-        ahead = (q >= 0) & (p + 1 < n) & (at[np.minimum(q + 1, n - 1)] < at[np.minimum(p + 1, n - 1)]) & (q + 1 < n)
-        h = np.where(ahead, np.maximum(h - 1, 0), 0)
+        after = at[p + 1]
+        h = np.where((q >= 0) & (after < m) & (at[q + 1] < after), np.maximum(h - 1, 0), 0)
     return out
 
 
+#: A number of eight bytes below the k-th has 8 - k zero bytes at its head.
+_BYTES = np.array([1 << 8 * k for k in range(8)], np.uint64)
+
+
 class _Texts:
     """Pieces of texts as one array of bytes; a piece starts row's text at start, and overlaps the next by window - 1."""
 
@@ -186,10 +189,8 @@ def _compare(regions: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     owner = np.repeat(np.arange(len(regions)), sizes)
     starts = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(s)) >= window
     order = suffix_array(s, window)
-    group = np.cumsum(common_prefixes(s, order, window) < window)
-    keep = starts[order]
-    order, group = order[keep], group[keep]
-    return order, owner[order], group
+    order = order[starts[order]]
+    return order, owner[order], np.cumsum(common_prefixes(s, order, window) < window)
 
 
 class _Split:
@@ -348,6 +349,14 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if first:
                     open_.add(row[0])  # the partition before may hold it, too
                     first = False
+                if rows and rows[-1][0] == row[0] and rows[-1][1] == row[1]:  # sorted once, for all of its places
+                    if len(rows[-1][2]) < _COPIES:
+                        rows[-1][2].extend(row[2])
+                        rows[-1][3].extend(row[3])
+                    else:
+                        n = len(row[1]) - window + 1
+                        yield pd.DataFrame([(i, p, p + n, None, None) for i, p in zip(row[2], row[3], strict=True)], columns=["id", "low", "high", "bucket", "packed"])
+                    continue
                 if rows and rows[-1][0] != row[0]:
                     kept = len(rows)
                 if size + len(row[1]) > shard and rows:
@@ -360,14 +369,15 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rows, kept = rows[kept:], 0
                     size = sum(len(r[1]) for r in rows)
                     open_ &= {row[0], *(r[0] for r in rows[:1])}
-                rows.append(row)
+                rows.append((row[0], row[1], list(row[2]), list(row[3])))
                 size += len(row[1])
         if rows:
             open_.add(rows[-1][0])  # and the partition behind
             yield from judge(rows, open_)
 
     kind = "id long, low int, high int, bucket int, packed binary"
-    dealt = found.withColumn("h", F.xxhash64("region")).repartitionByRange(tasks, "gram", "h").sortWithinPartitions("gram", "h")
+    keys = ["gram", "h", "first"]  # the last lets a region of many copies go to several partitions
+    dealt = found.withColumns({"h": F.xxhash64("region"), "first": F.col("rows")[0]}).repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
     judged = cut(dealt.select("gram", "region", "rows", "places").mapInPandas(shards, kind))
 
     def across(frames):
