@@ -317,60 +317,68 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Reports (row, low, high) of runs of repeated window starts, and packed keys of windows of split n-grams."""
         split = _Split(2 * tasks)
 
+        def reports(ids: np.ndarray, low: np.ndarray, high: np.ndarray):
+            for k in range(0, len(ids), _COPIES):
+                part = slice(k, k + _COPIES)
+                yield pd.DataFrame({"id": ids[part], "low": low[part].astype(np.int32), "high": high[part].astype(np.int32), "bucket": None, "packed": None})
+
         def judge(rows: list[tuple], open_: set):
             keys, texts, ids, places = zip(*rows, strict=True)
+            copies = np.array([sum(map(len, x)) for x in ids])
+            heads = np.cumsum(copies) - copies
+            ids, places = (np.concatenate([a for x in of for a in x]).astype(np.int64) for of in (ids, places))
             at, owner, group = _compare(list(texts), window)
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            copies = np.fromiter(map(len, ids), np.int64, len(ids))
             _, group = np.unique(group, return_inverse=True)
             many = np.bincount(group, copies[owner])[group] > 1
             offset = at - (np.cumsum(sizes) - sizes)[owner]
             by = np.lexsort((offset[many], owner[many]))
             o, f = owner[many][by], offset[many][by]
-            heads = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1] + 1)])) if len(o) else []
-            tails = np.append(heads[1:], len(o)) - 1 if len(o) else []
-            out = [(i, p + int(f[a]), p + int(f[b]) + 1) for a, b in zip(heads, tails, strict=True) for i, p in zip(ids[o[a]], places[o[a]], strict=True)]
-            yield pd.DataFrame([(i, a, b, None, None) for i, a, b in out], columns=["id", "low", "high", "bucket", "packed"])
+            if len(o):
+                first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1] + 1)]))
+                last = np.append(first[1:], len(o)) - 1
+                n = copies[o[first]]  # each run is reported to all places of its region
+                run = np.repeat(np.arange(len(first)), n)
+                mine = heads[o[first]][run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                yield from reports(ids[mine], places[mine] + f[first][run], places[mine] + f[last][run] + 1)
             shared = np.fromiter((k in open_ for k in keys), bool, len(keys))[owner]
             if shared.any():
                 data = np.frombuffer(b"".join(texts), np.uint8)
                 windows = np.empty(int(shared.sum()), _Split.KIND)
                 windows["h"] = rolling(_BYTE[data], window)[at[shared]]
-                windows["row"] = np.array([x[0] for x in ids])[owner[shared]]
-                windows["place"] = np.array([x[0] for x in places])[owner[shared]] + offset[shared]
+                windows["row"] = ids[heads[owner[shared]]]
+                windows["place"] = places[heads[owner[shared]]] + offset[shared]
                 windows["many"] = many[shared]
                 yield pd.DataFrame([(None, None, None, b, p) for b, p in split.give(windows)], columns=["id", "low", "high", "bucket", "packed"])
             release()
 
-        rows, size, open_, kept = [], 0, set(), 0  # kept: rows of whole n-grams among those held
+        rows, size, open_, kept, held = [], 0, set(), 0, 0  # kept: rows of whole n-grams among rows; held: places of the last row
         first = True
         for frame in frames:
-            for row in zip(frame["gram"].tolist(), frame["region"].tolist(), frame["rows"].tolist(), frame["places"].tolist(), strict=True):
+            for gram_, region, ids, places in zip(frame["gram"].tolist(), frame["region"].tolist(), frame["rows"].tolist(), frame["places"].tolist(), strict=True):
                 if first:
-                    open_.add(row[0])  # the partition before may hold it, too
+                    open_.add(gram_)  # the partition before may hold it, too
                     first = False
-                if rows and rows[-1][0] == row[0] and rows[-1][1] == row[1]:  # sorted once, for all of its places
-                    if len(rows[-1][2]) < _COPIES:
-                        rows[-1][2].extend(row[2])
-                        rows[-1][3].extend(row[3])
+                if rows and rows[-1][0] == gram_ and rows[-1][1] == region:  # sorted once, for all of its places
+                    if held < _COPIES:
+                        rows[-1][2].append(ids)
+                        rows[-1][3].append(places)
+                        held, size = held + len(ids), size + 12 * len(ids)
                     else:
-                        n = len(row[1]) - window + 1
-                        yield pd.DataFrame([(i, p, p + n, None, None) for i, p in zip(row[2], row[3], strict=True)], columns=["id", "low", "high", "bucket", "packed"])
+                        yield from reports(np.asarray(ids), np.asarray(places), np.asarray(places) + len(region) - window + 1)
                     continue
-                if rows and rows[-1][0] != row[0]:
+                if rows and rows[-1][0] != gram_:
                     kept = len(rows)
-                if size + len(row[1]) > shard and rows:
+                if size + len(region) > shard and rows:
                     if not kept:
                         kept = len(rows)
-                        open_.add(row[0])
-                        if rows[-1][0] != row[0]:
-                            open_.add(rows[-1][0])
+                        open_ |= {gram_, rows[-1][0]}
                     yield from judge(rows[:kept], open_)
                     rows, kept = rows[kept:], 0
-                    size = sum(len(r[1]) for r in rows)
-                    open_ &= {row[0], *(r[0] for r in rows[:1])}
-                rows.append((row[0], row[1], list(row[2]), list(row[3])))
-                size += len(row[1])
+                    size = sum(len(r[1]) + 12 * sum(map(len, r[2])) for r in rows)
+                    open_ &= {gram_, *(r[0] for r in rows[:1])}
+                rows.append((gram_, region, [ids], [places]))
+                held, size = len(ids), size + len(region) + 12 * len(ids)
         if rows:
             open_.add(rows[-1][0])  # and the partition behind
             yield from judge(rows, open_)
