@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matlink.functions.canonical import python_number
 from matlink.functions.text import safe_cell
 from matlink.sources.policy import literal_map
 
@@ -25,27 +26,12 @@ _ORG, _FILE_ROWS = "_org", 1_000_000
 _BOM = "\ufeff"
 
 
-def _number(value: Column) -> Column:
-    """A double as Python writes it: 1.0, 0.001, 1e-05, 1e+16."""
-    text = value.cast("string")
-    mantissa, power = F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
-    digits = F.regexp_replace(mantissa, r"[-.]", "")
-    digits = F.regexp_replace(digits, r"0+$", "")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    whole = F.concat(F.rpad(digits, power + 1, "0"), F.lit("."), F.when(F.length(digits) > power + 1, F.substring(digits, power + 2, F.length(digits))).otherwise("0"))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    point = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(digits)
-    science = F.concat(point, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    written = F.when(power.isNull(), text).when(power.between(-4, -1), F.concat(sign, small)).when(power.between(0, 15), F.concat(sign, whole)).otherwise(F.concat(sign, science))
-    return F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").otherwise(written)
-
-
 def cell(value: Column, kind: str, sep: str) -> Column:
     """A cell of a line: null is empty, texts are guarded against formulas and quoted where they must be."""
     if kind == "string":
         text = safe_cell(value)
     elif kind in ("double", "float"):
-        text = _number(value.cast("double"))
+        text = python_number(value.cast("double"))
     else:
         text = value.cast("string")
     text = F.coalesce(text, F.lit(""))
