@@ -111,6 +111,11 @@ def record_text(long_text: Column, short_text: Column) -> Column:
     return F.coalesce(F.when(F.trim(long_text) != "", long_text), short_text)
 
 
+def short_text(short: Column, long: Column, limit: int = 40) -> Column:
+    """The short text if it says anything, else the head of the long one without white space at its end."""
+    return F.coalesce(F.when(F.trim(short) != "", short), F.regexp_replace(F.substring(long, 1, limit), r"\s+$", ""))
+
+
 def content_hash(**fields: Column) -> Column:
     """SHA-256 of name=value of all fields in their order; a null is empty."""
     parts = [F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit(""))) for name, value in fields.items()]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from matlink.functions.text import lenient_date, lenient_number, vendor_hash
 from matlink.operators.graph import cut
+from matlink.sources.files import read_delimited
 
 # ---- fixed values ----
 HEADERS = {
@@ -44,19 +45,12 @@ def mapped_headers(headers: list[str]) -> dict[str, str]:
     return out
 
 
-def read_purchases(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Lines of purchase files as trimmed texts under the fields' names, file, and _corrupt: the whole line where its cells don't fit the header.
+def read_purchases(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of purchase files as trimmed texts under the fields' names, and _corrupt: the whole line where its cells don't fit the header.
 
-    Files of a folder share a header in the same order; it is told from one of them.
+    Each file has its own encoding, separator and headers. ValueError for files without lines.
     """
-    options = {"sep": sep, "encoding": encoding, "escape": '"', "mode": "PERMISSIVE"}
-    headers = spark.read.options(header=True, **options).csv(path).columns
-    found = mapped_headers([h.lstrip("﻿") for h in headers])
-    schema = ", ".join([*(f"`c{i}` string" for i in range(len(headers))), f"`{_CORRUPT}` string"])
-    rows = spark.read.schema(schema).options(header=True, columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True, **options).csv(path)
-    at = {h.lstrip("﻿"): i for i, h in enumerate(headers)}
-    cells = [(F.nullif(F.trim(F.col(f"c{at[found[f]]}")), F.lit("")) if f in found else F.lit(None).cast("string")).alias(f) for f in HEADERS]
-    return rows.select(*cells, F.col(_CORRUPT), F.input_file_name().alias("file"))
+    return read_delimited(spark, path, mapped_headers, list(HEADERS), _CORRUPT)
 
 
 @dataclass(frozen=True)
@@ -88,12 +82,13 @@ def ingest(rows: DataFrame, records: DataFrame, known: DataFrame | None = None,
     judged = matched.withColumn("state", state)
     whole, bad = judged.where("state is null").drop("state"), judged.where("state is not null")
     if known is not None:
-        whole = whole.join(known.select(*key, F.lit(True).alias("old")).distinct(), [F.col(c).eqNullSafe(known[c]) for c in key], "left").select(whole["*"], F.coalesce("old", F.lit(False)).alias("old"))
+        old = known.select(*(F.col(c).alias(f"_k_{c}") for c in key), F.lit(True).alias("old")).distinct()
+        whole = whole.join(old, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key], "left").drop(*(f"_k_{c}" for c in key))
     else:
         whole = whole.withColumn("old", F.lit(False))
     # equal purchases meet in a group; of copies in any number, the first stays
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("uom"), F.col("currency"), F.col("plant")))
-    whole = whole.withColumn("state", F.when(F.col("old") | (nth > 1), "DUPLICATE").otherwise("LINE")).drop("old")
+    whole = whole.withColumn("state", F.when(F.coalesce("old", F.lit(False)) | (nth > 1), "DUPLICATE").otherwise("LINE")).drop("old")
     done = cut(bad.unionByName(whole).drop("corrupt"))
     every = rows.sparkSession.createDataFrame([(s,) for s in STATES], "state string")
     counts = every.join(F.broadcast(done.groupBy("state").agg(F.count("*").alias("n"))), "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("rows"))

@@ -311,8 +311,9 @@ def by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir).groupBy("category").agg(F.countDistinct("cluster").alias("groups"), F.countDistinct("id").alias("records"), F.array_join(F.array_sort(F.collect_set("org")), ",").alias("orgs"))
 
 
-@query(f"""WITH {_GROUP_SQL}, e AS (SELECT a.cluster, CAST((a.id + b.id) % 50 AS DOUBLE) / 100 + 0.5 AS score, (a.id + b.id) % 3 AS flags FROM grp a JOIN grp b ON a.cluster = b.cluster AND a.id < b.id),
-i AS (SELECT cluster, round(avg(score), 3) AS cohesion, CAST(sum(flags) AS BIGINT) AS flags FROM e GROUP BY cluster),
+@query(f"""WITH {_GROUP_SQL}, e AS (SELECT a.cluster, (a.id + b.id) % 50 + 50 AS cents, (a.id + b.id) % 3 AS flags FROM grp a JOIN grp b ON a.cluster = b.cluster AND a.id < b.id),
+t AS (SELECT cluster, CAST(sum(cents) AS BIGINT) * 10 AS s, count(*) AS n, CAST(sum(flags) AS BIGINT) AS flags FROM e GROUP BY cluster),
+i AS (SELECT cluster, (s // n + CASE WHEN 2 * (s % n) > n OR (2 * (s % n) = n AND (s // n) % 2 = 1) THEN 1 ELSE 0 END) / 1000 AS cohesion, flags FROM t),
 v AS (SELECT cluster, count(*) AS size, sum(price) AS value, bool_or(id % 11 = 0) AS critical FROM grp GROUP BY cluster HAVING count(*) >= 2)
 SELECT v.cluster, size, cohesion, flags, critical, round(value, 2) AS value, round(value * (1 + 0.5 * coalesce(flags, 0)), 2) AS priority FROM v LEFT JOIN i ON i.cluster = v.cluster""")
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,12 +104,18 @@ def batch_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACTIONS = "PROPOSE,APPROVE,ASK,CONSENT,OVERTURN"
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id AS task, split_part('{_ACTIONS}', ',', CAST(event_id % 5 + 1 AS INT)) AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+def review_sql(select: str) -> str:
+    """SQL of the states s (task, state, steps) after all of the log, and a query on them."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id AS task, split_part('{_ACTIONS}', ',', CAST(event_id % 5 + 1 AS INT)) AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 w AS (SELECT DISTINCT task, CAST('OPEN' AS VARCHAR) AS state, CAST(0 AS BIGINT) AS n FROM e
   UNION ALL SELECT w.task, CASE WHEN w.state = 'OPEN' AND action = 'PROPOSE' THEN 'MADE' WHEN w.state = 'MADE' AND action = 'APPROVE' THEN 'DONE' WHEN w.state = 'MADE' AND action = 'ASK' THEN 'AWAITING_CONSENT'
     WHEN w.state = 'MADE' AND action = 'OVERTURN' THEN 'OPEN' WHEN w.state = 'AWAITING_CONSENT' AND action = 'CONSENT' THEN 'DONE' WHEN w.state = 'AWAITING_CONSENT' AND action = 'OVERTURN' THEN 'OPEN' ELSE w.state END, e.n
-  FROM w JOIN e ON e.task = w.task AND e.n = w.n + 1)
-SELECT task, state, n AS steps FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY n DESC) AS k FROM w) AS z WHERE k = 1""")
+  FROM w JOIN e ON e.task = w.task AND e.n = w.n + 1),
+s AS (SELECT task, state, n AS steps FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY n DESC) AS k FROM w) AS z WHERE k = 1)
+{select}"""
+
+
+@query(review_sql("SELECT task, state, steps FROM s"))
 def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.element_at(F.split(F.lit(_ACTIONS), ","), (F.col("event_id") % 5 + 1).cast("int"))
     return governance.review_states(_table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("pos"), action.alias("action")))
