@@ -122,41 +122,75 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(got["lang"].tolist(), stack("grams"), stack("scripts"), got["texts"].to_numpy())
 
 
-def _paths(scores: np.ndarray, first: np.ndarray, prior: np.ndarray, penalty: float) -> np.ndarray:
-    """The best language of each word; all texts take a step of Viterbi at a time, the longest first."""
-    counts = np.diff(first)
-    order = np.argsort(-counts, kind="stable")
-    begin, count = first[:-1][order], counts[order]
-    steps = int(count[0]) if len(count) else 0
-    active = np.searchsorted(-count, -np.arange(steps), side="left")  # texts with more than t words
+def _step(state: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each lane's state before a word: the best language to come from, who stays, and the state at the word."""
+    top = state.argmax(axis=1)
+    jump = state[np.arange(len(state)), top][:, None] - penalty
+    stay = state >= jump
+    return top, stay, np.where(stay, state, jump)
+
+
+def _paths(scores: np.ndarray, first: np.ndarray, prior: np.ndarray, penalty: float, segment: int = 256) -> np.ndarray:
+    """The best language of each word by Viterbi.
+
+    Texts are cut into segments, and all segments take a step at a time, so a step a word of a segment is enough for
+    texts of any length. A segment's best scores from each language before it to each at its end (a matrix,
+    max-plus) give the state at every border; with these, all segments run forward, and the language each comes
+    from, given that at its end, joins them backward. The result is that of one run over each text.
+    """
+    scores, prior = scores.astype(np.float64), prior.astype(np.float64)
+    counts, k = np.diff(first), scores.shape[1]
     path = np.zeros(len(scores), np.int16)
-    if not steps:
+    pieces = -(-counts // segment)
+    if not pieces.sum():
         return path
-    state = scores[begin[: active[0]]] + prior
-    best_before = np.zeros(len(scores), np.int16)
-    stays = np.zeros(scores.shape, bool)
-    rows = np.arange(len(count))
-    for t in range(1, steps):
-        n = int(active[t])
-        state = state[:n]
-        top = state.argmax(axis=1)
-        jump = state[rows[:n], top][:, None] - penalty
-        at = begin[:n] + t
-        stay = state >= jump
-        best_before[at], stays[at] = top, stay
-        state_next = np.where(stay, state, jump) + scores[at]
-        if n < len(state_next):
-            state_next = state_next[:n]
-        ended = int(active[t + 1]) if t + 1 < steps else 0
-        path[at[ended:]] = state_next[ended:].argmax(axis=1)
-        state = state_next
-    one = count == 1
-    path[begin[one]] = (scores[begin[one]] + prior).argmax(axis=1)
-    for t in range(steps - 1, 0, -1):
+    index = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)  # a segment's place in its text
+    begin = np.repeat(first[:-1], pieces) + index * segment
+    size = np.minimum(np.repeat(first[1:], pieces) - begin, segment)
+    last = index == np.repeat(pieces - 1, pieces)
+    # states before each segment
+    entry = np.zeros((len(begin), k))
+    if not last.all():
+        full = np.flatnonzero(~last)  # all of a whole segment's length
+        best = np.where(np.eye(k, dtype=bool), 0.0, -penalty)[None] + scores[begin[full]][:, None, :]
+        best[index[full] == 0] = (prior + scores[begin[full[index[full] == 0]]])[:, None, :]
+        for t in range(1, segment):
+            np.maximum(best, best.max(axis=2, keepdims=True) - penalty, out=best)
+            best += scores[begin[full] + t][:, None, :]
+        for i in range(int(index.max())):
+            now = np.flatnonzero(index[full] == i)
+            entry[full[now] + 1] = (entry[full[now]][:, :, None] + best[now]).max(axis=1)
+    # all segments forward, the longest first
+    order = np.argsort(-size, kind="stable")
+    begin_, size_ = begin[order], size[order]
+    active = np.searchsorted(-size_, -np.arange(int(size_[0]) + 1), side="left")  # segments of more than t words
+    before, stays = np.zeros(len(scores), np.int16), np.zeros(scores.shape, bool)
+    top, stay, state = _step(entry[order], penalty)
+    before[begin_], stays[begin_] = top, stay
+    state = np.where((index[order] == 0)[:, None], prior, state) + scores[begin_]
+    end = np.zeros(len(begin), np.int64)  # the language at a segment's end, if it is its text's last
+    for t in range(1, int(size_[0]) + 1):
         n = int(active[t])
-        at = begin[:n] + t
+        end[order[n : len(state)]] = state[n:].argmax(axis=1)
+        if n:
+            at = begin_[:n] + t
+            before[at], stays[at], state = _step(state[:n], penalty)
+            state = state + scores[at]
+    # where each segment comes from, for every language at its end; then the ends, from the last segment back
+    if not last.all():
+        come = np.tile(np.arange(k), (len(begin), 1))
+        for t in range(int(size_[0]) - 1, -1, -1):
+            lanes = order[: int(active[t])]
+            at, now = begin[lanes] + t, come[lanes]
+            come[lanes] = np.where(np.take_along_axis(stays[at], now, axis=1), now, before[at][:, None])
+        for i in range(int(index.max()), 0, -1):
+            now = np.flatnonzero(index == i)
+            end[now - 1] = come[now, end[now]]
+    path[begin + size - 1] = end
+    for t in range(int(size_[0]) - 1, 0, -1):
+        at = begin_[: int(active[t])] + t
         now = path[at]
-        path[at - 1] = np.where(stays[at, now], now, best_before[at])
+        path[at - 1] = np.where(stays[at, now], now, before[at])
     return path
 
 
@@ -171,7 +205,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = model.languages
-    limit = max(1 << 16, (8 << 20) // max(len(names), 1))
+    limit = max(1 << 16, (4 << 20) // max(len(names), 1))
 
     def label(texts: list) -> tuple[list, list, list]:
         m = sent.value
