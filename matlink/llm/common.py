@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from matlink.operators.graph import components, cut, shared_dir
 
 
-__all__ = ["batches", "bitmap", "buckets_for", "components", "cut", "prepare", "release", "shared_dir", "with_likely"]
+__all__ = ["batches", "bitmap", "buckets_for", "components", "cut", "free_name", "prepare", "release", "shared_dir", "with_likely"]
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
@@ -56,6 +56,13 @@ def batches(table_batch, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     release()
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, or a longer one, that none of columns starts with in any case: for a helper column beside a caller's."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
+
+
 def buckets_for(docs: DataFrame, text_col: str, least: int, bytes_each: int) -> int:
     """How many buckets hold near bytes_each bytes of all texts: more text makes more buckets, not larger ones."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
@@ -86,10 +93,13 @@ def with_likely(df: DataFrame, name: str, key: Column, ids: DataFrame, column: s
 
     Told by a bitmap of fixed size: at most 2**log2_bits / 64 rows are broadcast, whatever the
     number of ids. With it, only rows that need a join are shuffled. Null keys are false.
+    name may not be a column of df, see free_name.
     """
+    own = free_name([*df.columns, name], "__likely")
+    bit, word, bits = (f"{own}{k}" for k in range(3))
     place = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - log2_bits)
     words = ids.where(F.col(column).isNotNull()).select(place(F.col(column)).alias("bit"))
-    words = words.groupBy(F.shiftrightunsigned("bit", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("__bits"))
-    df = df.withColumn("__bit", F.when(key.isNotNull(), place(key)))
-    hit = F.expr("coalesce((shiftrightunsigned(__bits, CAST(__bit & 63 AS INT)) & 1) = 1, false)")
-    return df.join(F.broadcast(words), F.shiftrightunsigned("__bit", 6) == F.col("__word"), "left").withColumn(name, hit).drop("__bit", "__word", "__bits")
+    words = words.groupBy(F.shiftrightunsigned("bit", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias(bits))
+    df = df.withColumn(bit, F.when(key.isNotNull(), place(key)))
+    hit = F.expr(f"coalesce((shiftrightunsigned({bits}, CAST({bit} & 63 AS INT)) & 1) = 1, false)")
+    return df.join(F.broadcast(words), F.shiftrightunsigned(bit, 6) == F.col(word), "left").withColumn(name, hit).drop(bit, word, bits)

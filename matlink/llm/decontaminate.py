@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, prepare
+from matlink.llm.common import batches, free_name, prepare
 from matlink.llm.wordvec import ALNUM, Words, rolling
 
 #: Characters of items that are broadcast at a time.
@@ -196,9 +196,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     results = ["n_words", "n_hit", "spans", "items", "contaminated"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in results]
-    found = docs.select(*rest, *(scan(text).alias(f"__b{i}") for i, scan in enumerate(blocks)))
-    of = lambda c: [F.col(f"__b{i}.{c}") for i in range(len(blocks))]
-    found = found.select(*rest, F.col("__b0.n_words").alias("n_words"), (merged(F.concat(*of("spans"))) if len(blocks) > 1 else F.col("__b0.spans")).alias("spans"), F.array_sort(F.array_distinct(F.concat(*of("items")))).alias("items"))
+    own = free_name(docs.columns, "__block")
+    found = docs.select(*rest, *(scan(text).alias(f"{own}{i}") for i, scan in enumerate(blocks)))
+    of = lambda c: [F.col(f"{own}{i}.{c}") for i in range(len(blocks))]
+    found = found.select(*rest, F.col(f"{own}0.n_words").alias("n_words"), (merged(F.concat(*of("spans"))) if len(blocks) > 1 else F.col(f"{own}0.spans")).alias("spans"), F.array_sort(F.array_distinct(F.concat(*of("items")))).alias("items"))
     found = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
     contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * least_percent)
     return found.withColumn("contaminated", contaminated).select(*rest, *results)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, prepare
+from matlink.llm.common import batches, free_name, prepare
 
 UNKNOWN = "und"
 _BITS = 16
@@ -249,8 +249,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     taken = {"lang_pred", "score", "lang_spans"}
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in taken]
-    results = ["__found.lang_pred", "__found.score"] + ["__found.lang_spans"] * spans
-    return docs.select(*rest, found(F.col(text_col).cast("string")).alias("__found")).select(*rest, *results)
+    own = free_name(docs.columns, "__found")
+    results = [f"{own}.lang_pred", f"{own}.score"] + [f"{own}.lang_spans"] * spans
+    return docs.select(*rest, found(F.col(text_col).cast("string")).alias(own)).select(*rest, *results)
 
 
 def _held_out(id_col: str, modulus: int):

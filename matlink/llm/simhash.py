@@ -39,7 +39,8 @@ def fingerprints(df: DataFrame, keys: list[str], text: Column, words: int = 5) -
     A text of fewer words than a shingle is one term; one without words, or null, has
     fingerprint 0. Texts that are equal but for letter case and white space have equal ones.
     """
-    terms = _terms(df.select(*keys, F.coalesce(text, F.lit("")).alias("__text")), words)
+    names, keys = keys, [f"__k{i}" for i in range(len(keys))]  # whatever the caller calls them
+    terms = _terms(df.select(*(F.col(f"`{n}`").alias(k) for n, k in zip(names, keys, strict=True)), F.coalesce(text, F.lit("")).alias("__text")), words)
     terms = terms.select(*keys, "__block", "__h0", F.when(F.col("__h0").isNotNull(), F.xxhash64("__h0")).alias("__h1"))
     sums = [F.sum(F.expr(f"shiftrightunsigned(__h{w}, {j}) & {_ONES}")).alias(f"__s{w}_{j}") for w in (0, 1) for j in range(8)]
     blocks = terms.groupBy(*keys, "__block").agg(F.count("__h0").alias("__n"), *sums)
@@ -52,7 +53,7 @@ def fingerprints(df: DataFrame, keys: list[str], text: Column, words: int = 5) -
             bits = [x.bitwiseOR(y) for x, y in zip(bits[::2], bits[1::2], strict=True)]
         return bits[0]
 
-    return counts.select(*keys, half(0).alias("fp0"), half(1).alias("fp1"))
+    return counts.select(*(F.col(k).alias(n) for n, k in zip(names, keys, strict=True)), half(0).alias("fp0"), half(1).alias("fp1"))
 
 
 def as_text(fp0: Column, fp1: Column) -> Column:

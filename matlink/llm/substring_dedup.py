@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, buckets_for, cut, prepare, with_likely
+from matlink.llm.common import batches, buckets_for, cut, free_name, prepare, with_likely
 from matlink.llm.wordvec import Words, mix, rolling, valid_starts
 
 #: Perfect difference covers by period. Fixed values.
@@ -35,7 +35,13 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
 _HELD = 600_000
 #: Bytes of text whose starts one task compares; more text makes more tasks.
 _TASK_BYTES = 128 << 20
-_LAST = 2**63 - 1
+#: Rows without an id have one from here on.
+_NO_ID = 1 << 62
+
+
+def _row_id(id_col: Column, text: Column) -> Column:
+    """The id of a row; without one, a number of its text above all ids."""
+    return F.coalesce(id_col.cast("long"), F.xxhash64(text.cast("string")).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID)))
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -193,14 +199,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs of other characters than ASCII white space, as they stand. A text of
     fewer words than the window keeps them all; a null text has none and gives an empty
     one. Rows of the same id are versions of one text: equal starts in both are one.
-    Rows with a null id count as one text after all others. Columns of docs with the name
-    of a result are replaced; others are kept.
+    Rows with a null id stand after those of all ids below 2**62, in an order of their texts'
+    hashes; equal ones are one text. Columns of docs with the name of a result are
+    replaced; others are kept.
     """
     spark = docs.sparkSession
     prepare(spark)
     period, cover = cover_for(window)
     anchor = window - period + 1
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(_row_id(F.col(id_col), F.col(text_col)).alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = buckets_for(texts, "text", max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), _TASK_BYTES)
     buckets = 2 * parts
 
@@ -267,13 +274,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     results = ["n_words", "n_removed", "removed", "kept_text"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in results]
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    marked = with_likely(docs, "__hit", key, repeats, "id")
+    own = free_name(docs.columns, "__own")
+    hit, of, at, done = (f"{own}{k}" for k in range(4))
+    key = _row_id(F.col(id_col), F.col(text_col))
+    marked = with_likely(docs, hit, key, repeats, "id")
     text = F.col(text_col).cast("string")
-    whole = marked.where("not __hit").select(*rest, finish(text, F.lit(None).cast("array<int>")).alias("__done"))
-    places = repeats.select(F.col("id").alias("__id"), F.col("places").alias("__places"))
-    cuts = marked.where("__hit").join(places, key == F.col("__id"), "left").select(*rest, finish(text, F.col("__places")).alias("__done"))
-    return whole.unionByName(cuts).select(*rest, *(F.col(f"__done.{c}") for c in results))
+    whole = marked.where(~F.col(hit)).select(*rest, finish(text, F.lit(None).cast("array<int>")).alias(done))
+    places = repeats.select(F.col("id").alias(of), F.col("places").alias(at))
+    cuts = marked.where(F.col(hit)).join(places, key == F.col(of), "left").select(*rest, finish(text, F.col(at)).alias(done))
+    return whole.unionByName(cuts).select(*rest, *(F.col(f"{done}.{c}") for c in results))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
