@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matlink.llm import decontaminate, language_id, ngram_join, packing, substring_dedup
-from matlink.llm.common import shared_dir, with_likely
+from matlink.llm.common import free_name, shared_dir, with_likely
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one with an id.
     """
     members, _ = ngram_join.jaccard_classes(docs.select("doc_id", "text"), words=5, percent=80)
-    gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    marked = with_likely(docs, "__hit", F.col("doc_id"), gone, "gone")
-    rest = marked.where("__hit").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    return marked.where("not __hit").unionByName(rest).select(*docs.columns)
+    own = free_name(docs.columns, "__own")
+    hit, of = f"{own}0", f"{own}1"
+    gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias(of)).distinct()
+    marked = with_likely(docs, hit, F.col("doc_id"), gone, of)
+    rest = marked.where(F.col(hit)).join(gone, F.col("doc_id") == F.col(of), "left_anti")
+    return marked.where(~F.col(hit)).unionByName(rest).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
