@@ -2,66 +2,150 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matlink.operators.graph import components
+from matlink.operators.graph import components, cut, remove, shared_dir, stored
+
+
+#: Given (a, b) of classes, those that may not share a group.
+Veto = Callable[[DataFrame], DataFrame]
 
 
-def constrained_clusters(edges: DataFrame, conflicts: DataFrame, size_cap: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(members, blocked) of edges (i, j, score) and conflicts (i, j) of longs.
+def constrained_clusters(edges: DataFrame, conflicts: DataFrame | Veto, size_cap: int | None = 200, classes: DataFrame | None = None, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(members, blocked) of edges (i, j, score) of longs and conflicts.
 
-    Edges are followed by falling score, then i, j, unless the group would exceed size_cap or
-    hold a conflict. Components of the edges are independent, so each is a task's group and
-    the result is that of one run over all. members: id, cluster (its smallest id). blocked:
-    i, j, score and reason; the size is judged before conflicts.
+    Edges are followed by falling score, then i, j, unless the group would exceed size_cap (None: any size) or
+    hold a conflict. members: id, cluster (its smallest id). blocked: i, j, score and reason; the size is judged
+    before conflicts.
+
+    classes (id, class) names what conflicts are between, without it the ids themselves; records of a class never conflict.
+    conflicts: pairs (i, j) of classes, or a function that tells them of pairs (a, b). Components of the edges are
+    independent. One of at most `most` edges is a task's group, where the pairs of its distinct classes are judged;
+    larger ones merge in rounds (see merge_rounds), which judge the classes of two groups only when these could merge.
     """
-    parts = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    veto = conflicts if callable(conflicts) else _listed(conflicts)
+    parts = cut(components(edges.select(F.col("i").alias("a"), F.col("j").alias("b"))))
+    kinds = cut(parts.select(F.col("node").alias("id")).join(classes, "id", "left").select("id", F.coalesce("class", "id").alias("class")) if classes is not None else parts.select(F.col("node").alias("id"), F.col("node").alias("class")))
     at = parts.select(F.col("node").alias("i"), "component")
-    work = edges.join(at, "i").select("component", "i", "j", F.col("score").cast("double").alias("score"))
-    other = parts.select(F.col("node").alias("j"), F.col("component").alias("to"))
-    vetoes = conflicts.join(at, "i").join(other, "j").where("component = to").select("component", "i", "j", F.lit(None).cast("double").alias("score"))
+    work = edges.select("i", "j", F.col("score").cast("double").alias("score")).join(at, "i")
+    large = cut(work.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component"))
+    small = work.join(large, "component", "left_anti")
+    nodes = parts.join(large, "component", "left_anti").select(F.col("node").alias("id"), "component").join(kinds, "id")
+    own = nodes.select("component", "class").distinct()
+    pairs = own.select("component", F.col("class").alias("a")).join(own.select("component", F.col("class").alias("b")), "component").where("a < b")
+    bad = veto(pairs.select("a", "b").distinct()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    none = F.lit(None)
+    rows = small.select("component", F.lit("edge").alias("kind"), "i", "j", "score")
+    rows = rows.unionByName(nodes.select("component", F.lit("class").alias("kind"), F.col("id").alias("i"), F.col("class").alias("j"), none.cast("double").alias("score")))
+    rows = rows.unionByName(pairs.join(bad, ["a", "b"]).select("component", F.lit("veto").alias("kind"), F.col("a").alias("i"), F.col("b").alias("j"), none.cast("double").alias("score")))
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        group, held, foes = {}, {}, {}
-        for i, j in frame.loc[frame["score"].isna(), ["i", "j"]].itertuples(index=False):
+        group, held, foes, own = {}, {}, {}, {}
+        of = {kind: part[["i", "j", "score"]] for kind, part in frame.groupby("kind")}
+        for i, j in of["veto"][["i", "j"]].itertuples(index=False) if "veto" in of else ():
             foes.setdefault(i, set()).add(j)
             foes.setdefault(j, set()).add(i)
-        rows = []
-        links = frame[frame["score"].notna()].sort_values(["score", "i", "j"], ascending=[False, True, True])
-        for node in pd.unique(links[["i", "j"]].to_numpy().ravel()):
-            group[node], held[node] = node, {node}
-        for i, j, score in links[["i", "j", "score"]].itertuples(index=False):
+        for i, c in of["class"][["i", "j"]].itertuples(index=False):
+            group[i], held[i], own[i] = i, {i}, {c}
+        out = []
+        links = of["edge"].sort_values(["score", "i", "j"], ascending=[False, True, True]) if "edge" in of else of["class"][:0]
+        for i, j, score in links.itertuples(index=False):
             a, b = group[i], group[j]
             if a == b:
                 continue
-            if len(held[a]) + len(held[b]) > size_cap:
-                rows.append(("blocked", i, j, score, "size cap"))
-            elif any(foes.get(x, set()) & held[b] for x in held[a]):
-                rows.append(("blocked", i, j, score, "conflict"))
+            if size_cap is not None and len(held[a]) + len(held[b]) > size_cap:
+                out.append(("blocked", i, j, score, "size cap"))
+            elif any(foes.get(x, set()) & own[b] for x in own[a]):
+                out.append(("blocked", i, j, score, "conflict"))
             else:
                 held[a] |= held.pop(b)
+                own[a] |= own.pop(b)
                 for x in held[a]:
                     group[x] = a
         for members in held.values():
-            rows += [("member", x, min(members), None, None) for x in members]
-        return pd.DataFrame(rows, columns=["kind", "i", "j", "score", "reason"])
+            out += [("member", x, min(members), None, None) for x in members]
+        return pd.DataFrame(out, columns=["kind", "i", "j", "score", "reason"])
 
-    done = work.unionByName(vetoes).groupBy("component").applyInPandas(merge, "kind string, i long, j long, score double, reason string")
+    done = cut(rows.groupBy("component").applyInPandas(merge, "kind string, i long, j long, score double, reason string"))
     members = done.where("kind = 'member'").select(F.col("i").alias("id"), F.col("j").alias("cluster"))
-    return members, done.where("kind = 'blocked'").select("i", "j", "score", "reason")
+    blocked = done.where("kind = 'blocked'").select("i", "j", "score", "reason")
+    if not large.isEmpty():
+        more, stopped = merge_rounds(work.join(large, "component", "left_semi").select("i", "j", "score"), kinds, veto, size_cap)
+        members, blocked = members.unionByName(more), blocked.unionByName(stopped)
+    return members, blocked
+
+
+def _listed(conflicts: DataFrame) -> Veto:
+    known = conflicts.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    return lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"])
 
 
-def blocked_witness(blocked: DataFrame, members: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Each blocked edge with the smallest conflicting pair across the two final groups."""
+def merge_rounds(edges: DataFrame, classes: DataFrame, veto: Veto, size_cap: int | None) -> tuple[DataFrame, DataFrame]:
+    """(members, blocked) as of constrained_clusters, for components of any size.
+
+    An edge that comes first of all edges of both its groups meets these groups as they are when its turn comes,
+    whatever happens elsewhere. So each round follows all such edges at once: those of one group are never two.
+    A group that is larger by a merge goes on with the edges of both. A round is a few joins, and is checkpointed.
+    """
+    spark = edges.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    ids = edges.select(F.col("i").alias("id")).unionByName(edges.select(F.col("j").alias("id"))).distinct()
+    groups = stored(ids.join(classes, "id").select("id", F.col("id").alias("group"), "class"), f"{folder}/0/groups")
+    key = F.struct((-F.col("score")).alias("score"), "i", "j")
+    live = stored(edges.select("i", "j", "score", F.col("i").alias("a"), F.col("j").alias("b")).where("a <> b").distinct(), f"{folder}/0/live")
+    blocked = [spark.createDataFrame([], "i long, j long, score double, reason string")]
+    turn = 0
+    while not live.isEmpty():
+        turn += 1
+        keyed = live.withColumn("key", key)
+        first = keyed.select(F.col("a").alias("g"), "key").unionByName(keyed.select(F.col("b").alias("g"), "key")).groupBy("g").agg(F.min("key").alias("first"))
+        now = keyed.join(first.withColumnRenamed("g", "a"), "a").where(F.col("key") == F.col("first")).drop("first")
+        now = stored(now.join(first.withColumnRenamed("g", "b"), "b").where(F.col("key") == F.col("first")).select("i", "j", "score", "a", "b"), f"{folder}/{turn}/now")
+        kinds = groups.groupBy("group", "class").agg(F.count("*").alias("n"))
+        sizes = kinds.groupBy("group").agg(F.sum("n").alias("n"))
+        sized = now.join(sizes.select(F.col("group").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("group").alias("b"), F.col("n").alias("nb")), "b")
+        over = F.lit(False) if size_cap is None else F.col("na") + F.col("nb") > size_cap
+        met = sized.where(~over).select("i", "j", "a", "b").join(kinds.select(F.col("group").alias("a"), F.col("class").alias("ca")), "a").join(kinds.select(F.col("group").alias("b"), F.col("class").alias("cb")), "b")
+        met = met.select("i", "j", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).where("x <> y")
+        bad = veto(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        stopped = met.join(bad, ["x", "y"]).select("i", "j").distinct().withColumn("reason", F.lit("conflict"))
+        judged = sized.join(stopped, ["i", "j"], "left").withColumn("reason", F.when(over, "size cap").otherwise(F.col("reason"))).select("i", "j", "score", "a", "b", "reason")
+        judged = stored(judged, f"{folder}/judged/{turn}")
+        merged = judged.where("reason is null").select(F.greatest("a", "b").alias("old"), F.least("a", "b").alias("new"))
+        left = live.join(judged.where("reason is not null").select("i", "j"), ["i", "j"], "left_anti")
+        for side in "ab":
+            left = left.join(merged, F.col(side) == F.col("old"), "left").withColumn(side, F.coalesce("new", side)).drop("old", "new")
+        groups = stored(groups.join(merged, F.col("group") == F.col("old"), "left").select("id", F.coalesce("new", "group").alias("group"), "class"), f"{folder}/{turn}/groups")
+        live = stored(left.where("a <> b").select("i", "j", "score", "a", "b"), f"{folder}/{turn}/live")
+        remove(spark, f"{folder}/{turn - 1}")
+    if turn:
+        schema = "i long, j long, score double, a long, b long, reason string"
+        blocked.append(spark.read.schema(schema).parquet(f"{folder}/judged/*").where("reason is not null").select("i", "j", "score", "reason"))
+    return groups.select("id", F.col("group").alias("cluster")), reduce(DataFrame.unionByName, blocked)
+
+
+def blocked_witness(blocked: DataFrame, members: DataFrame, conflicts: DataFrame | Veto, classes: DataFrame | None = None) -> DataFrame:
+    """Each blocked edge with the smallest conflicting pair across the two final groups.
+
+    Of a class in a group only the smallest id is compared.
+    """
+    veto = conflicts if callable(conflicts) else _listed(conflicts)
     left = members.select(F.col("id").alias("i"), F.col("cluster").alias("ci"))
     right = members.select(F.col("id").alias("j"), F.col("cluster").alias("cj"))
-    edges = blocked.join(left, "i").join(right, "j")
-    pairs = conflicts.join(left, "i").join(right, "j").select(F.least("ci", "cj").alias("lo"), F.greatest("ci", "cj").alias("hi"), F.struct(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).alias("pair"))
-    pairs = pairs.groupBy("lo", "hi").agg(F.min("pair").alias("pair"))
-    keys = edges.withColumns({"lo": F.least("ci", "cj"), "hi": F.greatest("ci", "cj")})
-    return keys.join(pairs, ["lo", "hi"], "left").select("i", "j", "score", "reason", "pair.x", "pair.y")
+    edges = cut(blocked.join(left, "i").join(right, "j").withColumns({"lo": F.least("ci", "cj"), "hi": F.greatest("ci", "cj")}))
+    own = members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")) if classes is not None else members.withColumn("class", F.col("id"))
+    own = own.groupBy("cluster", "class").agg(F.min("id").alias("id"))
+    met = edges.select("lo", "hi").distinct().join(own.select(F.col("cluster").alias("lo"), F.col("class").alias("a"), F.col("id").alias("x")), "lo").join(own.select(F.col("cluster").alias("hi"), F.col("class").alias("b"), F.col("id").alias("y")), "hi").where("a <> b")
+    bad = veto(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
+    pairs = met.join(bad, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")))
+    pairs = pairs.groupBy("lo", "hi").agg(F.min(F.struct(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).alias("pair"))
+    return edges.join(pairs, ["lo", "hi"], "left").select("i", "j", "score", "reason", "pair.x", "pair.y")
 
 
 def summary(members: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from matlink.functions.similarity import token_set_similarity
 from matlink.functions.text import normaliser, record_text, tokens
 from matlink.operators import candidates as C
 from matlink.operators.cluster import blocked_witness, constrained_clusters
-from matlink.operators.decide import decide, lookalike, sides, stored_evidence
+from matlink.operators.decide import decide, lookalike, sides, spec_classes, stored_evidence, vetoes
 from matlink.operators.extract import specs
-from matlink.operators.graph import components, cut
+from matlink.operators.graph import cut
 from matlink.plans.views import item_part_number, item_texts
 
 
@@ -49,17 +49,9 @@ def run(records: DataFrame, mode: str = "CROSS", lexical_k: int = 200, block_cap
     route = F.col("route") if auto else F.when(F.col("route") == "AUTO_ELIGIBLE", "REVIEW").otherwise(F.col("route"))
     pairs = cut(pairs.select("id_a", "id_b", "channels", "verdict", route.alias("route"), "confidence", "text_sim", lookalike(F.col("verdict"), F.col("text_sim")).alias("lookalike"), "reasons", "evidence"))
     edges = pairs.where("verdict in ('IDENTICAL', 'EQUIVALENT')").select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), F.col("confidence").alias("score"))
-    conflicts = cut(conflicts_inside(edges, made))
-    members, blocked = constrained_clusters(edges, conflicts)
-    return Run(made, pairs, members, blocked_witness(blocked, members, conflicts))
-
-
-def conflicts_inside(edges: DataFrame, made: DataFrame) -> DataFrame:
-    """Pairs (i, j) of a component of edges that are not equivalent, candidates or not."""
-    parts = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    a = parts.select(F.col("node").alias("id_a"), "component")
-    pairs = a.join(parts.select(F.col("node").alias("id_b"), "component"), "component").where("id_a < id_b").select("id_a", "id_b")
-    return decide(sides(pairs, made)).where("verdict = 'NOT_EQUIVALENT'").select(F.col("id_a").alias("i"), F.col("id_b").alias("j"))
+    classes, veto = cut(spec_classes(made)), vetoes(made)
+    members, blocked = constrained_clusters(edges, veto, classes=classes)
+    return Run(made, pairs, members, blocked_witness(blocked, members, veto, classes))
 
 
 def harmonise_run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from matlink.functions import text as T
 from matlink.functions.similarity import token_set_similarity
 from matlink.operators import candidates as C
 from matlink.operators import cluster, registry
-from matlink.operators.decide import decide, impact, lookalike, sides, stored_evidence
+from matlink.operators.decide import decide, impact, lookalike, sides, spec_classes, stored_evidence, vetoes
 from matlink.operators.extract import completeness
 from matlink.operators.graph import components, cut
 from matlink.plans.views import ITEMS_SQL, MATERIALS_SQL, TEXTS_SQL, item_specs, item_texts, materials
@@ -275,16 +275,7 @@ def constrained_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups under the veto; records of a component that were no candidate pair are compared, too."""
     pairs, specs = _decided(spark, sf_dir)
     edges = cut(pairs.where("verdict in ('IDENTICAL', 'EQUIVALENT')").select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), F.col("confidence").alias("score")))
-    conflicts = component_conflicts(edges, specs)
-    return cluster.constrained_clusters(edges, conflicts)[0].select("id", "cluster")
-
-
-def component_conflicts(edges: DataFrame, specs: DataFrame) -> DataFrame:
-    """Pairs (i, j) of a component of edges that are not equivalent."""
-    parts = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    a = parts.select(F.col("node").alias("id_a"), "component")
-    pairs = a.join(parts.select(F.col("node").alias("id_b"), "component"), "component").where("id_a < id_b").select("id_a", "id_b")
-    return decide(sides(pairs, specs)).where("verdict = 'NOT_EQUIVALENT'").select(F.col("id_a").alias("i"), F.col("id_b").alias("j"))
+    return cluster.constrained_clusters(edges, vetoes(specs), classes=cut(spec_classes(specs)))[0].select("id", "cluster")
 
 
 _GROUP_SQL = f"{MATERIALS_SQL}, grp AS (SELECT id, org, category, block, price, concat(category, '#', CAST(block AS STRING)) AS cluster FROM mat)"
