@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Links in a file of a round.
+_FILE_LINKS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where none is set (tests, local mode)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -43,8 +47,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of undirected links (a, b) of longs; component is the smallest node.
 
-    Each round (Kiveris et al. 2014) is a grouped minimum and a join, and is checkpointed.
-    Nodes without links to others don't appear.
+    Each round (Kiveris et al. 2014) is a grouped minimum and a join, and is checkpointed, in as few files as
+    its links need. Nodes without links to others don't appear.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -60,7 +64,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = cut(edges.coalesce(-(-now[0] // _FILE_LINKS)))  # never more links than before
         then, now = now, state(edges)
         if then == now:
             break
