@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,18 +60,27 @@ def chunks(records: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
     return rows.withColumn("data", data).withColumn("last", F.col("chunk") == F.col("__last")).drop("payload", "__last")
 
 
-def write(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", roll_bytes: int = 1 << 30, chunk_bytes: int = 1 << 20) -> DataFrame:
+def open_store(uri: str):
+    """The file system of a URI or a local path, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = f"file://{uri.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def write(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", roll_bytes: int = 1 << 30, chunk_bytes: int = 1 << 20, store: Callable = open_store) -> DataFrame:
     """Writes rows of decide() into folder, chunk by chunk; the manifest: path, records and bytes of each file.
 
     A record's id is made from the file's name and the record's place in it. Revisits name
-    the page and the URL of their response.
+    the page and the URL of their response. folder and the manifest's paths are whole URIs (or
+    local paths); store opens them in the tasks.
     """
+    folder = folder.rstrip("/")
 
     def run(frames):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
+        files, base = store(folder)
+        files.create_dir(base, recursive=True)
         out, path, count, done, gz, digest = None, "", 0, [], None, None
         line = lambda x: x.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -88,8 +98,8 @@ def write(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", r
             for key, url, size, sha, kind, refers, refers_url, chunk, data, last in zip(*(frame[c].tolist() for c in columns), strict=True):
                 if chunk == 0:
                     if out is None:
-                        path, count = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(path, compression=None)
+                        path, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                        out = files.open_output_stream(f"{base.rstrip('/')}/{path.rpartition('/')[2]}", compression=None)
                     http = _HTTP.format(size).encode()
                     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, f'{path}#{count}')}>", f"WARC-Date: {date}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{sha}"]
                     if url is not None:
@@ -155,7 +165,7 @@ class _Stream:
         return out
 
 
-def read(files: DataFrame, chunk_bytes: int = 1 << 20, with_bytes: bool = True) -> DataFrame:
+def read(files: DataFrame, chunk_bytes: int = 1 << 20, with_bytes: bool = True, store: Callable = open_store) -> DataFrame:
     """Chunk rows of the archives of a manifest (column path).
 
     record_id, page_id, url, record_type, refers_to, header_digest, chunk, data (if with_bytes),
@@ -169,8 +179,6 @@ def read(files: DataFrame, chunk_bytes: int = 1 << 20, with_bytes: bool = True)
         return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
     def run(frames):
-        from pyarrow import fs
-
         columns = [c.split()[0] for c in kind.split(", ")]
         rows, size = [], 0
 
@@ -182,8 +190,8 @@ def read(files: DataFrame, chunk_bytes: int = 1 << 20, with_bytes: bool = True)
 
         for files in frames:
             for path in files["path"].tolist():
-                store, at = (fs.FileSystem.from_uri(path)) if "://" in path else (fs.LocalFileSystem(), path)
-                with store.open_input_stream(at, compression=None) as raw:
+                held, at = store(path)
+                with held.open_input_stream(at, compression=None) as raw:
                     stream = _Stream(raw)
                     while (block := stream.head()) is not None:
                         h = fields(block)
