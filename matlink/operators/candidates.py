@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matlink.operators.graph import cut
+
 BLOCK, LEXICAL, DENSE, PART_NUMBER = 1, 2, 4, 8
 LETTERS = {"B": BLOCK, "L": LEXICAL, "D": DENSE, "M": PART_NUMBER}
 BLOCK_ATTR = {"FASTENER": "thread", "MOTOR": "power_kw"}  # others: size_dn
@@ -85,17 +89,39 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     return q.join(index, ["category", "token"]).groupBy("category", "query", "id").agg(F.sum(weight).alias("score"))
 
 
+def _lowest(records: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The n lowest ids of each group; a group is cut by a hash first, so no task sorts a whole one."""
+    parts = Window.partitionBy(*keys, F.pmod(F.xxhash64("other"), F.lit(64))).orderBy("other")
+    few = records.withColumn("r", F.row_number().over(parts)).where(F.col("r") <= n)
+    return few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("other"))).where(F.col("r") <= n).drop("r")
+
+
+def _unscored(q: DataFrame, d: DataFrame, k: int, mode: str) -> DataFrame:
+    """(query, other) of ids low enough to fill up any query's k best, whatever it has a score with.
+
+    A query that needs filling up has fewer than k others with a score and itself to pass over, so the lowest 2 k
+    allowed ids are enough. With other orgs allowed: the lowest 2 k of each org, and of these the first 4 k, hold
+    them, as at most 2 k of those are of the query's own org.
+    """
+    if mode == "WITHIN":
+        pool = _lowest(d, ["category", "org"], 2 * k).withColumnRenamed("org", "query_org")
+        return q.join(pool, ["category", "query_org"]).select("query", "other")
+    pool = _lowest(_lowest(d, ["category", "org"], 2 * k), ["category"], 4 * k) if mode == "CROSS" else _lowest(d, ["category"], 2 * k)
+    return q.join(pool, "category").where(allowed(F.col("query_org"), F.col("org"), mode)).select("query", "other")
+
+
 def lexical_neighbours(corpus: DataFrame, queries: DataFrame, k: int = 200, mode: str = "CROSS", digits: int = 9) -> DataFrame:
     """(id_a, id_b, score, rank): each query's k best allowed records of its category.
 
-    Records without a shared token score 0 and rank by id among the others, so a category's
-    records are compared with each query: queries should be few (records without a block).
+    Records without a shared token score 0 and rank by id among the others. Only records that share a token are
+    met by the inverted index; of the others, the lowest ids of the category fill up (see _unscored).
     """
-    scores = bm25_scores(corpus, queries).select("query", F.col("id").alias("other"), "score")
     q = queries.select("category", F.col("id").alias("query"), F.col("org").alias("query_org"))
     d = corpus.select("category", F.col("id").alias("other"), "org")
-    pairs = q.join(d, "category").where((F.col("query") != F.col("other")) & allowed(F.col("query_org"), F.col("org"), mode))
-    pairs = pairs.join(scores, ["query", "other"], "left").select("query", "other", F.round(F.coalesce("score", F.lit(0.0)), digits).alias("score"))
+    scores = bm25_scores(corpus, queries).select("category", "query", F.col("id").alias("other"), F.round("score", digits).alias("score"))
+    shared = scores.join(q, ["category", "query"]).join(d, ["category", "other"]).where(allowed(F.col("query_org"), F.col("org"), mode)).select("query", "other", "score")
+    pairs = shared.unionByName(_unscored(q, d, k, mode).withColumn("score", F.lit(None).cast("double"))).where("query <> other")
+    pairs = pairs.groupBy("query", "other").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "other"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("id_a"), F.col("other").alias("id_b"), "score", "rank")
 
@@ -105,15 +131,66 @@ def unit_vector(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / size)
 
 
-def dense_neighbours(records: DataFrame, k: int = 20, digits: int = 5) -> DataFrame:
-    """(id_a, id_b, score, rank): the k nearest records by cosine within a category (id, category, vector)."""
-    rows = records.select("id", "category", unit_vector(F.col("vector")).alias("v"))
-    a = rows.select("category", F.col("id").alias("id_a"), F.col("v").alias("va"))
-    b = rows.select("category", F.col("id").alias("id_b"), F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = a.join(b, "category").where("id_a <> id_b").select("id_a", "id_b", F.round(dot, digits).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def _best(queries: pa.Table, members: pa.Table, k: int, slack: float) -> pa.Table:
+    """Of one chunk of queries and one of a cell's members: each query's k best, and what is within slack of the last."""
+    ids, at = members["m_id"].to_numpy(), queries["id"].to_numpy()
+    q, m = (np.stack(t[c].to_numpy()) if len(t) else np.zeros((0, 1)) for t, c in ((queries, "v"), (members, "m_v")))
+    dots = q @ m.T if len(q) and len(m) else np.zeros((len(q), len(m)))
+    dots[at[:, None] == ids[None, :]] = -np.inf
+    n = min(k, len(ids))
+    least = np.partition(dots, len(ids) - n, axis=1)[:, len(ids) - n] if n else np.zeros(len(at))
+    least = np.maximum(least, queries["least"].to_numpy())
+    i, j = np.nonzero((dots >= least[:, None] - slack) & (dots > -np.inf))
+    return pa.table({"id_a": at[i], "id_b": ids[j], "dot": dots[i, j]})
+
+
+def dense_neighbours(records: DataFrame, k: int = 20, digits: int = 5, cell: int = 2000, pivots: int = 64) -> DataFrame:
+    """(id_a, id_b, score, rank): the k nearest records by cosine within a category (id, category, vector). Exact.
+
+    A category's pivots (records of the lowest hashes, more of them for more records, `pivots` at most) divide it into
+    cells of the records nearest to each. A first pass compares each record with a chunk of its own cell, which bounds
+    the angle to its k-th neighbour. By the triangle inequality of angles, a cell whose widest member is farther from a
+    record than that can't hold a neighbour; the record meets the chunks of all others. Chunks of `cell` records
+    are multiplied as matrices, and only each record's best of a chunk become rows. Equal scores, after rounding,
+    rank by id. Records without a category or a vector have no neighbours.
+    """
+    slack, key = 1.01 * 10.0**-digits, ["category", "cell", "chunk", "part"]
+    rows = records.select("id", F.col("category").cast("string").alias("category"), unit_vector(F.col("vector")).alias("v"))
+    rows = cut(rows.where("category is not null and v is not null"))
+    sizes = rows.groupBy("category").agg(F.count("*").alias("n"))
+    order = F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("id"), "id"))
+    few = rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 20))).join(F.broadcast(sizes), "category")
+    few = few.where(F.col("h") * F.col("n") <= F.lit(float(4 * pivots << 20)))  # some of the lowest hashes: near 4 x pivots of any number
+    chosen = few.withColumn("r", order).where((F.col("r") <= pivots) & (F.col("r") <= F.ceil(F.col("n") / cell)))
+    held = chosen.groupBy("category").agg(F.collect_list(F.struct(F.col("r").alias("cell"), "v")).alias("all"))  # at most `pivots` of each
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+    angles = F.transform("all", lambda p: F.struct(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(p["v"], F.col("v"))))).alias("angle"), p["cell"].alias("cell")))
+    far = rows.join(held, "category").select("id", "category", "v", angles.alias("angles")).withColumn("own", F.array_min("angles"))
+    far = cut(far.select("id", "category", "v", "angles", F.col("own.cell").alias("cell"), F.col("own.angle").alias("angle")))
+    cells = cut(far.groupBy("category", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("wide")).withColumn("chunks", F.ceil(F.col("n") / cell).cast("int")))
+    far = far.join(cells.select("category", "cell", "chunks"), ["category", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    members = far.select("id", "category", "v", "cell", "chunk")
+    total = sizes.withColumn("parts", F.ceil(F.col("n") / cell).cast("int"))  # queries of a chunk come in parts, too
+
+    def met(queries: DataFrame, of: DataFrame) -> DataFrame:
+        kind = "id_a long, id_b long, dot double"
+        asked = queries.join(total.select("category", "parts"), "category").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")).select("id", "v", "least", *key)
+        spread = of.join(total.select("category", "parts"), "category").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        spread = spread.select(*(F.col(c).alias(f"m_{c}") for c in ("id", "v", *key)))
+        return asked.groupBy(*key).cogroup(spread.groupBy(*(f"m_{c}" for c in key))).applyInArrow(lambda a, b: _best(a, b, k, slack), kind)
+
+    ranked = lambda found: found.withColumn("score", F.round("dot", digits)).withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b"))).where(F.col("rank") <= k)
+    none = F.lit(-2.0)  # below any cosine
+    first = cut(ranked(met(members.withColumn("least", none), members)))
+    known = first.groupBy("id_a").agg(F.count("*").alias("n"), F.min("dot").alias("known")).where(F.col("n") == k).select(F.col("id_a").alias("id"), "known")
+    bound = far.join(known, "id", "left").withColumn("least", F.coalesce("known", none))
+    reach = F.acos(F.greatest(F.lit(-1.0), F.col("least") - slack)) + 1e-9
+    todo = bound.select("id", "category", "v", "least", F.col("cell").alias("own"), F.col("chunk").alias("done"), reach.alias("reach"), F.explode("angles").alias("a"))
+    todo = todo.select("id", "category", "v", "least", "own", "done", "reach", "a.angle", "a.cell").join(cells, ["category", "cell"])
+    todo = todo.where((F.col("cell") == F.col("own")) | (F.col("angle") - F.col("wide") <= F.col("reach"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    todo = todo.where((F.col("cell") != F.col("own")) | (F.col("chunk") != F.col("done")))
+    found = first.select("id_a", "id_b", "dot").unionByName(met(todo.select("id", "category", "v", "least", "cell", "chunk"), members))
+    return ranked(found).select("id_a", "id_b", "score", "rank")
 
 
 def merged(**channels: DataFrame) -> DataFrame:
