@@ -371,27 +371,78 @@ def migration_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.migration(rows).select("org", "code", "legacy_code", "survivor", "action", "note")
 
 
-@query()
+_CLASS_SQL = f"""{_TRUE_SQL}, cls AS (SELECT *, min(id) OVER (PARTITION BY concat_ws('|', category, size_dn, pressure_class, valve_type, schedule, flange_type, thread, length_mm, strength, fastener_type, power_kw, poles)) AS cluster FROM truth)"""
+
+
+@query(f"""WITH {_CLASS_SQL}, open AS (SELECT DISTINCT cluster FROM cls WHERE cluster % 3 <> 0)
+SELECT id AS query, CASE WHEN open.cluster IS NULL THEN 'CREATE_NEW_ALLOWED' ELSE 'USE_EXISTING' END AS action, '' AS missing, open.cluster AS code FROM cls LEFT JOIN open ON open.cluster = cls.cluster WHERE id % 20 = 0""")
 def search_before_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three items looked up among the registered ones: what to do, and the best codes."""
+    """Items with ids divisible by 20 looked up among the codes of two thirds of all groups: what to do, and the best code."""
     specs = item_specs(spark, sf_dir)
-    texts = spark.createDataFrame([(-1, "gate valve 4 inch class 150 wcb flanged rf"), (-2, "PIPE 2IN A106 B"), (-3, "HEX BOLT M99X7 GR12.9")], "id long, text string")
-    norm = texts.select("id", T.normaliser()("text").alias("n")).select("id", F.col("n.text").alias("norm_text"))
-    from matlink.operators.extract import specs as extract
-
+    codes = spec_classes(specs).where("id = class and class % 3 <> 0").select("id").join(specs, "id")
     none = F.lit(None).cast("string")
-    asked = extract(norm).withColumns({"mpn": none, "maker": none, "critical": F.lit(None).cast("boolean")})
-    codes = specs.select(*asked.columns)
-    pairs = F.broadcast(asked.select(F.col("id").alias("id_a"), "category")).join(codes.select(F.col("id").alias("id_b"), "category"), "category").select("id_a", "id_b")
-    decided = decide(sides(pairs, asked.unionByName(codes))).withColumn("text_sim", F.round(token_set_similarity("a_norm_text", "b_norm_text"), 3))
-    ranked = registry.ranked_search(decided.select(F.col("id_a").alias("query"), T.item_code(F.col("id_b")).alias("code"), "verdict", "text_sim"))
-    actions = registry.search_action(ranked, asked.select(F.col("id").alias("query")))
-    return actions.join(ranked.select("query", "rank", "code", "verdict", "text_sim"), "query", "left")
+    codes = codes.withColumns({"norm_text": registry.long_description(F.col("category"), F.col("attrs")), "maker": none, "mpn": none})
+    asked = specs.where("id % 20 = 0").withColumns({"id": -F.col("id") - 1, "maker": none, "mpn": none})
+    ranked = registry.ranked_search(searched(asked, codes))
+    actions = registry.search_action(ranked.select("query", "verdict", "missing"), asked.select(F.col("id").alias("query"), "category"))
+    best = ranked.where("rank = 1 and verdict in ('IDENTICAL', 'EQUIVALENT')").select("query", "code")
+    return actions.join(best, "query", "left").select((-F.col("query") - 1).alias("query"), "action", F.array_join("missing", ",").alias("missing"), "code")
+
+
+def searched(asked: DataFrame, codes: DataFrame) -> DataFrame:
+    """(query, code, verdict, text_sim, missing) of each query with all codes of its category; both are specs with ids apart."""
+    pairs = asked.select(F.col("id").alias("id_a"), "category").join(codes.select(F.col("id").alias("id_b"), "category"), "category").select("id_a", "id_b")
+    decided = decide(sides(pairs, asked.select(*codes.columns).unionByName(codes))).withColumn("text_sim", F.round(token_set_similarity("a_norm_text", "b_norm_text"), 3))
+    gaps = F.transform(F.filter("evidence", lambda e: (e["level"] == "core") & e["status"].isin("MISSING_ONE", "MISSING_BOTH", "PARTIAL")), lambda e: e["attr"])
+    return decided.select(F.col("id_a").alias("query"), F.col("id_b").alias("code"), "verdict", "text_sim", gaps.alias("missing"))
+
+
+def _issued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Codes for groups of equal specifications of two and more items, and their members."""
+    specs = item_specs(spark, sf_dir)
+    members = cut(spec_classes(specs).withColumnRenamed("class", "cluster").join(specs, "id").select("cluster", "id", F.col("id").alias("pos"), "category", "attrs", "org", "maker", "mpn", F.when(F.col("id") % 4 == 0, "KG").when(F.col("id") % 4 != 1, "EA").alias("unit")))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).where("n >= 2").select("cluster", F.array("cluster").alias("members"))
+    return registry.issue(sizes, spark.createDataFrame([], "id long")).select("cluster", "code"), members
+
+
+_ISSUED_SQL = f"""{_CLASS_SQL}, big AS (SELECT cluster, count(*) AS records FROM cls GROUP BY cluster HAVING count(*) >= 2), num AS (SELECT *, lpad(CAST(row_number() OVER (ORDER BY cluster) AS VARCHAR), 10, '0') AS s FROM big),
+iss AS (SELECT *, concat('NMC-', s, CAST((10 - list_sum(list_transform(range(1, 11), lambda i: CASE WHEN (10 - i) % 2 = 0 THEN (2 * CAST(substr(s, i, 1) AS INT)) // 10 + (2 * CAST(substr(s, i, 1) AS INT)) % 10 ELSE CAST(substr(s, i, 1) AS INT) END)) % 10) % 10 AS VARCHAR)) AS code FROM num),
+d AS (SELECT c.*, split_part('1/2,3/4,1,1-1/4,1-1/2,2,2-1/2,3,4,5,6,8,10,12,14,16,18,20,24', ',', CAST(k % 19 + 1 AS INT)) AS nps FROM cls c),
+words AS (SELECT *, concat(nps, ' IN (DN', size_dn, ')') AS size FROM d),
+long AS (SELECT id, CASE category WHEN 'VALVE' THEN concat(valve_type, ' VALVE, ', size, ', CLASS ', pressure_class, ', ASTM A216 WCB, FLANGED RAISED FACE') WHEN 'PIPE' THEN concat('PIPE, SEAMLESS, ', size, ', SCH ', schedule, ', ASTM A106 B')
+  WHEN 'FLANGE' THEN concat(CASE flange_type WHEN 'WN' THEN 'WELD NECK' WHEN 'SO' THEN 'SLIP ON' ELSE 'BLIND' END, ' FLANGE, ', size, ', CLASS ', pressure_class, ', RAISED FACE, ASTM A105')
+  WHEN 'FASTENER' THEN concat('HEX ', fastener_type, ', ', thread, ' X ', length_mm, ' MM, GRADE ', strength, ', ZINC') ELSE concat('AC INDUCTION MOTOR, ', power_kw, ' KW, ', poles, ' POLE') END AS long_desc FROM words)"""
+
+
+@query(f"WITH {_ISSUED_SQL} SELECT id, long_desc FROM long")
+def long_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return item_specs(spark, sf_dir).select("id", registry.long_description(F.col("category"), F.col("attrs")).alias("long_desc"))
+
+
+@query(f"""WITH {_ISSUED_SQL}, u AS (SELECT cluster, CASE WHEN id % 4 = 0 THEN 'KG' WHEN id % 4 <> 1 THEN 'EA' END AS unit FROM cls), un AS (SELECT cluster, unit, count(*) AS n FROM u WHERE unit IS NOT NULL GROUP BY ALL),
+ub AS (SELECT cluster, unit FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, unit <> 'EA', unit) AS r FROM un) AS t WHERE r = 1),
+v AS (SELECT cluster, string_agg(DISTINCT 'ACME/P' || CAST(k AS VARCHAR), ',' ORDER BY 'ACME/P' || CAST(k AS VARCHAR)) AS variants FROM cls WHERE k % 7 = 0 GROUP BY cluster)
+SELECT iss.cluster, code, c.category, records, l.long_desc, ub.unit, v.variants, CASE c.category WHEN 'FASTENER' THEN 'FASTENERS' WHEN 'MOTOR' THEN 'ELECTRICAL' ELSE 'PIPING' END || '>' || c.category || '>' ||
+  CASE c.category WHEN 'VALVE' THEN valve_type WHEN 'PIPE' THEN 'SEAMLESS' WHEN 'FLANGE' THEN flange_type WHEN 'FASTENER' THEN fastener_type ELSE 'AC-IND' END AS path
+FROM iss JOIN cls c ON c.id = iss.cluster JOIN long l ON l.id = iss.cluster LEFT JOIN ub ON ub.cluster = iss.cluster LEFT JOIN v ON v.cluster = iss.cluster""")
+def issued_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry entries of all issued codes, from their members."""
+    out = registry.entries(*_issued(spark, sf_dir))
+    return out.select("cluster", "code", "category", "records", "long_desc", "unit", F.array_join(F.transform("variants", lambda v: F.concat(v["maker"], F.lit("/"), v["mpn"])), ",").alias("variants"), F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH {_ISSUED_SQL} SELECT code, CAST(style AS VARCHAR) AS org, id, 'EQUIVALENT' AS relation, 'ACTIVE' AS status FROM cls JOIN iss ON iss.cluster = cls.cluster""")
+def issued_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crosswalk rows of all members of issued codes."""
+    issued, members = _issued(spark, sf_dir)
+    return registry.crosswalk(issued, members, spark.createDataFrame([], "cluster long, relation string"))
 
 
 @query()
 def policy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy_table(spark, policies())
+    """The policies' rows, each with the number of items whose specification has its attribute."""
+    known = item_specs(spark, sf_dir).select("category", F.explode("attrs").alias("attr", "value")).where("value is not null").groupBy("category", "attr").agg(F.count("*").alias("items"))
+    return policy_table(spark, policies()).join(known, ["category", "attr"], "left").fillna(0, ["items"])
 
 
 @query(f"WITH {MATERIALS_SQL} SELECT id, CASE id % 4 WHEN 0 THEN 'EA' WHEN 1 THEN NULL WHEN 2 THEN 'M' ELSE NULL END AS unit, id % 4 = 1 AS ambiguous FROM mat")
