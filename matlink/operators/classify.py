@@ -14,9 +14,12 @@ def word_grams(text: Column, lowest: int = 2, highest: int = 4) -> Column:
     """Character n-grams inside words, each word with a blank on both sides."""
     words = F.transform(F.filter(F.split(F.lower(text), " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def of(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1)))
+        return F.when(F.length(w) >= n, F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array(w))
+
     def grams(w: Column) -> Column:
-        of = [F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n)))).otherwise(F.array(w)) for n in range(lowest, highest + 1)]
-        return F.concat(*of)
+        return F.concat(*(of(w, n) for n in range(lowest, highest + 1)))
 
     return F.flatten(F.transform(words, grams))
 

@@ -11,9 +11,11 @@ from matlink.functions import text as T
 from matlink.functions.similarity import token_set_similarity
 from matlink.operators import candidates as C
 from matlink.operators import cluster, registry
+from matlink.operators.classify import train
 from matlink.operators.decide import decide, impact, lookalike, sides, spec_classes, stored_evidence, vetoes
-from matlink.operators.extract import completeness
+from matlink.operators.extract import category, completeness, specs
 from matlink.operators.graph import components, cut
+from matlink.operators.reader import verified
 from matlink.plans.views import ITEMS_SQL, MATERIALS_SQL, TEXTS_SQL, item_specs, item_texts, materials
 from matlink.sources.policy import policies, policy_table
 
@@ -316,6 +318,42 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("cluster", "size", "cohesion", "flags", "critical", F.round("value", 2).alias("value"), F.round("priority", 2).alias("priority"))
 
 
+# ---- categories and attributes that no rule reads ----
+_NOUNS = r"\b(VALVE|GV|GLV|BV|PIPE|PIEP|FLANGE|LFANGE|FLG|BOLT|STUD|SCREW|MOTOR)\b"
+
+
+def _without_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised item texts, where every third has lost its category's words."""
+    texts = item_texts(spark, sf_dir).select("id", "category", T.normaliser()("text").alias("n"))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("n.text", _NOUNS, " "), r"\s+", " "))
+    return texts.select("id", F.col("category").alias("truth"), F.col("n.text").alias("whole"), bare.alias("bare"), F.when(F.col("id") % 3 == 0, bare).otherwise(F.col("n.text")).alias("norm_text"))
+
+
+@query()
+def classified_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories by rule, or by a model where the words are missing; it learns from the texts that rules recognise."""
+    texts = cut(_without_nouns(spark, sf_dir))
+    known = texts.where("id % 3 <> 0").select(F.col("bare").alias("norm_text"), category(F.col("whole")).alias("category")).where("category is not null").distinct()
+    return specs(texts, model=train(known)).select("id", "category", "class_source")
+
+
+@query(f"""WITH {ITEMS_SQL}, t AS (SELECT id, style, category, vt, cls, poles, sch, m FROM items)
+SELECT id, 'valve_type' AS attr, vt AS value FROM t WHERE category = 'VALVE' AND id % 4 = 0 AND style < 2 UNION ALL SELECT id, 'pressure_class', cls FROM t WHERE category = 'VALVE' AND id % 4 = 1 AND style = 0
+UNION ALL SELECT id, 'schedule', sch FROM t WHERE category = 'PIPE' AND style = 0 UNION ALL SELECT id, 'poles', poles FROM t WHERE category = 'MOTOR' AND style = 0 UNION ALL SELECT id, 'thread', 'M' || m FROM t WHERE category = 'FASTENER'""")
+def verified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers for all items: right ones, some in other words, of no domain, or other than what the rules read."""
+    texts = item_texts(spark, sf_dir)
+    say = lambda attr, value, span: F.struct(F.lit(attr).alias("attr"), value.alias("value"), span.alias("span"))
+    c, i = F.col("category"), F.col("id") % 4
+    cl = F.concat(F.lit("cl"), "cls")
+    valve = F.when(i == 0, say("valve_type", F.lower("vt"), F.col("vt"))).when(i == 1, say("pressure_class", F.concat("cls", F.lit(".0")), cl)).when(i == 2, say("valve_type", F.lit("PLUG"), F.col("vt"))).otherwise(say("pressure_class", F.lit("900"), cl))
+    answer = (
+        F.when(c == "VALVE", valve).when(c == "PIPE", say("schedule", F.col("sch"), F.concat(F.lit("SCH"), "sch"))).when(c == "MOTOR", say("poles", F.concat(F.lit(" "), "poles"), F.concat("poles", F.lit("p"))))
+        .when(c == "FASTENER", say("thread", F.concat(F.lit("m"), "m"), F.concat(F.lit("M"), "m"))).otherwise(say("flange_type", F.lit("XX"), F.col("ft")))
+    )
+    return verified(texts.select("id", answer.alias("a")).select("id", "a.*"), texts.select("id", "text", "category")).select("id", "attr", "value")
+
+
 # ---- registry ----
 @query(f"""WITH {MATERIALS_SQL}, m AS (SELECT concat(category, '#', CAST(block AS STRING)) AS cluster, id AS pos, text, org FROM mat),
 r AS (SELECT cluster, 'name' AS attr, text AS value, pos FROM m UNION ALL SELECT cluster, 'brand', org, pos FROM m),
