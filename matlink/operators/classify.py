@@ -25,7 +25,10 @@ def word_grams(text: Column, lowest: int = 2, highest: int = 4) -> Column:
 
 
 def train(rows: DataFrame, text_col: str = "norm_text", label_col: str = "category", vocabulary: int = 1 << 16) -> PipelineModel:
-    """A model of rows with a text and a category; n-grams of fewer than two rows are left out."""
+    """A model of rows with a text and a category; n-grams of fewer than two rows are left out.
+
+    Rows of the label NONE teach it what belongs to no category.
+    """
     stages = [
         StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc"),
         CountVectorizer(inputCol="grams", outputCol="counts", minDF=2, vocabSize=vocabulary),
@@ -36,10 +39,10 @@ def train(rows: DataFrame, text_col: str = "norm_text", label_col: str = "catego
 
 
 def predict(model: PipelineModel, rows: DataFrame, text_col: str = "norm_text", threshold: float = 0.7) -> DataFrame:
-    """rows with predicted (null below the threshold) and probability."""
+    """rows with predicted (null below the threshold, and for the label NONE) and probability_of."""
     names = F.array(*map(F.lit, model.stages[0].labels))
     rest = PipelineModel(model.stages[1:])
     out = rest.transform(rows.withColumn("grams", word_grams(F.col(text_col))))
     p = F.array_max(vector_to_array("probability"))
     label = F.element_at(names, (F.col("prediction") + 1).cast("int"))
-    return out.select(*rows.columns, F.when(p >= threshold, label).alias("predicted"), p.alias("probability_of"))
+    return out.select(*rows.columns, F.when((p >= threshold) & (label != "NONE"), label).alias("predicted"), p.alias("probability_of"))

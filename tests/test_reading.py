@@ -28,8 +28,8 @@ def test_items_without_their_nouns(spark, data):
 
 
 def test_unsure_texts_stay_without_category(spark):
-    known = spark.createDataFrame([(f"GATE {i}IN CL150", "VALVE") for i in range(20)] + [(f"HEX M{i} X 20", "FASTENER") for i in range(20)], "norm_text string, category string")
-    texts = spark.createDataFrame([(1, "GATE 4IN CL150"), (2, "ZZZZ QQQQ"), (3, "VALVE GATE 4IN CL150"), (4, None), (5, "")], "id long, norm_text string")
+    known = spark.createDataFrame([(f"GATE {i}IN CL150", "VALVE") for i in range(20)] + [(f"HEX M{i} X 20", "FASTENER") for i in range(20)] + [(f"OFFICE PAPER BOX {i}", "NONE") for i in range(20)] + [("", "NONE")] * 20, "norm_text string, category string")
+    texts = spark.createDataFrame([(1, "GATE 4IN CL150"), (2, "OFFICE PAPER BOX A4"), (3, "VALVE GATE 4IN CL150"), (4, None), (5, "")], "id long, norm_text string")
     got = {r.id: (r.category, r.class_source) for r in specs(texts, model=train(known), threshold=0.8).collect()}
     assert got == {1: ("VALVE", "ML"), 2: (None, "NONE"), 3: ("VALVE", "RULE"), 4: (None, "NONE"), 5: (None, "NONE")}
     assert "class_source" not in specs(texts).columns
