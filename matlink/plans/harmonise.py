@@ -14,6 +14,7 @@ from matlink.operators.cluster import blocked_witness, constrained_clusters
 from matlink.operators.decide import decide, lookalike, sides, spec_classes, stored_evidence, vetoes
 from matlink.operators.extract import specs
 from matlink.operators.graph import cut
+from matlink.plans.items import GROUPS_SQL
 from matlink.plans.views import item_part_number, item_texts
 
 
@@ -62,4 +63,4 @@ def harmonise_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"harmonise_run": harmonise_run}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"harmonise_run": GROUPS_SQL}

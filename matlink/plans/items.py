@@ -272,7 +272,14 @@ def equivalence_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).select(F.col("node").alias("id"), "component")
 
 
-@query()
+_CLASS_SQL = f"""{_TRUE_SQL}, cls AS (SELECT *, min(id) OVER (PARTITION BY concat_ws('|', category, size_dn, pressure_class, valve_type, schedule, flange_type, thread, length_mm, strength, fastener_type, power_kw, poles)) AS cluster FROM truth)"""
+
+
+#: Items of equal attributes that two orgs have are one group, as long as none has over 200 of them.
+GROUPS_SQL = f"WITH {_CLASS_SQL} SELECT id, cluster FROM cls WHERE cluster IN (SELECT cluster FROM cls GROUP BY cluster HAVING count(DISTINCT style) >= 2)"
+
+
+@query(GROUPS_SQL)
 def constrained_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups under the veto; records of a component that were no candidate pair are compared, too."""
     pairs, specs = _decided(spark, sf_dir)
@@ -387,7 +394,8 @@ def item_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), code.alias("code"), T.code_valid(code).alias("valid"))
 
 
-@query()
+@query(f"""WITH {MATERIALS_SQL}, g AS (SELECT text, min(id) AS cluster, count(*) AS records, bool_or(id % 997 = 0) AS taken FROM mat GROUP BY text), n AS (SELECT *, row_number() OVER (ORDER BY cluster) AS number, lpad(CAST(row_number() OVER (ORDER BY cluster) AS VARCHAR), 10, '0') AS s FROM g WHERE NOT taken)
+SELECT cluster, number, concat('NMC-', s, CAST((10 - list_sum(list_transform(range(1, 11), lambda i: CASE WHEN (10 - i) % 2 = 0 THEN (2 * CAST(substr(s, i, 1) AS INT)) // 10 + (2 * CAST(substr(s, i, 1) AS INT)) % 10 ELSE CAST(substr(s, i, 1) AS INT) END)) % 10) % 10 AS VARCHAR)) AS code, records FROM n""")
 def issued_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes for groups of parts of a name; groups with a mapped member get none."""
     g = materials(spark, sf_dir).groupBy("text").agg(F.min("id").alias("cluster"), F.array_sort(F.collect_list("id")).alias("members"))
@@ -409,9 +417,6 @@ def migration_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.migration(rows).select("org", "code", "legacy_code", "survivor", "action", "note")
 
 
-_CLASS_SQL = f"""{_TRUE_SQL}, cls AS (SELECT *, min(id) OVER (PARTITION BY concat_ws('|', category, size_dn, pressure_class, valve_type, schedule, flange_type, thread, length_mm, strength, fastener_type, power_kw, poles)) AS cluster FROM truth)"""
-
-
 @query(f"""WITH {_CLASS_SQL}, open AS (SELECT DISTINCT cluster FROM cls WHERE cluster % 3 <> 0)
 SELECT id AS query, CASE WHEN open.cluster IS NULL THEN 'CREATE_NEW_ALLOWED' ELSE 'USE_EXISTING' END AS action, '' AS missing, open.cluster AS code FROM cls LEFT JOIN open ON open.cluster = cls.cluster WHERE id % 20 = 0""")
 def search_before_create(spark: SparkSession, sf_dir: str) -> DataFrame:
