@@ -4,7 +4,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from matlink.functions.text import normaliser
-from matlink.operators import extract
+from matlink.operators import extract, kinds
+from matlink.operators.candidates import block_pairs, block_value, merged, part_number_pairs
+from matlink.operators.decide import decide, sides
+from matlink.operators.graph import components
 
 TEXTS = ["GATE VALVE 4IN CL150 A216 WCB FLGD RF", "valve gate 100NB 150# WCB flanged raised face", "GATE VALVE 4IN CL300 A216 WCB FLGD RF", "PIPE 6IN STD A106 GR B", "HEX BOLT M16X50 GR 8.8 ZN", "SOMETHING ELSE", None]
 
@@ -33,3 +36,27 @@ def test_texts_are_worked_once(spark, monkeypatch):
     assert plain(got, *columns) == plain(extract.specs(each, repairs_col="repairs"), *columns)
     assert {(r.id, r.org) for r in got.select("id", "org").collect()} == {(i, i % 3) for i in range(210)}
     assert seen.value == len(TEXTS)
+
+
+def test_pairs_by_kind(spark):
+    """Blocks, part numbers in and across blocks, groups beyond the channel's cap: as if every pair were decided."""
+    texts = [t for t in TEXTS if t] + ["GATE VALVE 4IN CL150 A216 WCB FLGD"]
+    rows = [(i, texts[i % len(texts)], str(i % 3), "M" if i % 5 < 2 else None, {0: "P1", 1: f"P{i % 11}"}.get(i % 5), None) for i in range(60)]
+    own = spark.createDataFrame(rows, "id long, text string, org string, maker string, mpn string, critical boolean")
+    specs = extract.text_specs(own).withColumn("block", block_value(F.col("category"), F.col("attrs"))).cache()
+    pairs = merged(B=block_pairs(specs, "CROSS"), M=part_number_pairs(specs, "CROSS"))
+    want = decide(sides(pairs, specs)).select("id_a", "id_b", "verdict", "route", F.to_json("evidence").alias("e")).cache()
+    k = kinds.kinds(specs)
+    numbers = kinds.number_only(k).cache()
+    of = kinds.decided(k, numbers=numbers).cache()
+    got = kinds.listed(k, of.select("x", "y", "verdict", "route", F.to_json("evidence").alias("e")), numbers, most=2).withColumn("verdict", kinds.verdict(F.col("same"))).drop("same")
+    assert numbers.count() and sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+    many = kinds.counted(k, of, numbers).join(of, ["x", "y"]).groupBy(kinds.verdict(F.col("same")).alias("verdict"), "route").agg(F.sum("pairs").alias("n"))
+    assert {tuple(r) for r in many.collect()} == {tuple(r) for r in want.groupBy("verdict", "route").count().collect()}
+    positive = F.col("verdict").isin(*kinds.POSITIVE)
+    by_kind = components(kinds.links(k, of.where(positive), numbers))
+    by_pair = components(want.where(positive).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    assert sorted(by_kind.collect()) == sorted(by_pair.collect())
+    scored = lambda rows: rows.withColumn("s", F.when(F.col("verdict") == "NOT_EQUIVALENT", 0.5).otherwise(0.1))
+    top = kinds.best(k, scored(of).select("x", "y", "s"), "s", 7, numbers).select("id_a", "id_b", "s").collect()
+    assert top == scored(want).select("id_a", "id_b", "s").orderBy(F.desc("s"), "id_a", "id_b").limit(7).collect()
