@@ -43,11 +43,14 @@ def groups(clusters: DataFrame, members: DataFrame) -> DataFrame:
 def relations(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, relation): IDENTICAL where all decided pairs inside a cluster are, and there is one; else EQUIVALENT.
 
-    pairs: rec_a, rec_b, verdict. members: cluster, id. Only pairs whose two sides share a cluster are grouped.
+    pairs: rec_a, rec_b, verdict, and cluster where it is known that both sides are in it. members: cluster, id. Only pairs whose
+    two sides share a cluster are grouped.
     """
-    a = members.select(F.col("id").alias("rec_a"), "cluster")
-    b = members.select(F.col("id").alias("rec_b"), F.col("cluster").alias("other"))
-    inside = pairs.join(a, "rec_a").join(b, "rec_b").where("cluster = other")
+    inside = pairs
+    if "cluster" not in pairs.columns:
+        a = members.select(F.col("id").alias("rec_a"), "cluster")
+        b = members.select(F.col("id").alias("rec_b"), F.col("cluster").alias("other"))
+        inside = pairs.join(a, "rec_a").join(b, "rec_b").where("cluster = other")
     same = inside.groupBy("cluster").agg(F.bool_and(F.col("verdict") == "IDENTICAL").alias("same"))
     every = members.select("cluster").distinct()
     return every.join(same, "cluster", "left").select("cluster", F.when(F.coalesce("same", F.lit(False)), "IDENTICAL").otherwise("EQUIVALENT").alias("relation"))
