@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from matlink.functions.text import normaliser
-from matlink.operators import extract, kinds
+from matlink.operators import candidates, extract, kinds
 from matlink.operators.candidates import block_pairs, block_value, merged, part_number_pairs
 from matlink.operators.decide import decide, sides
 from matlink.operators.graph import components
@@ -60,3 +60,21 @@ def test_pairs_by_kind(spark):
     scored = lambda rows: rows.withColumn("s", F.when(F.col("verdict") == "NOT_EQUIVALENT", 0.5).otherwise(0.1))
     top = kinds.best(k, scored(of).select("x", "y", "s"), "s", 7, numbers).select("id_a", "id_b", "s").collect()
     assert top == scored(want).select("id_a", "id_b", "s").orderBy(F.desc("s"), "id_a", "id_b").limit(7).collect()
+
+
+def test_lexical_neighbours_of_equal_texts(spark, monkeypatch):
+    """Many records of few texts rank as each would by itself, and only texts are scored."""
+    words = [["A", "B"], ["B", "A"], ["B", "C"], ["D"], ["D", "E", "E"], ["F"]]
+    rows = [(i, "XY"[i % 7 == 0], str(i // 6 % 3), words[i % 6]) for i in range(90)]
+    records = spark.createDataFrame(rows, "id long, category string, org string, tokens array<string>").cache()
+    sizes, real = [], candidates.bm25_scores
+    scored = {(r.query, r.id): round(r.score, 9) for r in real(records, records).collect()}
+    monkeypatch.setattr(candidates, "bm25_scores", lambda corpus, queries: sizes.append(corpus.count()) or real(corpus, queries))
+    for mode, fits in {"CROSS": lambda a, b: a[2] != b[2], "WITHIN": lambda a, b: a[2] == b[2], "BOTH": lambda a, b: True}.items():
+        want = set()
+        for a in rows:
+            others = sorted((-scored.get((a[0], b[0]), 0.0), b[0]) for b in rows if a[1] == b[1] and a[0] != b[0] and fits(a, b))
+            want |= {(a[0], other, rank + 1) for rank, (_, other) in enumerate(others[:4])}
+        got = candidates.lexical_neighbours(records, records, 4, mode)
+        assert {(r.id_a, r.id_b, r.rank) for r in got.collect()} == want
+    assert max(sizes) < 12
