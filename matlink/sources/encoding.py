@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,16 +77,25 @@ def detect(spark: SparkSession, path: str) -> DataFrame:
     names = list(CANDIDATES)
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("line"))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
-        for frame in frames:
-            for (file, at), part in frame.groupby(["file", "at"], sort=False):
-                data = part["line"].tolist()
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            files = batch["file"].dictionary_encode()
+            of = files.indices.to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1])])) if len(at) else []
+            for a, z in zip(first, [*first[1:], len(at)], strict=True):
+                file, lines = files.dictionary[int(of[a])].as_py(), batch["line"].cast(pa.binary()).slice(a, z - a)
+                ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+                data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+                ends = ends[1:] - ends[0]
+                held = lambda which: np.searchsorted(ends, np.flatnonzero(which), side="right")  # noqa: B023, E731  the lines of some bytes
                 head = None
-                if at == 0 and file not in seen:
-                    head = b"\n".join(data)[:_HEAD]
+                if at[a] == 0 and file not in seen:
+                    n = int(np.searchsorted(ends, _HEAD)) + 1  # of lines that begin among the first bytes
+                    head = b"\n".join(lines.slice(0, n).to_pylist())[:_HEAD]
                     seen.add(file)
-                odd = [x for x in data if not x.isascii()]
+                odd = lines.take(pa.array(np.unique(held(data >= 0x80)))).to_pylist()
                 valid = True
                 for x in odd:
                     try:
@@ -95,13 +104,15 @@ def detect(spark: SparkSession, path: str) -> DataFrame:
                         valid = False
                         break
                 every = np.frombuffer(b"\n".join(odd), np.uint8).astype(np.int64)
-                pairs = np.bincount(every[:-1] * 256 + every[1:], minlength=1 << 16) if len(every) > 1 else np.zeros(1 << 16, np.int64)
-                scores = [int((pairs * pair_scores(n)).sum()) for n in names]
+                pairs = np.bincount(every[:-1] * 256 + every[1:], minlength=1 << 16) if len(every) > 1 else None
+                scores = [0 if pairs is None else int((pairs * pair_scores(n)).sum()) for n in names]
                 bare = bool(np.isin(every, [b for b, c in enumerate(characters("cp1252")) if c is None]).any())
                 wide = any(x.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)) for x in odd)
-                yield pd.DataFrame({"file": [file], "head": [head], "valid": [valid], "wide": [wide and any(b"\x00" in x for x in data)], "bare": [bare], "quotes": [any(x.count(b'"') % 2 for x in data)], "scores": [scores]})
+                quotes = bool((np.bincount(held(data == 0x22)) % 2).any())
+                found = {"file": [file], "head": [head], "valid": [valid], "wide": [wide and bool((data == 0).any())], "bare": [bare], "quotes": [quotes], "scores": [scores]}
+                yield pa.RecordBatch.from_pydict(found, pa.schema([("file", pa.string()), ("head", pa.binary()), ("valid", pa.bool_()), ("wide", pa.bool_()), ("bare", pa.bool_()), ("quotes", pa.bool_()), ("scores", pa.list_(pa.int64()))]))
 
-    parts = lines.mapInPandas(score, "file string, head binary, valid boolean, wide boolean, bare boolean, quotes boolean, scores array<long>")
+    parts = lines.mapInArrow(score, "file string, head binary, valid boolean, wide boolean, bare boolean, quotes boolean, scores array<long>")
     sums = [F.sum(F.col("scores")[i]).alias(n) for i, n in enumerate(names)]
     files = parts.groupBy("file").agg(F.first("head", ignorenulls=True).alias("head"), F.bool_and("valid").alias("valid"), F.bool_or("wide").alias("wide"), F.bool_or("bare").alias("bare"), F.bool_or("quotes").alias("open_quotes"), *sums)
     best = F.greatest(*(F.col(f"`{n}`") for n in names))

@@ -13,6 +13,7 @@ from matlink.functions.text import safe_cell
 from matlink.sources.encoding import decoded, detect
 
 _SEPARATORS = ",;\t|"
+_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WIDE = {"utf-8": "UTF-8", "utf-16": "UTF-16"}
 
 
@@ -31,8 +32,8 @@ def header(line: str) -> tuple[str, list[str]]:
 
 
 def _trimmed(cell: Column) -> Column:
-    """A cell without white space around it, null if nothing is left."""
-    return F.nullif(F.regexp_replace(cell, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    """A cell without white space (Unicode's) around it, null if nothing is left."""
+    return F.nullif(F.btrim(cell, F.lit(_SPACE)), F.lit(""))
 
 
 def read_delimited(spark: SparkSession, path: str, choose: Callable[[list[str]], dict[str, str]] | None = None, fields: list[str] | None = None, corrupt: str | None = None) -> DataFrame:

@@ -5,8 +5,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from matlink.functions.text import lenient_date
 from matlink.sources.encoding import characters, decoded, detect, encoded, fits
-from matlink.sources.files import header, read_delimited
+from matlink.sources.files import _trimmed, header, read_delimited
 
 TEXTS = {
     "en": "The valve is closed and the pump runs at full speed",
@@ -65,3 +66,36 @@ def test_every_byte(spark, encoding):
     table = spark.createDataFrame([(text, "☃")], "t string, s string")
     row = table.select(encoded(F.col("t"), encoding).alias("e"), decoded(encoded(F.col("t"), encoding), encoding).alias("d"), fits(F.col("t"), encoding).alias("f"), fits(F.col("s"), encoding).alias("n")).first()
     assert row.e.encode("latin-1") == text.encode(encoding) and row.d == text and row.f and not row.n
+
+
+def test_dates_of_any_shape(spark):
+    """A format is tried only on texts of its shape, and no text loses the date that trying all four would give it."""
+    tried = lambda t: F.coalesce(*(F.try_to_timestamp(F.trim(t), F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy/MM/dd")))
+    texts = ["2023-01-31", " 31-01-2023 ", "31/01/2023", "2023/01/31", "2023-02-30", "1/2/2023", "+12023-01-31", "-0001-01-31", "12023-01-31", "31-01-+12023", "2023-01-31x", "soon", "", "٢٠٢٣-٠١-٣١", "2023-01-31\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    date = lenient_date(F.col("t"))
+    assert "RLIKE" in str(date).upper()
+    for r in rows.select("t", date.cast("string").alias("got"), tried(F.col("t")).cast("string").alias("want")).collect():
+        assert r.got == r.want, r.t
+
+
+def test_white_space_of_cells(spark):
+    cells = [f"{a}x{chr(c)}y{chr(c)}" for c in range(0x3100) for a in ("", chr(c)) if not 0xD800 <= c < 0xE000] + ["", " 　\t", None]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string")
+    want = F.nullif(F.regexp_replace("c", r"(?U)^\s+|\s+$", ""), F.lit(""))
+    assert rows.where(~_trimmed(F.col("c")).eqNullSafe(want)).count() == 0
+
+
+def test_lines_across_batches(spark, tmp_path):
+    """Marks of a file come from all of its lines, wherever a batch of them ends."""
+    path = tmp_path / uuid.uuid4().hex
+    path.mkdir()
+    (path / "a.csv").write_bytes(b"code;text\n" + b"L;x\n" * 3000 + "L;\"é\n".encode("cp1252"))
+    (path / "b.csv").write_bytes(b"code;text\n" + b"L;\"x\"\n" * 3000 + "L;é\n".encode())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.file[-5:]: (r.encoding, r.open_quotes, bytes(r.head)) for r in detect(spark, f"file://{path}").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got["a.csv"][:2] == ("cp1252", True) and got["b.csv"][:2] == ("utf-8", False)
+    assert got["a.csv"][2].startswith(b"code;text\nL;x\n") and got["b.csv"][2].startswith(b"code;text\nL;\"x\"\n")
