@@ -5,8 +5,9 @@
    contexts v of its words v, and all that discounting needs but a few totals. Only the words
    (their probability and back-off weight), the weights of a fixed number of contexts u v that
    are often met, and two bitmaps of fixed size of all contexts and bigrams leave the shards,
-   and are broadcast. The model is fitted on a bounded sample of
-   trusted labelled rows (`most_rows`, `most_chars`), so all of these are bounded.
+   and are broadcast. The model is fitted on all trusted labelled rows (a caller may bound them by
+   `most_rows`, `most_chars`). More text makes more shards; bitmaps and often met contexts keep their
+   size, the words grow with the vocabulary.
 2. A token w after u v of any text needs its shard only if v w may be in the model, or u v
    is in it and not often met.
    These tokens are joined with the shards, packed by bucket: a bucket is a shard and a salt
@@ -24,21 +25,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, buckets_for, cut, prepare, release
+from matlink.llm.common import batches, buckets_for, cut, prepare, release, with_likely
 from matlink.llm.wordvec import Words, mix
 
 _BEGIN, _END = np.uint64(0x0B5B5B5B5B5B5B5B), np.uint64(0x0E4E4E4E4E4E4E4E)
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: log10 of the probability of each letter of an unknown word.
 _LETTER = -math.log10(32)
-_SHARDS = 16
-#: Bits of a shard's bitmaps, as a power of two.
-_BITS = 21
-#: The most frequent contexts of a shard whose weights are broadcast.
-_OFTEN = 1 << 13
+#: Shards (a power of two) at least and at most, and bytes of text that are counted to a shard.
+_SHARDS, _MOST_SHARDS, _SHARD_BYTES = 16, 1 << 14, 2 << 20
+#: Bits of the bitmaps of all shards, as a power of two.
+_BITS = 25
+#: The most frequent contexts of all shards whose weights are broadcast.
+_OFTEN = 1 << 17
 _HELD = 1_500_000
 #: Bytes of text to a bucket of tokens.
 _BUCKET_BYTES = 64 << 20
@@ -60,17 +62,22 @@ def _before(x: np.ndarray, first: np.ndarray, begin) -> np.ndarray:
     return out
 
 
-def _shard(v: np.ndarray) -> np.ndarray:
-    return (mix(v ^ _M2) % np.uint64(_SHARDS)).astype(np.int64)
+def _shard(v: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(v ^ _M2) % np.uint64(shards)).astype(np.int64)
+
+
+def _own_bits(shards: int) -> int:
+    """Bits of a shard's bitmaps, as a power of two."""
+    return _BITS - (shards.bit_length() - 1)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _M1 + b * _M2)
 
 
-def _bit(pair: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
-    """The place of a pair of words in the bitmaps of all shards."""
-    return (pair >> np.uint64(64 - _BITS)).astype(np.int64) + (np.int64(shard) << _BITS)
+def _bit(pair: np.ndarray, shard: np.ndarray | int, bits: int) -> np.ndarray:
+    """The place of a pair of words in the bitmaps of all shards, of 2**bits each."""
+    return (pair >> np.uint64(64 - bits)).astype(np.int64) + (np.int64(shard) << bits)
 
 
 def _off(c: np.ndarray, d: tuple) -> np.ndarray:
@@ -136,6 +143,7 @@ class Lexicon:
     often: _Table
     contexts: np.ndarray
     bigrams: np.ndarray
+    shards: int
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {k: np.packbits(self.__dict__[k]) for k in ("contexts", "bigrams")}
@@ -201,12 +209,12 @@ class Model:
         return got["n_tokens"].to_numpy(), got["log10"].to_numpy()
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 5000, most_chars: int = 1 << 28, among: DataFrame | None = None) -> Model:
-    """A trigram model of at most most_rows texts of most_chars characters in all.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int | None = None, most_chars: int | None = None, among: DataFrame | None = None) -> Model:
+    """A trigram model of all texts whose ids are in the first column of among (all, without it).
 
-    These are the rows with the lowest hashes of id and text, of those whose ids are in the first
-    column of among; a repeated row counts once. Null texts are left out. Without any text every
-    token is unknown. Only ids, hashes and lengths are joined and ordered, no texts.
+    A repeated row counts once. Null texts are left out. Without any text every token is unknown.
+    With most_rows or most_chars, only that many rows, of that many characters in all, of the
+    lowest hashes of id and text.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -214,19 +222,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     found = rows.select("__of", "hash", F.char_length("text").alias("n"))
     if among is not None:
         found = found.join(among.select(F.col(among.columns[0]).alias("__id")).distinct(), F.col("__of") == F.col("__id"), "left_semi")
-    found = found.groupBy("hash").agg(F.max("n").alias("n")).orderBy("hash").limit(most_rows).toPandas()
-    found = found[found["n"].cumsum() <= most_chars]
-    chosen = spark.createDataFrame([(int(h),) for h in found["hash"]], "hash long")  # at most most_rows
-    texts = rows.join(F.broadcast(chosen), "hash", "left_semi").dropDuplicates(["hash"]).select("text")
+    found = found.groupBy("hash").agg(F.max("n").alias("n"))
+    if most_rows is not None:
+        found = found.orderBy("hash").limit(most_rows)
+    if most_chars is not None:
+        found = found.withColumn("all", F.sum("n").over(Window.orderBy("hash"))).where(F.col("all") <= most_chars)
+    found = cut(found.select("hash", "n"))
+    size = found.agg(F.sum("n")).first()[0] or 0
+    shards = min(max(_SHARDS, 1 << (-(-size // _SHARD_BYTES) - 1).bit_length() if size else 1), _MOST_SHARDS)
+    bits, most_often = _own_bits(shards), _OFTEN // shards
+    # only rows that may be among these, and a few others, are shuffled
+    texts = with_likely(rows, "likely", F.col("hash"), found, "hash").where("likely").join(found, "hash", "left_semi").dropDuplicates(["hash"]).select("text")
 
     def count(frames):
         held, size = [], 0
 
         def give():
             u, v, w, c = _summed(held)
-            shard = _shard(v)
+            shard = _shard(v, shards)
             order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(_SHARDS + 1))
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
             rows = [(b, *(x[order[a:z]].tobytes() for x in (u, v, w, c))) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
             return pd.DataFrame(rows, columns=["shard", "u", "v", "w", "c"])
 
@@ -250,16 +265,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             u, v, w, c = _summed(held)
             head = _heads(v, w)
             n = np.diff(head, append=len(v))
-            bits = np.zeros((2, 1 << _BITS), bool)
-            bits[0][_bit(_pair(u, v), 0)] = bits[1][_bit(_pair(v[head], w[head]), 0)] = True
+            maps = np.zeros((2, 1 << bits), bool)
+            maps[0][_bit(_pair(u, v), 0, bits)] = maps[1][_bit(_pair(v[head], w[head]), 0, bits)] = True
             context, at = np.unique(_pair(u, v), return_inverse=True)
             often = np.stack([np.bincount(at, x, len(context)) for x in (c, *(np.minimum(c, 3) == k for k in (1, 2, 3)))])
-            most = np.sort(np.argsort(-often[0], kind="stable")[:_OFTEN])
+            most = np.sort(np.argsort(-often[0], kind="stable")[:most_often])
             own, at = np.unique(v[head], return_inverse=True)
             kinds = [np.bincount(at, np.minimum(n, 3) == k, len(own)) for k in (1, 2, 3)]
             ends, ended = np.unique(w[head], return_counts=True)
             many = lambda x: [int((x == k).sum()) for k in (1, 2, 3, 4)]
-            packed = {"u": u, "v": v, "w": w, "c": c, "own": own, "sums": np.stack([np.bincount(at, n, len(own)), *kinds]), "ends": ends, "ended": ended.astype(np.int64), "often": context[most], "weights": often[:, most], "bits": np.packbits(bits, axis=1)}
+            packed = {"u": u, "v": v, "w": w, "c": c, "own": own, "sums": np.stack([np.bincount(at, n, len(own)), *kinds]), "ends": ends, "ended": ended.astype(np.int64), "often": context[most], "weights": often[:, most], "bits": np.packbits(maps, axis=1)}
             return pd.DataFrame({"shard": [now]} | {k: [x.tobytes()] for k, x in packed.items()} | {"many2": [many(n)], "many3": [many(c)]})
 
         for frame in frames:
@@ -273,20 +288,40 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             yield give()
 
     kinds = "u binary, v binary, w binary, c binary"
-    counted = texts.mapInPandas(count, f"shard int, {kinds}").repartition(_SHARDS, "shard").sortWithinPartitions("shard")
+    counted = texts.mapInPandas(count, f"shard int, {kinds}").repartition(shards, "shard").sortWithinPartitions("shard")
     counted = cut(counted.mapInPandas(add, f"shard int, {kinds}, own binary, sums binary, ends binary, ended binary, often binary, weights binary, bits binary, many2 array<long>, many3 array<long>"))
-    return Model(_lexicon(counted.select("shard", "own", "sums", "ends", "ended", "often", "weights", "bits", "many2", "many3").toPandas()), counted.select("shard", "u", "v", "w", "c"))
+
+    def split(frames):
+        """Last words of shards, by a hash of the word."""
+        for frame in frames:
+            for ends, ended in zip(frame["ends"], frame["ended"], strict=True):
+                ends, ended = np.frombuffer(ends, "<u8"), np.frombuffer(ended, "<i8")
+                part = _shard(ends, _SHARDS)
+                yield pd.DataFrame([(k, ends[part == k].tobytes(), ended[part == k].tobytes()) for k in np.unique(part).tolist()], columns=["part", "ends", "ended"])
+
+    def together(frames):
+        seen, total = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for frame in frames:
+            ends = np.concatenate([seen, *(np.frombuffer(x, "<u8") for x in frame["ends"])])
+            ended = np.concatenate([total, *(np.frombuffer(x, "<i8") for x in frame["ended"])])
+            seen, at = np.unique(ends, return_inverse=True)
+            total = np.bincount(at, ended, len(seen)).astype(np.int64)
+        yield pd.DataFrame({"ends": [seen.tobytes()], "ended": [total.tobytes()]})
+
+    last = counted.select("ends", "ended").mapInPandas(split, "part int, ends binary, ended binary").repartition(_SHARDS, "part").mapInPandas(together, "ends binary, ended binary")
+    return Model(_lexicon(counted.select("shard", "own", "sums", "often", "weights", "bits", "many2", "many3").toPandas(), last.toPandas(), shards), counted.select("shard", "u", "v", "w", "c"))
 
 
-def _lexicon(parts: pd.DataFrame) -> Lexicon:
-    """From a row of each shard: its contexts with sums, its last words with the number of words before, bitmaps."""
-    join = lambda c, t: np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in parts[c])])
-    own, ends, ended = join("own", "<u8"), join("ends", "<u8"), join("ended", "<i8")
+def _lexicon(parts: pd.DataFrame, last: pd.DataFrame, shards: int) -> Lexicon:
+    """From a row of each shard: its contexts with sums, bitmaps; and from all last words with the number of words before."""
+    join = lambda c, t, of=parts: np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in of[c])])
+    own, ends, ended = join("own", "<u8"), join("ends", "<u8", last), join("ended", "<i8", last)
     four = lambda c: np.concatenate([np.empty((4, 0)), *(np.frombuffer(x, "<f8").reshape(4, -1) for x in parts[c])], axis=1)
     sums, often, weights = four("sums"), join("often", "<u8"), four("weights")
-    bits = np.zeros((2, _SHARDS << _BITS), bool)
+    own_bits = _own_bits(shards)
+    bits = np.zeros((2, 1 << _BITS), bool)
     for shard, x in zip(parts["shard"], parts["bits"], strict=True):
-        bits[:, shard << _BITS : shard + 1 << _BITS] = np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1)
+        bits[:, shard << own_bits : shard + 1 << own_bits] = np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1)
     d2, d3 = (_discounts(np.sum([[0] * 4, *parts[c]], axis=0).tolist()) for c in ("many2", "many3"))
     seen, at = np.unique(ends, return_inverse=True)
     n = np.bincount(at, ended, len(seen)).astype(np.int64)
@@ -299,7 +334,7 @@ def _lexicon(parts: pd.DataFrame) -> Lexicon:
     g[np.searchsorted(words, own) + 1] = np.array(d2) @ sums[1:] / np.maximum(sums[0], 1)
     order = np.argsort(often)
     weights = (np.array(d3) @ weights[1:] / np.maximum(weights[0], 1))[order]
-    return Lexicon(_Table(words, p, unknown), g, d2, d3, _Table(often[order], weights, 1.0), bits[0], bits[1])
+    return Lexicon(_Table(words, p, unknown), g, d2, d3, _Table(often[order], weights, 1.0), bits[0], bits[1], shards)
 
 
 def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -311,7 +346,9 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model.lexicon)
-    salts = buckets_for(docs, text_col, 1, _SHARDS * _BUCKET_BYTES)
+    shards = model.lexicon.shards
+    bits = _own_bits(shards)
+    salts = buckets_for(docs, text_col, 1, shards * _BUCKET_BYTES)
     names = [f"k{i}" for i in range(len(keep))]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     rows = docs.select(*(F.col(c).cast("string").alias(n) for c, n in zip(keep, names, strict=True)), text).withColumn("key", F.xxhash64(*(F.coalesce(n, F.lit("\0")) for n in names), "text"))
@@ -342,19 +379,19 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
                 u = _before(v, first, _BEGIN)
                 iw = lex.p.find(w)
                 iv = _before(iw, first, begin)
-                shard = _shard(v)
+                shard = _shard(v, shards)
                 pair = _pair(u, v)
-                maybe = np.flatnonzero((iv > 0) & lex.contexts[_bit(pair, shard)])
+                maybe = np.flatnonzero((iv > 0) & lex.contexts[_bit(pair, shard, bits)])
                 often = np.zeros(len(w), np.int64)
                 often[maybe] = lex.often.find(pair[maybe])
-                far = (iv > 0) & (iw > 0) & lex.bigrams[_bit(_pair(v, w), shard)]
+                far = (iv > 0) & (iw > 0) & lex.bigrams[_bit(_pair(v, w), shard, bits)]
                 far[maybe] |= often[maybe] == 0
                 logs = np.where(far, 0.0, logs_p[iw] + logs_g[iv] + logs_o[often]) + np.where(iw > 0, 0.0, length * _LETTER)
                 n, key = np.diff(first), keys[a:b]
                 salt = (mix(key.view(np.uint64)) % np.uint64(salts)).astype(np.int64)
-                yield frame.iloc[a:b].assign(bucket=salt * _SHARDS + (key & (_SHARDS - 1)), copies=1, n_tokens=n, logs=np.add.reduceat(logs, first[:-1]), keys=None, sizes=None, grams=None)
+                yield frame.iloc[a:b].assign(bucket=salt * shards + (key & (shards - 1)), copies=1, n_tokens=n, logs=np.add.reduceat(logs, first[:-1]), keys=None, sizes=None, grams=None)
                 of = np.repeat(np.arange(b - a), n)[far]
-                held.append((key[of], shard[far] + salt[of] * _SHARDS, _before(iv, first, begin)[far], iv[far], iw[far]))
+                held.append((key[of], shard[far] + salt[of] * shards, _before(iv, first, begin)[far], iv[far], iw[far]))
                 size += len(of)
                 if size > _HELD:
                     yield give()
@@ -366,7 +403,7 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
     sums = f"key long, copies long, n_tokens long, logs double{''.join(f', {n} string' for n in names)}"
     asked = rows.mapInPandas(ask, f"bucket int, keys binary, sizes binary, grams binary, {sums}")
     salted = model.shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = salted.select((F.col("salt") * _SHARDS + F.col("shard")).alias("bucket"), F.col("u").alias("keys"), F.col("v").alias("sizes"), F.col("w").alias("grams"), "c", *(F.lit(0).cast(t).alias(n) for n, t in (("key", "long"), ("copies", "long"), ("n_tokens", "long"), ("logs", "double"))))
+    salted = salted.select((F.col("salt") * shards + F.col("shard")).alias("bucket"), F.col("u").alias("keys"), F.col("v").alias("sizes"), F.col("w").alias("grams"), "c", *(F.lit(0).cast(t).alias(n) for n, t in (("key", "long"), ("copies", "long"), ("n_tokens", "long"), ("logs", "double"))))
 
     def answer(frames):
         lex = sent.value
@@ -392,7 +429,7 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
                 head = _heads(key[order])
                 yield pd.DataFrame({"key": key[order][head], "copies": 0, "n_tokens": 0, "logs": np.add.reduceat(logs[order], head)}).assign(**dict.fromkeys(names))
 
-    both = asked.unionByName(salted, allowMissingColumns=True).repartition(salts * _SHARDS, "bucket").sortWithinPartitions("bucket", F.col("c").isNull())
+    both = asked.unionByName(salted, allowMissingColumns=True).repartition(salts * shards, "bucket").sortWithinPartitions("bucket", F.col("c").isNull())
     # copies of a row have one key, and all of them asked
     by_key = both.mapInPandas(answer, sums).groupBy("key").agg(F.sum("logs").alias("logs"), F.sum("copies").alias("copies"), F.max("n_tokens").alias("n_tokens"), *(F.max(n).alias(n) for n in names))
     by_key = by_key.withColumn("log10", F.col("logs") / F.col("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -400,7 +437,7 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
     return by_key.select(*own, "n_tokens", "log10", F.pow(F.lit(10.0), F.least(-F.col("log10") / F.greatest(F.col("n_tokens"), F.lit(1)), F.lit(300.0))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, most_rows: int = 5000, most_chars: int = 1 << 28) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, most_rows: int | None = None, most_chars: int | None = None) -> DataFrame:
     """id, lang, n_tokens, perplexity, threshold and keep of each row.
 
     Trusted are labelled rows of quality 1 that aren't toxic: three in four of them (by a hash

@@ -91,3 +91,16 @@ def test_sample_is_bounded(spark):
     assert few.shards.count() and len(few.lexicon.p.keys) < len(kneser_ney.train(docs).lexicon.p.keys) + 1
     none = kneser_ney.train(docs, most_chars=0)
     assert none.unknown == 1 and none.log10(["a b"])[1] == pytest.approx([-2 * math.log10(32)])
+
+
+def test_all_rows_are_learned(spark, monkeypatch):
+    """No number of trusted rows is cut, and the probabilities are the same in any number of shards."""
+    texts = [f"w{i} the cat w{i % 7}" for i in range(5200)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    log10 = plain(texts)
+    asked = [texts[0], texts[-1], "w3 the cat", "the w5199 w5198"]
+    for size in (2 << 20, 2000):
+        monkeypatch.setattr(kneser_ney, "_SHARD_BYTES", size)
+        model = kneser_ney.train(docs)
+        assert model.lexicon.shards == (16 if size > 2000 else 64)
+        assert model.log10(asked)[1] == pytest.approx([log10(t) for t in asked], rel=1e-9)
