@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,17 @@ _HELD = 1_500_000
 _BUCKET_BYTES = 64 << 20
 
 
+def _zip(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed better than a shuffle does, and their number before them."""
+    data = x.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def _unzip(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)
+
+
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the tokens (words, then an end) of some texts; the words' lengths; where texts begin."""
     words = Words(texts, lower=True)
@@ -151,17 +164,24 @@ class Lexicon:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state | {k: np.unpackbits(state[k]).view(bool) for k in ("contexts", "bigrams")})
 
-    def pack(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Trigrams of places of words, in eight bytes where they have room."""
-        bits = len(self.p.all).bit_length()
-        return (u << 2 * bits | v << bits | w).astype("<i8") if 3 * bits < 64 else np.stack([u, v, w], axis=1).astype("<u4")
+    @cached_property
+    def by_rank(self) -> np.ndarray:
+        """Places of words, the likelier first: small numbers for most tokens."""
+        return np.argsort(-self.p.all, kind="stable")
+
+    @cached_property
+    def rank(self) -> np.ndarray:
+        out = np.empty(len(self.by_rank), np.int64)
+        out[self.by_rank] = np.arange(len(out))
+        return out
+
+    def pack(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> bytes:
+        """Trigrams of places of words, as ranks whose first bytes, second bytes and so on stand together."""
+        return _zip(np.stack([self.rank[x].astype("<u4") for x in (u, v, w)]).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1))
 
-    def unpack(self, data: bytes) -> tuple[np.ndarray, ...]:
-        bits = len(self.p.all).bit_length()
-        if 3 * bits < 64:
-            x, low = np.frombuffer(data, "<i8"), (1 << bits) - 1
-            return x >> 2 * bits, x >> bits & low, x & low
-        return tuple(np.frombuffer(data, "<u4").reshape(-1, 3).T.astype(np.int64))
+    def unpack(self, data: bytes) -> np.ndarray:
+        planes = _unzip(data, "u1").reshape(3, 4, -1)
+        return self.by_rank[np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0]]
 
 
 class _Shard:
@@ -242,7 +262,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             shard = _shard(v, shards)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(b, *(x[order[a:z]].tobytes() for x in (u, v, w, c))) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+            rows = [(b, *(_zip(x[order[a:z]]) for x in (u, v, w, c))) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
             return pd.DataFrame(rows, columns=["shard", "u", "v", "w", "c"])
 
         for frame in frames:
@@ -275,7 +295,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             ends, ended = np.unique(w[head], return_counts=True)
             many = lambda x: [int((x == k).sum()) for k in (1, 2, 3, 4)]
             packed = {"u": u, "v": v, "w": w, "c": c, "own": own, "sums": np.stack([np.bincount(at, n, len(own)), *kinds]), "ends": ends, "ended": ended.astype(np.int64), "often": context[most], "weights": often[:, most], "bits": np.packbits(maps, axis=1)}
-            return pd.DataFrame({"shard": [now]} | {k: [x.tobytes()] for k, x in packed.items()} | {"many2": [many(n)], "many3": [many(c)]})
+            return pd.DataFrame({"shard": [now]} | {k: [_zip(x) if k in "uvwc" else x.tobytes()] for k, x in packed.items()} | {"many2": [many(n)], "many3": [many(c)]})
 
         for frame in frames:
             for b, *packed in zip(frame["shard"].tolist(), *(frame[k] for k in "uvwc"), strict=True):
@@ -283,7 +303,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
                     yield give()
                     held = []
                 now = b
-                held.append(tuple(np.frombuffer(x, t) for x, t in zip(packed, ("<u8", "<u8", "<u8", "<i8"), strict=True)))
+                held.append(tuple(_unzip(x, t) for x, t in zip(packed, ("<u8", "<u8", "<u8", "<i8"), strict=True)))
         if held:
             yield give()
 
@@ -363,12 +383,12 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
         def give():
             key, bucket, u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((key, bucket))
-            key, bucket, grams = key[order], bucket[order], lex.pack(u[order], v[order], w[order])
+            key, bucket, u, v, w = (x[order] for x in (key, bucket, u, v, w))
             head = _heads(bucket)
             out = []
             for a, z in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
                 first = _heads(key[a:z])
-                out.append((bucket[a], key[a:z][first].tobytes(), np.diff(first, append=z - a).astype("<i4").tobytes(), grams[a:z].tobytes()))
+                out.append((bucket[a], key[a:z][first].tobytes(), _zip(np.diff(first, append=z - a).astype("<i4")), lex.pack(u[a:z], v[a:z], w[a:z])))
             return pd.DataFrame(out, columns=["bucket", "keys", "sizes", "grams"]).assign(key=0, copies=0, n_tokens=0, logs=0.0, **dict.fromkeys(names))
 
         for frame in frames:
@@ -417,11 +437,11 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
             for bucket, keys, sizes, grams, c in zip(rest["bucket"].tolist(), rest["keys"], rest["sizes"], rest["grams"], rest["c"], strict=True):
                 if c is not None:
                     now = bucket
-                    shard = _Shard(lex, *(np.frombuffer(x, "<u8") for x in (keys, sizes, grams)), np.frombuffer(c, "<i8"))
+                    shard = _Shard(lex, *(_unzip(x, "<u8") for x in (keys, sizes, grams)), _unzip(c, "<i8"))
                 elif bucket != now:
                     raise RuntimeError("tokens of a bucket without its shard")
                 else:
-                    head = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i4"))[:-1]])
+                    head = np.concatenate([[0], np.cumsum(_unzip(sizes, "<i4"))[:-1]])
                     got.append((np.frombuffer(keys, "<i8"), np.add.reduceat(shard.log10(*lex.unpack(grams)), head)))
             if got:
                 key, logs = (np.concatenate(x) for x in zip(*got, strict=True))
