@@ -93,6 +93,11 @@ def _bit(pair: np.ndarray, shard: np.ndarray | int, bits: int) -> np.ndarray:
     return (pair >> np.uint64(64 - bits)).astype(np.int64) + (np.int64(shard) << bits)
 
 
+def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Which bits a packed bitmap has."""
+    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+
+
 def _off(c: np.ndarray, d: tuple) -> np.ndarray:
     """The discount of counts of one, two, and three or more."""
     return np.array([0.0, *d])[np.minimum(c, 3)]
@@ -147,7 +152,7 @@ class _Table:
 @dataclass
 class Lexicon:
     """What is broadcast: probability (p) and back-off weight (g) of the words, discounts, weights of
-    the contexts that are often met, and bitmaps of all contexts and bigrams."""
+    the contexts that are often met, and bitmaps (packed) of all contexts and bigrams."""
 
     p: _Table
     g: np.ndarray
@@ -158,12 +163,6 @@ class Lexicon:
     bigrams: np.ndarray
     shards: int
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {k: np.packbits(self.__dict__[k]) for k in ("contexts", "bigrams")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state | {k: np.unpackbits(state[k]).view(bool) for k in ("contexts", "bigrams")})
-
     @cached_property
     def by_rank(self) -> np.ndarray:
         """Places of words, the likelier first: small numbers for most tokens."""
@@ -329,7 +328,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
         yield pd.DataFrame({"ends": [seen.tobytes()], "ended": [total.tobytes()]})
 
     last = counted.select("ends", "ended").mapInPandas(split, "part int, ends binary, ended binary").repartition(_SHARDS, "part").mapInPandas(together, "ends binary, ended binary")
-    return Model(_lexicon(counted.select("shard", "own", "sums", "often", "weights", "bits", "many2", "many3").toPandas(), last.toPandas(), shards), counted.select("shard", "u", "v", "w", "c"))
+    last = last.toPandas()
+    return Model(_lexicon(counted.select("shard", "own", "sums", "often", "weights", "bits", "many2", "many3").toPandas(), last, shards), counted.select("shard", "u", "v", "w", "c"))
 
 
 def _lexicon(parts: pd.DataFrame, last: pd.DataFrame, shards: int) -> Lexicon:
@@ -338,10 +338,10 @@ def _lexicon(parts: pd.DataFrame, last: pd.DataFrame, shards: int) -> Lexicon:
     own, ends, ended = join("own", "<u8"), join("ends", "<u8", last), join("ended", "<i8", last)
     four = lambda c: np.concatenate([np.empty((4, 0)), *(np.frombuffer(x, "<f8").reshape(4, -1) for x in parts[c])], axis=1)
     sums, often, weights = four("sums"), join("often", "<u8"), four("weights")
-    own_bits = _own_bits(shards)
-    bits = np.zeros((2, 1 << _BITS), bool)
+    size = 1 << _own_bits(shards) - 3
+    bits = np.zeros((2, shards * size), np.uint8)
     for shard, x in zip(parts["shard"], parts["bits"], strict=True):
-        bits[:, shard << own_bits : shard + 1 << own_bits] = np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1)
+        bits[:, shard * size : (shard + 1) * size] = np.frombuffer(x, np.uint8).reshape(2, -1)
     d2, d3 = (_discounts(np.sum([[0] * 4, *parts[c]], axis=0).tolist()) for c in ("many2", "many3"))
     seen, at = np.unique(ends, return_inverse=True)
     n = np.bincount(at, ended, len(seen)).astype(np.int64)
@@ -401,10 +401,10 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
                 iv = _before(iw, first, begin)
                 shard = _shard(v, shards)
                 pair = _pair(u, v)
-                maybe = np.flatnonzero((iv > 0) & lex.contexts[_bit(pair, shard, bits)])
+                maybe = np.flatnonzero((iv > 0) & _held(lex.contexts, _bit(pair, shard, bits)))
                 often = np.zeros(len(w), np.int64)
                 often[maybe] = lex.often.find(pair[maybe])
-                far = (iv > 0) & (iw > 0) & lex.bigrams[_bit(_pair(v, w), shard, bits)]
+                far = (iv > 0) & (iw > 0) & _held(lex.bigrams, _bit(_pair(v, w), shard, bits))
                 far[maybe] |= often[maybe] == 0
                 logs = np.where(far, 0.0, logs_p[iw] + logs_g[iv] + logs_o[often]) + np.where(iw > 0, 0.0, length * _LETTER)
                 n, key = np.diff(first), keys[a:b]
