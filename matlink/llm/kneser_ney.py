@@ -1,18 +1,22 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-1. Trigrams of trusted texts are counted in shards by their middle word: a task sums up its
-   own before it sends them. So a shard has all trigrams u v w, contexts u v, bigrams v w and
-   contexts v of its words v, and all that discounting needs but a few totals. Only the words
-   (their probability and back-off weight), the weights of a fixed number of contexts u v that
-   are often met, and two bitmaps of fixed size of all contexts and bigrams leave the shards,
-   and are broadcast. The model is fitted on all trusted labelled rows (a caller may bound them by
-   `most_rows`, `most_chars`). More text makes more shards; bitmaps and often met contexts keep their
-   size, the words grow with the vocabulary.
-2. A token w after u v of any text needs its shard only if v w may be in the model, or u v
+1. The words of trusted texts are counted, and numbered by falling frequency: most tokens are small
+   numbers then, which compress well. The words lie in the shared folder, where tasks read them:
+   the driver doesn't hold them.
+2. Trigrams are counted in shards by their middle word: a task sums up its own before it sends
+   them. So a shard has all trigrams u v w, contexts u v, bigrams v w and contexts v of its words
+   v, and all that discounting needs but a few totals. The counts that give the words their
+   probabilities and back-off weights lie in the shared folder, too. Only totals, the weights of
+   a fixed number of contexts u v that are often met, and two bitmaps of fixed size of all
+   contexts and bigrams pass through the driver and are broadcast. The model is fitted on all
+   trusted labelled rows (a caller may bound them by `most_rows`, `most_chars`). More text makes
+   more shards; what is broadcast keeps its size, the words in a task grow with the vocabulary.
+3. A token w after u v of any text needs its shard only if v w may be in the model, or u v
    is in it and not often met.
    These tokens are joined with the shards, packed by bucket: a bucket is a shard and a salt
    by text, so more text makes more buckets. All other tokens back off to the word, in place.
-3. The sums of each text's logarithms are added up by text.
+4. The sums of each text's logarithms are added up by text, as whole numbers: in any order of
+   the shards they give the same sum.
 
 A text is kept if its perplexity doesn't exceed a quantile of that of trusted texts of its
 language that the model hasn't seen.
@@ -21,16 +25,19 @@ language that the model hasn't seen.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matlink.llm.common import batches, buckets_for, cut, prepare, release, with_likely
+from matlink.llm.common import batches, buckets_for, cut, prepare, release, shared_dir, with_likely
+from matlink.llm.warc import open_store
 from matlink.llm.wordvec import Words, mix
 
 _BEGIN, _END = np.uint64(0x0B5B5B5B5B5B5B5B), np.uint64(0x0E4E4E4E4E4E4E4E)
@@ -38,7 +45,7 @@ _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: log10 of the probability of each letter of an unknown word.
 _LETTER = -math.log10(32)
 #: Shards (a power of two) at least and at most, and bytes of text that are counted to a shard.
-_SHARDS, _MOST_SHARDS, _SHARD_BYTES = 16, 1 << 14, 2 << 20
+_SHARDS, _MOST_SHARDS, _SHARD_BYTES = 16, 1 << 14, 8 << 20
 #: Bits of the bitmaps of all shards, as a power of two.
 _BITS = 25
 #: The most frequent contexts of all shards whose weights are broadcast.
@@ -46,17 +53,29 @@ _OFTEN = 1 << 17
 _HELD = 1_500_000
 #: Bytes of text to a bucket of tokens.
 _BUCKET_BYTES = 64 << 20
+#: Logarithms are summed up as multiples of its inverse.
+_UNIT = float(1 << 30)
 
 
 def _zip(x: np.ndarray) -> bytes:
-    """An array's bytes, compressed better than a shuffle does, and their number before them."""
-    data = x.tobytes()
+    """An array's bytes, the first of all values and then the second ones, compressed, and their number before them."""
+    data = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True) if data else b""
 
 
 def _unzip(data: bytes, kind: str) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", "u1")
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _zip_steps(x: np.ndarray) -> bytes:
+    """As _zip, the differences of values that mostly ascend."""
+    return _zip(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _unzip_steps(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(_unzip(data, kind), dtype=kind)
 
 
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,6 +86,11 @@ def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, np.insert(words.ends - words.starts, words.first[1:], 0), first
 
 
+def _units(logs: np.ndarray) -> np.ndarray:
+    """Logarithms as whole multiples of 1 / _UNIT."""
+    return np.rint(logs * _UNIT).astype(np.int64)
+
+
 def _before(x: np.ndarray, first: np.ndarray, begin) -> np.ndarray:
     """The value before each one in its text; begin for the first."""
     out = np.empty_like(x)
@@ -76,7 +100,7 @@ def _before(x: np.ndarray, first: np.ndarray, begin) -> np.ndarray:
 
 
 def _shard(v: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(v ^ _M2) % np.uint64(shards)).astype(np.int64)
+    return (mix(v.astype(np.uint64) ^ _M2) % np.uint64(shards)).astype(np.int64)
 
 
 def _own_bits(shards: int) -> int:
@@ -85,7 +109,7 @@ def _own_bits(shards: int) -> int:
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _M1 + b * _M2)
+    return mix(a.astype(np.uint64) * _M1 + b.astype(np.uint64) * _M2)
 
 
 def _bit(pair: np.ndarray, shard: np.ndarray | int, bits: int) -> np.ndarray:
@@ -123,10 +147,54 @@ def _heads(*x: np.ndarray) -> np.ndarray:
 def _summed(held: list[tuple]) -> tuple[np.ndarray, ...]:
     """Distinct (u, v, w) by v, w, u, and their counts."""
     u, v, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((u, w, v))
+    order = np.lexsort((u, v.astype(np.uint64) << np.uint64(32) | w))
     u, v, w, c = u[order], v[order], w[order], c[order]
     head = _heads(v, w, u)
-    return u[head], v[head], w[head], np.add.reduceat(c, head) if len(head) else c
+    return u[head], v[head], w[head], np.add.reduceat(c, head).astype("<u4") if len(head) else c
+
+
+def _zip_counts(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[bytes, ...]:
+    return _zip(u), _zip_steps(v), _zip_steps(w), _zip(c)
+
+
+def _unzip_counts(u: bytes, v: bytes, w: bytes, c: bytes) -> tuple[np.ndarray, ...]:
+    return _unzip(u, "<u4"), _unzip_steps(v, "<u4"), _unzip_steps(w, "<u4"), _unzip(c, "<u4")
+
+
+def _put(df: DataFrame) -> str:
+    """The folder of shared files in which the rows of df are now."""
+    path = f"{shared_dir(df.sparkSession)}/kneser_ney-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def _rows(path: str) -> list[dict]:
+    """The rows of _put, by their part."""
+    store, folder = open_store(path)
+    return pq.read_table(folder, filesystem=store, partitioning=None).sort_by("part").to_pylist()
+
+
+class _Words:
+    """Hashes of words, sorted, and their numbers: from 1, by falling frequency; 0 for others."""
+
+    def __init__(self, path: str):
+        rows = _rows(path)
+        self.keys = np.concatenate([np.empty(0, "<u8"), *(_unzip_steps(r["keys"], "<u8") for r in rows)])
+        n = np.concatenate([np.empty(0, "<u4"), *(_unzip(r["n"], "<u4") for r in rows)])
+        self.ids = np.empty(len(n), np.uint32)
+        self.ids[np.argsort(-n.astype(np.int64), kind="stable")] = np.arange(1, len(n) + 1)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(key), np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ids[at], np.uint32(0))
+
+
+@lru_cache(1)
+def _words(path: str) -> _Words:
+    """Once a worker."""
+    return _Words(path)
 
 
 @dataclass
@@ -151,48 +219,50 @@ class _Table:
 
 @dataclass
 class Lexicon:
-    """What is broadcast: probability (p) and back-off weight (g) of the words, discounts, weights of
-    the contexts that are often met, and bitmaps (packed) of all contexts and bigrams."""
+    """What is broadcast: folders of the words and of their sums, discounts, totals, weights of the
+    contexts that are often met, and bitmaps (packed) of all contexts and bigrams."""
 
-    p: _Table
-    g: np.ndarray
+    words: str
+    sums: str
+    size: int
+    d1: tuple
     d2: tuple
     d3: tuple
+    total: int
+    unknown: float
     often: _Table
     contexts: np.ndarray
     bigrams: np.ndarray
     shards: int
 
     @cached_property
-    def by_rank(self) -> np.ndarray:
-        """Places of words, the likelier first: small numbers for most tokens."""
-        return np.argsort(-self.p.all, kind="stable")
-
-    @cached_property
-    def rank(self) -> np.ndarray:
-        out = np.empty(len(self.by_rank), np.int64)
-        out[self.by_rank] = np.arange(len(out))
-        return out
-
-    def pack(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> bytes:
-        """Trigrams of places of words, as ranks whose first bytes, second bytes and so on stand together."""
-        return _zip(np.stack([self.rank[x].astype("<u4") for x in (u, v, w)]).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1))
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Probability and back-off weight of the words, by their numbers; of an unknown one at 0."""
+        p, g = np.zeros(self.size + 1), np.ones(self.size + 1)
+        for r in _rows(self.sums):
+            n, s = _unzip(r["n"], "<u4"), _unzip(r["sums"], "<u4").reshape(4, -1)
+            p[r["part"] :: self.shards] = np.where(n > 0, (n - _off(n, self.d1)) / max(self.total, 1) + self.unknown, 0.0)  # the begin is no word
+            g[r["part"] :: self.shards] = np.where(s[0] > 0, np.array(self.d2) @ s[1:] / np.maximum(s[0], 1), 1.0)
+        p[0], g[0] = self.unknown, 1.0
+        return p, g
 
-    def unpack(self, data: bytes) -> np.ndarray:
-        planes = _unzip(data, "u1").reshape(3, 4, -1)
-        return self.by_rank[np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0]]
+    @property
+    def p(self) -> _Table:
+        """Probabilities by hash."""
+        words = _words(self.words)
+        return _Table(words.keys, self.weights[0][words.ids], self.unknown)
 
 
 class _Shard:
     """Probabilities of the trigrams and bigrams of a shard, and weights of their contexts."""
 
     def __init__(self, lex: Lexicon, u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray):
-        self.lex = lex
-        u, v, w = (lex.p.find(x) for x in (u, v, w))
+        self.p, self.g = lex.weights
+        u, v, w = (x.astype(np.int64) for x in (u, v, w))
         head = _heads(v, w)
         n, of = np.diff(head, append=len(v)), v[head]
-        total = np.bincount(of, n, len(lex.g))
-        self.bigrams = _Table(of << 32 | w[head], (n - _off(n, lex.d2)) / total[of], 0.0)
+        own, at = np.unique(of, return_inverse=True)
+        self.bigrams = _Table(of << 32 | w[head], (n - _off(n, lex.d2)) / np.bincount(at, n, len(own))[at], 0.0)
         key, back = np.unique(u << 32 | v, return_inverse=True)
         total = np.bincount(back, c, len(key))
         self.contexts = _Table(key, np.bincount(back, _off(c, lex.d3), len(key)) / np.maximum(total, 1), 1.0)
@@ -201,7 +271,8 @@ class _Shard:
         self.trigrams = _Table(key[order], ((c - _off(c, lex.d3)) / total[back])[order], 0.0)
 
     def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        low = self.lex.p.all[w] * self.lex.g[v] + self.bigrams.all[self.bigrams.find(v << 32 | w)]
+        u, v, w = (x.astype(np.int64) for x in (u, v, w))
+        low = self.p[w] * self.g[v] + self.bigrams.all[self.bigrams.find(v << 32 | w)]
         at = self.contexts.find(u << 32 | v)
         return np.log10(low * self.contexts.all[at] + self.trigrams.all[self.trigrams.find(at << 32 | w)])
 
@@ -219,7 +290,7 @@ class Model:
 
     @property
     def unknown(self) -> float:
-        return self.lexicon.p.absent
+        return self.lexicon.unknown
 
     def log10(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Number of tokens and log10 probability of each of a few texts."""
@@ -250,10 +321,48 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     size = found.agg(F.sum("n")).first()[0] or 0
     shards = min(max(_SHARDS, 1 << (-(-size // _SHARD_BYTES) - 1).bit_length() if size else 1), _MOST_SHARDS)
     bits, most_often = _own_bits(shards), _OFTEN // shards
-    # only rows that may be among these, and a few others, are shuffled
-    texts = with_likely(rows, "likely", F.col("hash"), found, "hash").where("likely").join(found, "hash", "left_semi").dropDuplicates(["hash"]).select("text")
+    # rows that are surely among these, and once only, aren't shuffled: their bit is set, and no other row has it
+    others = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).join(found.select("hash", F.lit(True).alias("learned")), "hash", "left").where("learned is null or copies > 1").select("hash")
+    marked = with_likely(with_likely(rows, "likely", F.col("hash"), found, "hash").where("likely"), "doubtful", F.col("hash"), others, "hash", 24)
+    texts = marked.where("not doubtful").select("text").unionByName(marked.where("doubtful").join(found, "hash", "left_semi").dropDuplicates(["hash"]).select("text"))
+    high = np.uint64(64 - (shards.bit_length() - 1))
+
+    def words(frames):
+        """The words of a task's texts with their numbers, by their hashes' first bits."""
+        held, size = [], 0
+
+        def give():
+            key, n = _merged(held)
+            edges = np.searchsorted(key >> high, np.arange(shards + 1, dtype=np.uint64))
+            return pd.DataFrame([(b, _zip_steps(key[a:z]), _zip(n[a:z])) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a], columns=["part", "keys", "n"])
+
+        for frame in frames:
+            text = frame["text"].tolist()
+            for a, b in batches(text):
+                key, n = np.unique(_tokens(text[a:b])[0], return_counts=True)
+                held += [(key, n), (np.array([_BEGIN]), np.array([b - a]))]
+                size += len(key)
+                if size > _HELD:
+                    held = [_merged(held)]
+                    size = 0
+                    if len(held[0][0]) > _HELD:
+                        yield give()
+                        held = []
+        if held:
+            yield give()
+
+    def all_words(frames):
+        for part, held in _by_part(frames, lambda keys, n: (_unzip_steps(keys, "<u8"), _unzip(n, "<u4")), "part", "keys", "n"):
+            key, n = _merged(held)
+            yield pd.DataFrame({"part": [part], "size": [len(key)], "keys": [_zip_steps(key)], "n": [_zip(n)]})
+
+    by_word = texts.mapInPandas(words, "part int, keys binary, n binary").repartition(shards, "part").sortWithinPartitions("part")
+    known = _put(by_word.mapInPandas(all_words, "part int, size long, keys binary, n binary"))
+    n_words = spark.read.parquet(known).agg(F.sum("size")).first()[0] or 0
 
     def count(frames):
+        lex = _words(known)
+        begin = int(lex.find(np.array([_BEGIN]))[0])
         held, size = [], 0
 
         def give():
@@ -261,15 +370,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             shard = _shard(v, shards)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(b, *(_zip(x[order[a:z]]) for x in (u, v, w, c))) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+            rows = [(b, *_zip_counts(*(x[order[a:z]] for x in (u, v, w, c)))) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
             return pd.DataFrame(rows, columns=["shard", "u", "v", "w", "c"])
 
         for frame in frames:
             text = frame["text"].tolist()
             for a, b in batches(text):
                 w, _, first = _tokens(text[a:b])
-                v = _before(w, first, _BEGIN)
-                held.append((_before(v, first, _BEGIN), v, w, np.ones(len(w), np.int64)))
+                w = lex.find(w)
+                v = _before(w, first, begin)
+                held.append((_before(v, first, begin), v, w, np.ones(len(w), np.uint32)))
                 size += len(w)
                 if size > _HELD:
                     yield give()
@@ -278,9 +388,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             yield give()
 
     def add(frames):
-        held, now = [], None
-
-        def give():
+        for shard, held in _by_part(frames, _unzip_counts, "shard", "u", "v", "w", "c"):
             u, v, w, c = _summed(held)
             head = _heads(v, w)
             n = np.diff(head, append=len(v))
@@ -293,75 +401,84 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             kinds = [np.bincount(at, np.minimum(n, 3) == k, len(own)) for k in (1, 2, 3)]
             ends, ended = np.unique(w[head], return_counts=True)
             many = lambda x: [int((x == k).sum()) for k in (1, 2, 3, 4)]
-            packed = {"u": u, "v": v, "w": w, "c": c, "own": own, "sums": np.stack([np.bincount(at, n, len(own)), *kinds]), "ends": ends, "ended": ended.astype(np.int64), "often": context[most], "weights": often[:, most], "bits": np.packbits(maps, axis=1)}
-            return pd.DataFrame({"shard": [now]} | {k: [_zip(x) if k in "uvwc" else x.tobytes()] for k, x in packed.items()} | {"many2": [many(n)], "many3": [many(c)]})
-
-        for frame in frames:
-            for b, *packed in zip(frame["shard"].tolist(), *(frame[k] for k in "uvwc"), strict=True):
-                if b != now and held:
-                    yield give()
-                    held = []
-                now = b
-                held.append(tuple(_unzip(x, t) for x, t in zip(packed, ("<u8", "<u8", "<u8", "<i8"), strict=True)))
-        if held:
-            yield give()
+            packed = {"own": _zip_steps(own), "sums": _zip(np.stack([np.bincount(at, n, len(own)), *kinds]).astype("<u4").ravel()), "ends": _zip_steps(ends), "ended": _zip(ended.astype("<u4"))}
+            packed |= {"often": context[most].tobytes(), "weights": often[:, most].tobytes(), "bits": np.packbits(maps, axis=1).tobytes()}
+            yield pd.DataFrame({"shard": [shard]} | dict(zip("uvwc", ([x] for x in _zip_counts(u, v, w, c)), strict=True)) | {k: [x] for k, x in packed.items()} | {"many2": [many(n)], "many3": [many(c)]})
 
     kinds = "u binary, v binary, w binary, c binary"
     counted = texts.mapInPandas(count, f"shard int, {kinds}").repartition(shards, "shard").sortWithinPartitions("shard")
     counted = cut(counted.mapInPandas(add, f"shard int, {kinds}, own binary, sums binary, ends binary, ended binary, often binary, weights binary, bits binary, many2 array<long>, many3 array<long>"))
 
     def split(frames):
-        """Last words of shards, by a hash of the word."""
+        """What shards know of a word, by the word's number."""
         for frame in frames:
-            for ends, ended in zip(frame["ends"], frame["ended"], strict=True):
-                ends, ended = np.frombuffer(ends, "<u8"), np.frombuffer(ended, "<i8")
-                part = _shard(ends, _SHARDS)
-                yield pd.DataFrame([(k, ends[part == k].tobytes(), ended[part == k].tobytes()) for k in np.unique(part).tolist()], columns=["part", "ends", "ended"])
+            for own, sums, ends, ended in zip(frame["own"], frame["sums"], frame["ends"], frame["ended"], strict=True):
+                own, sums, ends, ended = _unzip_steps(own, "<u4"), _unzip(sums, "<u4").reshape(4, -1), _unzip_steps(ends, "<u4"), _unzip(ended, "<u4")
+                v, w = own % shards, ends % shards
+                yield pd.DataFrame([(k, _zip_steps(own[v == k]), _zip(sums[:, v == k].ravel()), _zip_steps(ends[w == k]), _zip(ended[w == k])) for k in range(shards)], columns=["part", "own", "sums", "ends", "ended"])
 
     def together(frames):
-        seen, total = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for frame in frames:
-            ends = np.concatenate([seen, *(np.frombuffer(x, "<u8") for x in frame["ends"])])
-            ended = np.concatenate([total, *(np.frombuffer(x, "<i8") for x in frame["ended"])])
-            seen, at = np.unique(ends, return_inverse=True)
-            total = np.bincount(at, ended, len(seen)).astype(np.int64)
-        yield pd.DataFrame({"ends": [seen.tobytes()], "ended": [total.tobytes()]})
-
-    last = counted.select("ends", "ended").mapInPandas(split, "part int, ends binary, ended binary").repartition(_SHARDS, "part").mapInPandas(together, "ends binary, ended binary")
-    last = last.toPandas()
-    return Model(_lexicon(counted.select("shard", "own", "sums", "often", "weights", "bits", "many2", "many3").toPandas(), last, shards), counted.select("shard", "u", "v", "w", "c"))
-
-
-def _lexicon(parts: pd.DataFrame, last: pd.DataFrame, shards: int) -> Lexicon:
-    """From a row of each shard: its contexts with sums, bitmaps; and from all last words with the number of words before."""
-    join = lambda c, t, of=parts: np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in of[c])])
-    own, ends, ended = join("own", "<u8"), join("ends", "<u8", last), join("ended", "<i8", last)
-    four = lambda c: np.concatenate([np.empty((4, 0)), *(np.frombuffer(x, "<f8").reshape(4, -1) for x in parts[c])], axis=1)
-    sums, often, weights = four("sums"), join("often", "<u8"), four("weights")
+        for part, held in _by_part(frames, lambda own, sums, ends, ended: (_unzip_steps(own, "<u4"), _unzip(sums, "<u4").reshape(4, -1), _unzip_steps(ends, "<u4"), _unzip(ended, "<u4")), "part", "own", "sums", "ends", "ended"):
+            size = len(range(part, n_words + 1, shards))
+            total, n = np.zeros((4, size), np.uint32), np.zeros(size, np.uint32)
+            for own, sums, ends, ended in held:
+                total[:, own // shards] += sums
+                n[ends // shards] += ended
+            d = n[n > 0]
+            yield pd.DataFrame({"part": [part], "n": [_zip(n)], "sums": [_zip(total.ravel())], "seen": [len(d)], "total": [int(d.sum())], "many1": [[int((d == k).sum()) for k in (1, 2, 3, 4)]]})
+
+    of = counted.select("own", "sums", "ends", "ended").mapInPandas(split, "part int, own binary, sums binary, ends binary, ended binary").repartition(shards, "part").sortWithinPartitions("part")
+    sums = _put(of.mapInPandas(together, "part int, n binary, sums binary, seen long, total long, many1 array<long>"))
+    totals = spark.read.parquet(sums).select("seen", "total", "many1").toPandas()
+    parts = counted.select("shard", "often", "weights", "bits", "many2", "many3").toPandas()
+    return Model(_lexicon(parts, totals, shards, known, sums, n_words), counted.select("shard", "u", "v", "w", "c"))
+
+
+def _merged(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their numbers."""
+    key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, n, len(key)).astype("<u4")
+
+
+def _by_part(frames, unpack, part: str, *columns: str):
+    """Each part of rows that are sorted by it, with its unpacked rows."""
+    held, now = [], None
+    for frame in frames:
+        for b, *packed in zip(frame[part].tolist(), *(frame[k] for k in columns), strict=True):
+            if b != now and held:
+                yield now, held
+                held = []
+            now = b
+            held.append(unpack(*packed))
+    if held:
+        yield now, held
+    release()
+
+
+def _lexicon(parts: pd.DataFrame, totals: pd.DataFrame, shards: int, words: str, sums: str, n_words: int) -> Lexicon:
+    """From a row of each shard: its contexts that are often met, bitmaps; and from totals of the words."""
+    often = np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x, "<u8") for x in parts["often"])])
+    weights = np.concatenate([np.empty((4, 0)), *(np.frombuffer(x, "<f8").reshape(4, -1) for x in parts["weights"])], axis=1)
     size = 1 << _own_bits(shards) - 3
     bits = np.zeros((2, shards * size), np.uint8)
     for shard, x in zip(parts["shard"], parts["bits"], strict=True):
         bits[:, shard * size : (shard + 1) * size] = np.frombuffer(x, np.uint8).reshape(2, -1)
-    d2, d3 = (_discounts(np.sum([[0] * 4, *parts[c]], axis=0).tolist()) for c in ("many2", "many3"))
-    seen, at = np.unique(ends, return_inverse=True)
-    n = np.bincount(at, ended, len(seen)).astype(np.int64)
-    d1 = _discounts([int((n == k).sum()) for k in (1, 2, 3, 4)])
-    total = int(n.sum())
-    unknown = (float(_off(n, d1).sum()) / total if total else 1.0) / (len(seen) + 1)
-    words = np.union1d(seen, own)  # the begin is no word, so it has no probability
-    p, g = np.zeros(len(words)), np.ones(len(words) + 1)
-    p[np.searchsorted(words, seen)] = (n - _off(n, d1)) / max(total, 1) + unknown
-    g[np.searchsorted(words, own) + 1] = np.array(d2) @ sums[1:] / np.maximum(sums[0], 1)
+    many = lambda of, c: np.sum([[0] * 4, *of[c]], axis=0).tolist()
+    many1, total, seen = many(totals, "many1"), int(totals["total"].sum()), int(totals["seen"].sum())
+    d1, d2, d3 = _discounts(many1), _discounts(many(parts, "many2")), _discounts(many(parts, "many3"))
+    off = d1[0] * many1[0] + d1[1] * many1[1] + d1[2] * (seen - many1[0] - many1[1])
+    unknown = (off / total if total else 1.0) / (seen + 1)
     order = np.argsort(often)
     weights = (np.array(d3) @ weights[1:] / np.maximum(weights[0], 1))[order]
-    return Lexicon(_Table(words, p, unknown), g, d2, d3, _Table(often[order], weights, 1.0), bits[0], bits[1], shards)
+    return Lexicon(words, sums, n_words, d1, d2, d3, total, unknown, _Table(often[order], weights, 1.0), bits[0], bits[1], shards)
 
 
 def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep (of simple types), n_tokens, log10 (of the probability) and perplexity of each row.
 
     A null text is empty, that is, its end. Rows that are equal in all of these columns and the
-    text have equal results.
+    text have equal results: their logarithms are summed up as whole numbers.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -371,47 +488,47 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
     salts = buckets_for(docs, text_col, 1, shards * _BUCKET_BYTES)
     names = [f"k{i}" for i in range(len(keep))]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    rows = docs.select(*(F.col(c).cast("string").alias(n) for c, n in zip(keep, names, strict=True)), text).withColumn("key", F.xxhash64(*(F.coalesce(n, F.lit("\0")) for n in names), "text"))
+    rows = docs.select(*(F.col(c).cast("string").alias(n) for c, n in zip(keep, names, strict=True)), text, F.monotonically_increasing_id().alias("key"))
 
     def ask(frames):
         """Each row with the logarithms of all tokens that need no shard; the other tokens, packed by bucket."""
         lex = sent.value
-        logs_p, logs_g, logs_o = (np.log10(np.maximum(x, 1e-300)) for x in (lex.p.all, lex.g, lex.often.all))
-        begin = int(lex.p.find(np.array([_BEGIN]))[0])
+        words, (p, g) = _words(lex.words), lex.weights
+        logs_p, logs_g, logs_o = (np.log10(np.maximum(x, 1e-300)) for x in (p, g, lex.often.all))
+        begin = int(words.find(np.array([_BEGIN]))[0])
         held, size = [], 0
 
         def give():
             key, bucket, u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((key, bucket))
+            order = np.argsort(bucket, kind="stable")  # keys ascend
             key, bucket, u, v, w = (x[order] for x in (key, bucket, u, v, w))
             head = _heads(bucket)
             out = []
             for a, z in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
                 first = _heads(key[a:z])
-                out.append((bucket[a], key[a:z][first].tobytes(), _zip(np.diff(first, append=z - a).astype("<i4")), lex.pack(u[a:z], v[a:z], w[a:z])))
-            return pd.DataFrame(out, columns=["bucket", "keys", "sizes", "grams"]).assign(key=0, copies=0, n_tokens=0, logs=0.0, **dict.fromkeys(names))
+                out.append((bucket[a], _zip_steps(key[a:z][first]), _zip(np.diff(first, append=z - a).astype("<u4")), b"".join(len(x).to_bytes(8, "little") + x for x in (_zip(u[a:z]), _zip(v[a:z]), _zip(w[a:z])))))
+            return pd.DataFrame(out, columns=["bucket", "keys", "sizes", "grams"]).assign(key=-1, n_tokens=0, logs=0, **dict.fromkeys(names))
 
         for frame in frames:
             text, keys = frame.pop("text").tolist(), frame["key"].to_numpy()
             for a, b in batches(text):
                 w, length, first = _tokens(text[a:b])
-                v = _before(w, first, _BEGIN)
-                u = _before(v, first, _BEGIN)
-                iw = lex.p.find(w)
+                iw = words.find(w)
                 iv = _before(iw, first, begin)
-                shard = _shard(v, shards)
-                pair = _pair(u, v)
-                maybe = np.flatnonzero((iv > 0) & _held(lex.contexts, _bit(pair, shard, bits)))
+                iu = _before(iv, first, begin)
+                shard = _shard(iv, shards)
+                pair = _pair(iu, iv)
+                maybe = np.flatnonzero((iu > 0) & (iv > 0) & _held(lex.contexts, _bit(pair, shard, bits)))
                 often = np.zeros(len(w), np.int64)
                 often[maybe] = lex.often.find(pair[maybe])
-                far = (iv > 0) & (iw > 0) & _held(lex.bigrams, _bit(_pair(v, w), shard, bits))
+                far = (iv > 0) & (iw > 0) & _held(lex.bigrams, _bit(_pair(iv, iw), shard, bits))
                 far[maybe] |= often[maybe] == 0
                 logs = np.where(far, 0.0, logs_p[iw] + logs_g[iv] + logs_o[often]) + np.where(iw > 0, 0.0, length * _LETTER)
                 n, key = np.diff(first), keys[a:b]
-                salt = (mix(key.view(np.uint64)) % np.uint64(salts)).astype(np.int64)
-                yield frame.iloc[a:b].assign(bucket=salt * shards + (key & (shards - 1)), copies=1, n_tokens=n, logs=np.add.reduceat(logs, first[:-1]), keys=None, sizes=None, grams=None)
+                salt = (mix(key.astype(np.uint64)) % np.uint64(salts)).astype(np.int64)
+                yield frame.iloc[a:b].assign(bucket=salt * shards + (key & (shards - 1)), n_tokens=n, logs=_units(np.add.reduceat(logs, first[:-1])), keys=None, sizes=None, grams=None)
                 of = np.repeat(np.arange(b - a), n)[far]
-                held.append((key[of], shard[far] + salt[of] * shards, _before(iv, first, begin)[far], iv[far], iw[far]))
+                held.append((key[of], (shard[far] + salt[of] * shards).astype(np.int32), iu[far], iv[far], iw[far]))
                 size += len(of)
                 if size > _HELD:
                     yield give()
@@ -420,39 +537,45 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
             yield give()
         release()
 
-    sums = f"key long, copies long, n_tokens long, logs double{''.join(f', {n} string' for n in names)}"
+    sums = f"key long, n_tokens long, logs long{''.join(f', {n} string' for n in names)}"
     asked = rows.mapInPandas(ask, f"bucket int, keys binary, sizes binary, grams binary, {sums}")
     salted = model.shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = salted.select((F.col("salt") * shards + F.col("shard")).alias("bucket"), F.col("u").alias("keys"), F.col("v").alias("sizes"), F.col("w").alias("grams"), "c", *(F.lit(0).cast(t).alias(n) for n, t in (("key", "long"), ("copies", "long"), ("n_tokens", "long"), ("logs", "double"))))
+    salted = salted.select((F.col("salt") * shards + F.col("shard")).alias("bucket"), F.col("u").alias("keys"), F.col("v").alias("sizes"), F.col("w").alias("grams"), "c", *(F.lit(x).cast("long").alias(n) for n, x in (("key", -1), ("n_tokens", 0), ("logs", 0))))
 
     def answer(frames):
         lex = sent.value
         shard, now = None, None
         for frame in frames:
-            own = frame["copies"] > 0
+            own = frame["key"] >= 0
             if own.any():
-                yield frame.loc[own, ["key", "copies", "n_tokens", "logs", *names]]
+                yield frame.loc[own, ["key", "n_tokens", "logs", *names]]
             rest = frame[~own]
             got = []
             for bucket, keys, sizes, grams, c in zip(rest["bucket"].tolist(), rest["keys"], rest["sizes"], rest["grams"], rest["c"], strict=True):
                 if c is not None:
-                    now = bucket
-                    shard = _Shard(lex, *(_unzip(x, "<u8") for x in (keys, sizes, grams)), _unzip(c, "<i8"))
+                    now, shard = bucket, None
+                    shard = _Shard(lex, *_unzip_counts(keys, sizes, grams, c))
                 elif bucket != now:
                     raise RuntimeError("tokens of a bucket without its shard")
                 else:
-                    head = np.concatenate([[0], np.cumsum(_unzip(sizes, "<i4"))[:-1]])
-                    got.append((np.frombuffer(keys, "<i8"), np.add.reduceat(shard.log10(*lex.unpack(grams)), head)))
+                    head = np.concatenate([[0], np.cumsum(_unzip(sizes, "<u4"), dtype=np.int64)[:-1]])
+                    parts, at = [], 0
+                    for _ in range(3):
+                        size = int.from_bytes(grams[at : at + 8], "little")
+                        parts.append(_unzip(grams[at + 8 : at + 8 + size], "<u4"))
+                        at += 8 + size
+                    got.append((_unzip_steps(keys, "<i8"), _units(np.add.reduceat(shard.log10(*parts), head))))
             if got:
                 key, logs = (np.concatenate(x) for x in zip(*got, strict=True))
                 order = np.argsort(key, kind="stable")
                 head = _heads(key[order])
-                yield pd.DataFrame({"key": key[order][head], "copies": 0, "n_tokens": 0, "logs": np.add.reduceat(logs[order], head)}).assign(**dict.fromkeys(names))
+                yield pd.DataFrame({"key": key[order][head], "n_tokens": 0, "logs": np.add.reduceat(logs[order], head)}).assign(**dict.fromkeys(names))
+        release()
 
-    both = asked.unionByName(salted, allowMissingColumns=True).repartition(salts * shards, "bucket").sortWithinPartitions("bucket", F.col("c").isNull())
-    # copies of a row have one key, and all of them asked
-    by_key = both.mapInPandas(answer, sums).groupBy("key").agg(F.sum("logs").alias("logs"), F.sum("copies").alias("copies"), F.max("n_tokens").alias("n_tokens"), *(F.max(n).alias(n) for n in names))
-    by_key = by_key.withColumn("log10", F.col("logs") / F.col("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # two buckets a task: their sums of a text are added up before they are sent
+    both = asked.unionByName(salted, allowMissingColumns=True).repartition(-(-salts * shards // 2), "bucket").sortWithinPartitions("bucket", F.col("c").isNull())
+    by_key = both.mapInPandas(answer, sums).groupBy("key").agg(F.sum("logs").alias("logs"), F.max("n_tokens").alias("n_tokens"), *(F.max(n).alias(n) for n in names))
+    by_key = by_key.withColumn("log10", F.col("logs") / F.lit(_UNIT))
     own = [F.col(n).cast(docs.schema[c].dataType).alias(c) for c, n in zip(keep, names, strict=True)]
     return by_key.select(*own, "n_tokens", "log10", F.pow(F.lit(10.0), F.least(-F.col("log10") / F.greatest(F.col("n_tokens"), F.lit(1)), F.lit(300.0))).alias("perplexity"))
 
