@@ -7,14 +7,14 @@
    them. So a shard has all trigrams u v w, contexts u v, bigrams v w and contexts v of its words
    v, and all that discounting needs but a few totals. The counts that give the words their
    probabilities and back-off weights lie in the shared folder, too. Only totals, the weights of
-   a fixed number of contexts u v that are often met, and two bitmaps of fixed size of all
-   contexts and bigrams pass through the driver and are broadcast. The model is fitted on all
+   a fixed number of contexts, bigrams and trigrams that are often met, and three bitmaps of fixed
+   size of all of them pass through the driver and are broadcast. The model is fitted on all
    trusted labelled rows (a caller may bound them by `most_rows`, `most_chars`). More text makes
    more shards; what is broadcast keeps its size, the words in a task grow with the vocabulary.
-3. A token w after u v of any text needs its shard only if v w may be in the model, or u v
-   is in it and not often met.
+3. A token w after u v of any text needs its shard only if its context, bigram or trigram may be
+   in the model and isn't one that is often met.
    These tokens are joined with the shards, packed by bucket: a bucket is a shard and a salt
-   by text, so more text makes more buckets. All other tokens back off to the word, in place.
+   by text, so more text makes more buckets. All other tokens are scored in place.
 4. The sums of each text's logarithms are added up by text, as whole numbers: in any order of
    the shards they give the same sum.
 
@@ -47,9 +47,9 @@ _LETTER = -math.log10(32)
 #: Shards (a power of two) at least and at most, and bytes of text that are counted to a shard.
 _SHARDS, _MOST_SHARDS, _SHARD_BYTES = 16, 1 << 14, 8 << 20
 #: Bits of the bitmaps of all shards, as a power of two.
-_BITS = 25
-#: The most frequent contexts of all shards whose weights are broadcast.
-_OFTEN = 1 << 17
+_BITS = 26
+#: The most frequent contexts, bigrams and trigrams (of each) of all shards whose weights are broadcast.
+_OFTEN = 1 << 18
 _HELD = 1_500_000
 #: Bytes of text to a bucket of tokens.
 _BUCKET_BYTES = 64 << 20
@@ -100,7 +100,8 @@ def _before(x: np.ndarray, first: np.ndarray, begin) -> np.ndarray:
 
 
 def _shard(v: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(v.astype(np.uint64) ^ _M2) % np.uint64(shards)).astype(np.int64)
+    """Numbers follow frequencies, so each shard has frequent and rare words."""
+    return v.astype(np.int64) % shards
 
 
 def _own_bits(shards: int) -> int:
@@ -113,7 +114,7 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bit(pair: np.ndarray, shard: np.ndarray | int, bits: int) -> np.ndarray:
-    """The place of a pair of words in the bitmaps of all shards, of 2**bits each."""
+    """The place of a pair of words (or of a pair and a word) in the bitmaps of all shards, of 2**bits each."""
     return (pair >> np.uint64(64 - bits)).astype(np.int64) + (np.int64(shard) << bits)
 
 
@@ -219,8 +220,8 @@ class _Table:
 
 @dataclass
 class Lexicon:
-    """What is broadcast: folders of the words and of their sums, discounts, totals, weights of the
-    contexts that are often met, and bitmaps (packed) of all contexts and bigrams."""
+    """What is broadcast: folders of the words and of their sums, discounts, totals, and of contexts,
+    bigrams and trigrams the weights of those that are often met, and bitmaps (packed) of all."""
 
     words: str
     sums: str
@@ -230,9 +231,8 @@ class Lexicon:
     d3: tuple
     total: int
     unknown: float
-    often: _Table
-    contexts: np.ndarray
-    bigrams: np.ndarray
+    often: list[_Table]
+    bitmaps: np.ndarray
     shards: int
 
     @cached_property
@@ -392,22 +392,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             u, v, w, c = _summed(held)
             head = _heads(v, w)
             n = np.diff(head, append=len(v))
-            maps = np.zeros((2, 1 << bits), bool)
-            maps[0][_bit(_pair(u, v), 0, bits)] = maps[1][_bit(_pair(v[head], w[head]), 0, bits)] = True
             context, at = np.unique(_pair(u, v), return_inverse=True)
-            often = np.stack([np.bincount(at, x, len(context)) for x in (c, *(np.minimum(c, 3) == k for k in (1, 2, 3)))])
-            most = np.sort(np.argsort(-often[0], kind="stable")[:most_often])
+            sums = np.stack([np.bincount(at, x, len(context)) for x in (c, *(np.minimum(c, 3) == k for k in (1, 2, 3)))])
+            often = [_most(sums[0], most_often, context, *sums)]
+            of = np.unique(v, return_inverse=True)[1][head]
+            bigram, trigram = _pair(v[head], w[head]), _pair(_pair(u, v), w)
+            often.append(_most(np.add.reduceat(c, head), most_often, bigram, n, np.bincount(of, n)[of]))
+            often.append(_most(c, most_often, trigram, c, sums[0][at]))
+            maps = np.zeros((3, 1 << bits), bool)
+            for k, x in enumerate((context, bigram, trigram)):
+                maps[k][_bit(x, 0, bits)] = True
             own, at = np.unique(v[head], return_inverse=True)
             kinds = [np.bincount(at, np.minimum(n, 3) == k, len(own)) for k in (1, 2, 3)]
             ends, ended = np.unique(w[head], return_counts=True)
             many = lambda x: [int((x == k).sum()) for k in (1, 2, 3, 4)]
             packed = {"own": _zip_steps(own), "sums": _zip(np.stack([np.bincount(at, n, len(own)), *kinds]).astype("<u4").ravel()), "ends": _zip_steps(ends), "ended": _zip(ended.astype("<u4"))}
-            packed |= {"often": context[most].tobytes(), "weights": often[:, most].tobytes(), "bits": np.packbits(maps, axis=1).tobytes()}
+            packed |= {"often": [_zip_steps(x[0]) for x in often], "weights": [_zip(x[1].ravel()) for x in often], "bits": _zip(np.packbits(maps, axis=1).ravel())}
             yield pd.DataFrame({"shard": [shard]} | dict(zip("uvwc", ([x] for x in _zip_counts(u, v, w, c)), strict=True)) | {k: [x] for k, x in packed.items()} | {"many2": [many(n)], "many3": [many(c)]})
 
     kinds = "u binary, v binary, w binary, c binary"
     counted = texts.mapInPandas(count, f"shard int, {kinds}").repartition(shards, "shard").sortWithinPartitions("shard")
-    counted = cut(counted.mapInPandas(add, f"shard int, {kinds}, own binary, sums binary, ends binary, ended binary, often binary, weights binary, bits binary, many2 array<long>, many3 array<long>"))
+    counted = cut(counted.mapInPandas(add, f"shard int, {kinds}, own binary, sums binary, ends binary, ended binary, often array<binary>, weights array<binary>, bits binary, many2 array<long>, many3 array<long>"))
 
     def split(frames):
         """What shards know of a word, by the word's number."""
@@ -457,21 +462,31 @@ def _by_part(frames, unpack, part: str, *columns: str):
 
 
 def _lexicon(parts: pd.DataFrame, totals: pd.DataFrame, shards: int, words: str, sums: str, n_words: int) -> Lexicon:
-    """From a row of each shard: its contexts that are often met, bitmaps; and from totals of the words."""
-    often = np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x, "<u8") for x in parts["often"])])
-    weights = np.concatenate([np.empty((4, 0)), *(np.frombuffer(x, "<f8").reshape(4, -1) for x in parts["weights"])], axis=1)
+    """From a row of each shard: what is often met in it, bitmaps; and from totals of the words."""
     size = 1 << _own_bits(shards) - 3
-    bits = np.zeros((2, shards * size), np.uint8)
+    bits = np.zeros((3, shards * size), np.uint8)
     for shard, x in zip(parts["shard"], parts["bits"], strict=True):
-        bits[:, shard * size : (shard + 1) * size] = np.frombuffer(x, np.uint8).reshape(2, -1)
+        bits[:, shard * size : (shard + 1) * size] = _unzip(x, "u1").reshape(3, -1)
     many = lambda of, c: np.sum([[0] * 4, *of[c]], axis=0).tolist()
     many1, total, seen = many(totals, "many1"), int(totals["total"].sum()), int(totals["seen"].sum())
     d1, d2, d3 = _discounts(many1), _discounts(many(parts, "many2")), _discounts(many(parts, "many3"))
     off = d1[0] * many1[0] + d1[1] * many1[1] + d1[2] * (seen - many1[0] - many1[1])
     unknown = (off / total if total else 1.0) / (seen + 1)
-    order = np.argsort(often)
-    weights = (np.array(d3) @ weights[1:] / np.maximum(weights[0], 1))[order]
-    return Lexicon(words, sums, n_words, d1, d2, d3, total, unknown, _Table(often[order], weights, 1.0), bits[0], bits[1], shards)
+    often = []
+    for k, (rows, absent) in enumerate(((4, 1.0), (2, 0.0), (2, 0.0))):
+        keys = np.concatenate([np.empty(0, "<u8"), *(_unzip_steps(x[k], "<u8") for x in parts["often"])])
+        x = np.concatenate([np.empty((rows, 0), "<u4"), *(_unzip(x[k], "<u4").reshape(rows, -1) for x in parts["weights"])], axis=1)
+        weights = np.array(d3) @ x[1:] / np.maximum(x[0], 1) if k == 0 else (x[0] - _off(x[0], (d2, d3)[k - 1])) / np.maximum(x[1], 1)
+        order = np.argsort(keys)
+        often.append(_Table(keys[order], weights[order], absent))
+    return Lexicon(words, sums, n_words, d1, d2, d3, total, unknown, often, bits, shards)
+
+
+def _most(of: np.ndarray, most: int, keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, sorted, that are met most often, and their sums."""
+    at = np.argsort(-of.astype(np.int64), kind="stable")[:most]
+    at = at[np.argsort(keys[at])]
+    return keys[at], np.stack([x[at] for x in sums]).astype("<u4")
 
 
 def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -494,7 +509,6 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
         """Each row with the logarithms of all tokens that need no shard; the other tokens, packed by bucket."""
         lex = sent.value
         words, (p, g) = _words(lex.words), lex.weights
-        logs_p, logs_g, logs_o = (np.log10(np.maximum(x, 1e-300)) for x in (p, g, lex.often.all))
         begin = int(words.find(np.array([_BEGIN]))[0])
         held, size = [], 0
 
@@ -511,24 +525,33 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
 
         for frame in frames:
             text, keys = frame.pop("text").tolist(), frame["key"].to_numpy()
-            for a, b in batches(text):
+            for a, b in batches(text, 1 << 20):
                 w, length, first = _tokens(text[a:b])
                 iw = words.find(w)
                 iv = _before(iw, first, begin)
                 iu = _before(iv, first, begin)
                 shard = _shard(iv, shards)
                 pair = _pair(iu, iv)
-                maybe = np.flatnonzero((iu > 0) & (iv > 0) & _held(lex.contexts, _bit(pair, shard, bits)))
-                often = np.zeros(len(w), np.int64)
-                often[maybe] = lex.often.find(pair[maybe])
-                far = (iv > 0) & (iw > 0) & _held(lex.bigrams, _bit(_pair(iv, iw), shard, bits))
-                far[maybe] |= often[maybe] == 0
-                logs = np.where(far, 0.0, logs_p[iw] + logs_g[iv] + logs_o[often]) + np.where(iw > 0, 0.0, length * _LETTER)
+                may, found = [], []
+                for k, x in enumerate((pair, _pair(iv, iw), _pair(pair, iw))):
+                    hit = (iv > 0) & (iu > 0 if k == 0 else iw > 0 if k == 1 else may[0] & may[1])
+                    hit[hit] = _held(lex.bitmaps[k], _bit(x[hit], shard[hit], bits))
+                    at = np.zeros(len(w), np.int64)
+                    at[hit] = lex.often[k].find(x[hit])
+                    may.append(hit)
+                    found.append(at)
+                far = np.any([hit & (at == 0) for hit, at in zip(may, found, strict=True)], axis=0)
+                o, two, three = (t.all[at] for t, at in zip(lex.often, found, strict=True))
+                # a shard needn't know a word without a bigram: its probability is a factor
+                alone = far & ~may[1]
+                logs = np.log10(np.maximum(np.where(far, np.where(alone, p[iw] / p[0], 1.0), (p[iw] * g[iv] + two) * o + three), 1e-300)) + np.where(iw > 0, 0.0, length * _LETTER)
+                iu[~may[0]] = 0
+                iw[alone] = 0
                 n, key = np.diff(first), keys[a:b]
                 salt = (mix(key.astype(np.uint64)) % np.uint64(salts)).astype(np.int64)
                 yield frame.iloc[a:b].assign(bucket=salt * shards + (key & (shards - 1)), n_tokens=n, logs=_units(np.add.reduceat(logs, first[:-1])), keys=None, sizes=None, grams=None)
                 of = np.repeat(np.arange(b - a), n)[far]
-                held.append((key[of], (shard[far] + salt[of] * shards).astype(np.int32), iu[far], iv[far], iw[far]))
+                held.append((key[of], (shard[far] + salt[of] * shards).astype(np.int32), iu[far], iv[far] // np.uint32(shards), iw[far]))
                 size += len(of)
                 if size > _HELD:
                     yield give()
@@ -564,6 +587,7 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
                         size = int.from_bytes(grams[at : at + 8], "little")
                         parts.append(_unzip(grams[at + 8 : at + 8 + size], "<u4"))
                         at += 8 + size
+                    parts[1] = parts[1] * np.uint32(shards) + np.uint32(bucket % shards)
                     got.append((_unzip_steps(keys, "<i8"), _units(np.add.reduceat(shard.log10(*parts), head))))
             if got:
                 key, logs = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -573,7 +597,7 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
         release()
 
     # two buckets a task: their sums of a text are added up before they are sent
-    both = asked.unionByName(salted, allowMissingColumns=True).repartition(-(-salts * shards // 2), "bucket").sortWithinPartitions("bucket", F.col("c").isNull())
+    both = asked.unionByName(salted, allowMissingColumns=True).repartitionById(tasks := -(-salts * shards // 2), F.col("bucket") % tasks).sortWithinPartitions("bucket", F.col("c").isNull())
     by_key = both.mapInPandas(answer, sums).groupBy("key").agg(F.sum("logs").alias("logs"), F.max("n_tokens").alias("n_tokens"), *(F.max(n).alias(n) for n in names))
     by_key = by_key.withColumn("log10", F.col("logs") / F.lit(_UNIT))
     own = [F.col(n).cast(docs.schema[c].dataType).alias(c) for c, n in zip(keep, names, strict=True)]

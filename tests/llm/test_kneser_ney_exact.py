@@ -1,6 +1,7 @@
 """Probabilities and perplexities against a plain modified Kneser-Ney, for awkward tables, too."""
 
 import math
+import pickle
 from collections import Counter, defaultdict
 
 import pytest
@@ -104,3 +105,30 @@ def test_all_rows_are_learned(spark, monkeypatch):
         model = kneser_ney.train(docs)
         assert model.lexicon.shards == (16 if size > 2000 else 64)
         assert model.log10(asked)[1] == pytest.approx([log10(t) for t in asked], rel=1e-9)
+
+
+def test_words_are_not_broadcast(spark, monkeypatch):
+    """What passes through the driver doesn't grow with the words, and no number of the words is cut."""
+    monkeypatch.setattr(kneser_ney, "_OFTEN", 16)
+    sizes, words = [], []
+    for n in (50, 5000):
+        model = kneser_ney.train(spark.createDataFrame([(i, f"w{i} x{i} w{i + 1}") for i in range(n)], "doc_id long, text string"))
+        sizes.append(len(pickle.dumps(model.lexicon)))
+        words.append(len(model.lexicon.p.keys))
+    assert words == [2 * 50 + 3, 2 * 5000 + 3] and sizes[1] < sizes[0] + 5000
+
+
+@pytest.mark.parametrize("often, bits", [(0, 26), (64, 12), (1 << 18, 12)])
+def test_in_place_or_by_shard(spark, monkeypatch, often, bits):
+    """What is often met and bits that several n-grams share change no result; equal rows have equal ones."""
+    monkeypatch.setattr(kneser_ney, "_OFTEN", often)
+    monkeypatch.setattr(kneser_ney, "_BITS", bits)
+    texts = [*TEXTS, *(f"the cat {w} w{i} on the {w}" for i, w in enumerate(WORDS * 20))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:5] * 3, "doc_id long, text string")  # repeated rows count once
+    model, log10 = kneser_ney.train(docs), plain(texts)
+    asked = [*texts[::9], "zebra the cat", "the zebra w3", "w7 w8 cat mat on", ""]
+    got = kneser_ney.perplexity(spark.createDataFrame([(i, t) for i, t in enumerate(asked)] * 3, "doc_id long, text string"), model, ["doc_id"]).collect()
+    logs = {r.doc_id: r.log10 for r in got}
+    assert len(got) == 3 * len(asked) and len({(r.doc_id, r.log10) for r in got}) == len(asked)
+    assert [logs[i] for i in range(len(asked))] == pytest.approx([log10(t) for t in asked], rel=1e-8)
