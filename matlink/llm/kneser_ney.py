@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -205,10 +205,16 @@ class _Table:
     keys: np.ndarray
     values: np.ndarray
     absent: float
-    all: np.ndarray = field(init=False)
 
-    def __post_init__(self):
-        self.all = np.concatenate([[self.absent], self.values])
+    @cached_property
+    def all(self) -> np.ndarray:
+        return np.concatenate([[self.absent], self.values])
+
+    def __getstate__(self):
+        return _zip_steps(self.keys), _zip(self.values), self.absent
+
+    def __setstate__(self, state):
+        self.keys, self.values, self.absent = _unzip_steps(state[0], "<u8"), _unzip(state[1], "<f8"), state[2]
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The place of each key, from 1; 0 for keys that are absent."""
@@ -542,11 +548,13 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
                     found.append(at)
                 far = np.any([hit & (at == 0) for hit, at in zip(may, found, strict=True)], axis=0)
                 o, two, three = (t.all[at] for t, at in zip(lex.often, found, strict=True))
-                # a shard needn't know a word without a bigram: its probability is a factor
-                alone = far & ~may[1]
-                logs = np.log10(np.maximum(np.where(far, np.where(alone, p[iw] / p[0], 1.0), (p[iw] * g[iv] + two) * o + three), 1e-300)) + np.where(iw > 0, 0.0, length * _LETTER)
-                iu[~may[0]] = 0
-                iw[alone] = 0
+                low = p[iw] * g[iv] + two
+                # without a trigram, context and bigram are factors: a shard needn't know one that is known here
+                own_u, own_w = (far & ~may[2] & ~(may[k] & (found[k] == 0)) for k in (0, 1))
+                here = np.where(far, np.where(own_u, o, 1.0) * np.where(own_w, low / (p[0] * g[iv]), 1.0), low * o + three)
+                logs = np.log10(np.maximum(here, 1e-300)) + np.where(iw > 0, 0.0, length * _LETTER)
+                iu[own_u] = 0
+                iw[own_w] = 0
                 n, key = np.diff(first), keys[a:b]
                 salt = (mix(key.astype(np.uint64)) % np.uint64(salts)).astype(np.int64)
                 yield frame.iloc[a:b].assign(bucket=salt * shards + (key & (shards - 1)), n_tokens=n, logs=_units(np.add.reduceat(logs, first[:-1])), keys=None, sizes=None, grams=None)
@@ -596,8 +604,8 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
                 yield pd.DataFrame({"key": key[order][head], "n_tokens": 0, "logs": np.add.reduceat(logs[order], head)}).assign(**dict.fromkeys(names))
         release()
 
-    # two buckets a task: their sums of a text are added up before they are sent
-    both = asked.unionByName(salted, allowMissingColumns=True).repartitionById(tasks := -(-salts * shards // 2), F.col("bucket") % tasks).sortWithinPartitions("bucket", F.col("c").isNull())
+    # three buckets a task: their sums of a text are added up before they are sent
+    both = asked.unionByName(salted, allowMissingColumns=True).repartitionById(tasks := -(-salts * shards // 3), F.col("bucket") % tasks).sortWithinPartitions("bucket", F.col("c").isNull())
     by_key = both.mapInPandas(answer, sums).groupBy("key").agg(F.sum("logs").alias("logs"), F.max("n_tokens").alias("n_tokens"), *(F.max(n).alias(n) for n in names))
     by_key = by_key.withColumn("log10", F.col("logs") / F.lit(_UNIT))
     own = [F.col(n).cast(docs.schema[c].dataType).alias(c) for c, n in zip(keep, names, strict=True)]
